@@ -1,0 +1,6 @@
+"""Audits of crawled web pages as Spark jobs: facts, page checks, cross-page checks, reports."""
+
+from .operators.pages import page_audit, page_columns, page_issues
+from .plans.audit import Audit, audit
+
+__all__ = ["Audit", "audit", "page_audit", "page_columns", "page_issues"]
