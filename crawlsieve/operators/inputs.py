@@ -31,7 +31,7 @@ def resolve_urls(entries: DataFrame, limit: int | None = None) -> DataFrame:
         return pages
     # The seq of the limit-th page bounds the list: a top-k, not a global sort of all pages.
     last = pages.select("seq").orderBy("seq").limit(limit).agg(F.max("seq").alias("last"))
-    return pages.crossJoin(F.broadcast(last)).filter("seq <= last OR marked").drop("last")
+    return pages.filter((F.col("seq") <= last.scalar()) | F.col("marked"))
 
 
 def listings(entries: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def link_checks(edges: DataFrame, outcomes: DataFrame) -> DataFrame:
 def inbound_links(edges: DataFrame, outcomes: DataFrame) -> DataFrame:
     """(page_key, source): pages each page is reached from, through verified destinations."""
     good = outcomes.filter("failed IS NULL AND status < 400").select(F.col("url").alias("target"), col(page_key("final_url")).alias("page_key"))
-    reached = salted_join(edges.select("url", "target", col(page_key("final_url")).alias("source")), good, ["target"])
+    reached = salted_join(edges.select("url", "target", col(page_key("final_url")).alias("source")), good, ["target"], salts=4)
     return reached.select("page_key", "source").distinct()
 
 
@@ -93,8 +93,8 @@ def orphan_pages(pages: DataFrame, listings: DataFrame, inbound: DataFrame) -> D
     listed = pages.join(listings.select("url").distinct(), "url", "left_semi")
     elsewhere = inbound.filter("source <> page_key").select("page_key").distinct()
     orphans = listed.filter(f"has_facts AND {url_path('final_url')} NOT IN ('', '/')").join(elsewhere, "page_key", "left_anti")
-    sizes = listed.agg(F.count("*").alias("listed")).crossJoin(orphans.agg(F.count("*").alias("orphans")))
-    return members(orphans.crossJoin(F.broadcast(sizes)), "orphan-page", lit("No other page links to these sitemap pages"),
+    sized = orphans.withColumns({"listed": listed.agg(F.count("*")).scalar(), "orphans": orphans.agg(F.count("*")).scalar()})
+    return members(sized, "orphan-page", lit("No other page links to these sitemap pages"),
                    "concat(orphans, ' of ', listed, ' sitemap pages')", [])
 
 
@@ -102,4 +102,4 @@ def links_complete(outcomes: DataFrame, counted: DataFrame, audited: DataFrame)
     """One row: whether every link of every page is known and led somewhere known."""
     open_ends = outcomes.agg(F.count_if(col("failed IS NOT NULL OR status = 429 OR status >= 500")).alias("unresolved"))
     unread = audited.agg(F.count_if(col("exists(issues, i -> i.type IN ('check-failed', 'html-too-large'))")).alias("unread"))
-    return counted.crossJoin(open_ends).crossJoin(unread).withColumn("complete", col("unchecked = 0 AND unread = 0 AND unresolved = 0"))
+    return counted.withColumns({"unresolved": open_ends.scalar(), "unread": unread.scalar()}).withColumn("complete", col("unchecked = 0 AND unread = 0 AND unresolved = 0"))

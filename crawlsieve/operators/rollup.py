@@ -31,7 +31,7 @@ def hits(page_issues: DataFrame, site_members: DataFrame | None = None) -> DataF
 def summary(n_pages: DataFrame, page_issues: DataFrame, site_heads: DataFrame) -> DataFrame:
     """Pages and issues by severity, page and site issues together (A2)."""
     both = page_issues.select("severity").unionByName(site_heads.select("severity"))
-    return n_pages.agg(F.count("*").alias("pages")).crossJoin(both.agg(*count_severities()))
+    return both.agg(*count_severities()).withColumn("pages", n_pages.agg(F.count("*")).scalar())
 
 
 def group_issues(all_hits: DataFrame) -> DataFrame:

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 SALTS = 16
 
 
-def salted_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", spread: str = "url") -> DataFrame:
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", spread: str = "url", salts: int = SALTS) -> DataFrame:
     """Equi-join of a possibly skewed side with a side that has one row a key.
 
-    Rows of a hot key are spread over ``SALTS`` tasks by a hash of ``spread``; the other side is repeated once per
-    salt, which costs little because it holds one row a key.  Inner, left, semi and anti joins keep their meaning.
+    Rows of a hot key are spread over ``salts`` tasks by a hash of ``spread``; the other side is repeated once per
+    salt, which costs little because it holds one row a key; callers with a long other side ask for fewer salts and
+    leave the rest to adaptive skew splitting.  Inner, left, semi and anti joins keep their meaning.
     """
-    salted = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    repeated = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    repeated = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -1 +1,490 @@
+"""Cross-page checks: language pairs, robots.txt, sitemaps, headers and links derived from ``customer``, ``orders``,
+``nation`` and ``pages``; sinks and streams."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.sql import col
+from ..functions.urls import origin, page_key
+from ..operators import inputs, links, report, rollup, site, sitemaps
+from ..operators.issues import issue_rows
+from ..operators.pages import page_columns
+from ..operators.platform import origin_platform
+from ..operators.rules import rules
+from ..operators.robots import crawler_access, robots_checks, robots_pages
+from ..operators.skew import shared_folder
+from ..plans.audit import audit
+from ..sources.crawl import as_crawl, parse_url_list
+from ..sources.robots import content_signal, robots_rules, robots_sets, robots_status
+from ..sources.sitemaps import expand_sitemap_index, first_lastmod, sitemap_entries, sitemap_files
+from ..streaming.stream import latest_counts, stream_page_audit
+from .common import crawl, d_key, d_limit, table
+from .tables import _EDGES
+
 QUERIES, ORACLES = {}, {}
+
+
+def register(name, sql=None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = sql
+        return fn
+    return add
+
+
+PAGE_COLUMNS = {
+    "status": "200", "redirects": "CAST(array() AS ARRAY<STRUCT<url: STRING, status: INT, location: STRING>>)", "title": "CAST(NULL AS STRING)", "description": "CAST(NULL AS STRING)",
+    "h1s": "CAST(array() AS ARRAY<STRING>)", "canonical": "CAST(NULL AS STRING)", "hreflang": "CAST(array() AS ARRAY<STRUCT<lang: STRING, href: STRING>>)", "headers": "CAST(NULL AS MAP<STRING, STRING>)",
+    "body_bytes": "CAST(NULL AS BIGINT)", "error": "CAST(NULL AS STRING)", "issues": "CAST(array() AS ARRAY<STRUCT<type: STRING>>)",
+}
+
+
+def page_table(df: DataFrame) -> DataFrame:
+    """A page table from rows with at least (seq, url), for checks that read facts only."""
+    df = df if "final_url" in df.columns else df.withColumn("final_url", F.col("url"))
+    return df.withColumns({name: col(sql) for name, sql in PAGE_COLUMNS.items() if name not in df.columns})
+
+
+# --- canonical and language links: an English and a Finnish page per customer ----------------------------------------------
+
+_EN, _FI = "concat('https://h', c_nationkey, '.example/en/', c_custkey)", "concat('https://h', c_nationkey, '.example/fi/', c_custkey)"
+
+
+def language_pages(spark, sf):
+    both = f"array(named_struct('lang', 'en', 'href', concat({_EN}, '/')), named_struct('lang', 'fi', 'href', {_FI}))"
+    one = f"array(named_struct('lang', 'fi', 'href', {_FI}))"
+    rows = table(spark, sf, "customer").select("c_custkey", col(f"""inline(array(
+        named_struct('seq', c_custkey * 2, 'url', {_EN}, 'hreflang', {both}, 'canonical', CAST(NULL AS STRING), 'noindex', false),
+        named_struct('seq', c_custkey * 2 + 1, 'url', {_FI}, 'hreflang', CASE WHEN c_custkey % 3 = 0 THEN {one} ELSE {both} END,
+                     'canonical', CASE WHEN c_custkey % 5 = 0 THEN {_EN} WHEN c_custkey % 5 = 1 THEN concat({_FI}, '/') END, 'noindex', c_custkey % 4 = 0)))"""))
+    issues = "CASE WHEN noindex THEN array(named_struct('type', 'noindex')) ELSE CAST(array() AS ARRAY<STRUCT<type: STRING>>) END"
+    return site.site_pages(page_table(rows.withColumn("issues", col(issues))))
+
+
+_C = "WITH c AS (SELECT c_custkey AS k, 'https://h' || c_nationkey || '.example/en/' || c_custkey AS en, 'https://h' || c_nationkey || '.example/fi/' || c_custkey AS fi FROM customer)"
+
+
+@register("canonical_elsewhere", f"{_C} SELECT fi AS url, 'info' AS severity, en AS context FROM c WHERE k % 5 = 0")
+def canonical_elsewhere(spark, sf):
+    return site.canonical_elsewhere(language_pages(spark, sf)).select("url", "severity", "context")
+
+
+@register("audited_index", f"{_C} SELECT en AS page_key, en AS known_as FROM c UNION ALL SELECT fi, fi FROM c")
+def audited_index(spark, sf):
+    return site.audited_index(language_pages(spark, sf))
+
+
+@register("alternate_pairs", f"{_C} SELECT en AS source, fi AS target FROM c UNION ALL SELECT fi, en FROM c WHERE k % 3 > 0")
+def alternate_pairs(spark, sf):
+    return site.alternate_pairs(language_pages(spark, sf))
+
+
+@register("hreflang_targets", f"""{_C} SELECT 'hreflang-missing-return' AS type, unnest([en, fi]) AS url, {d_limit("fi || ' has no hreflang link to ' || en", 120)} AS context FROM c WHERE k % 3 = 0
+UNION ALL SELECT 'hreflang-target-noindex', unnest([en, fi]), fi FROM c WHERE k % 4 = 0 UNION ALL SELECT 'hreflang-target-canonicalised', unnest([en, fi]), fi FROM c WHERE k % 5 = 0""")
+def hreflang_targets(spark, sf):
+    return site.hreflang_targets(language_pages(spark, sf)).select("type", "url", "context")
+
+
+# --- response headers: one header set per customer ---------------------------------------------------------------------
+
+_HEADERS = """CASE c_custkey % 8 WHEN 0 THEN CAST(map() AS MAP<STRING, STRING>)
+WHEN 1 THEN map('strict-transport-security', 'max-age=0', 'x-content-type-options', 'NoSniff, x', 'x-frame-options', 'DENY', 'content-encoding', 'gzip')
+WHEN 2 THEN map('strict-transport-security', 'max-age="31536000"; includeSubDomains', 'x-content-type-options', 'nosniff', 'content-security-policy', "frame-ancestors 'self'", 'content-encoding', 'br')
+WHEN 3 THEN map('strict-transport-security', 'max-age=1; Max-Age=2', 'x-content-type-options', 'foo', 'x-frame-options', 'ALLOW-FROM x', 'content-security-policy', "default-src * 'unsafe-inline' 'unsafe-eval'", 'content-encoding', 'identity')
+WHEN 4 THEN map('strict-transport-security', 'max-age=5', 'x-content-type-options', 'nosniff', 'x-frame-options', 'DENY', 'content-security-policy', 'frame-ancestors https://*:*', 'content-encoding', 'gzip')
+WHEN 5 THEN map('strict-transport-security', 'max-age=5', 'x-content-type-options', 'nosniff', 'content-security-policy', concat("script-src 'nonce-a", c_custkey, "' 'unsafe-inline'; script-src 'unsafe-eval'; frame-ancestors https://a.example"), 'content-encoding', 'gzip')
+WHEN 6 THEN map('strict-transport-security', 'max-age=5', 'x-content-type-options', 'nosniff', 'content-security-policy', "script-src 'self', script-src 'unsafe-eval'", 'content-security-policy-report-only', "frame-ancestors 'none'", 'content-encoding', 'gzip') END"""
+
+
+def header_pages(spark, sf):
+    rows = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("seq"), col("concat(CASE WHEN c_custkey % 16 >= 8 THEN 'http' ELSE 'https' END, '://h', c_nationkey, '.example/', c_custkey)").alias("url"), col(_HEADERS).alias("headers"),
+        col("CAST(1000 + c_custkey % 3 * 400 AS BIGINT)").alias("body_bytes"))
+    return site.site_pages(page_table(rows))
+
+
+_HEADER_ROWS = """WITH c AS (SELECT c_custkey AS k, c_custkey % 8 AS v, c_custkey % 16 < 8 AS https, c_custkey % 3 > 0 AS big, CASE WHEN c_custkey % 16 >= 8 THEN 'http' ELSE 'https' END || '://h' || c_nationkey || '.example' AS origin FROM customer),
+f AS (SELECT k, origin, 'missing-hsts' AS type, 'no Strict-Transport-Security' AS found FROM c WHERE https AND v = 0
+UNION ALL SELECT k, origin, 'missing-hsts', CASE v WHEN 1 THEN 'max-age=0' ELSE 'max-age=1; Max-Age=2' END FROM c WHERE https AND v IN (1, 3)
+UNION ALL SELECT k, origin, 'missing-x-content-type-options', CASE v WHEN 0 THEN 'no X-Content-Type-Options' ELSE 'foo' END FROM c WHERE v IN (0, 3)
+UNION ALL SELECT k, origin, 'missing-clickjacking-protection', CASE v WHEN 3 THEN 'ALLOW-FROM x' WHEN 4 THEN 'frame-ancestors https://*:*' ELSE 'no X-Frame-Options' END FROM c WHERE v IN (0, 3, 4, 6)
+UNION ALL SELECT k, origin, 'weak-csp', 'default-src * ''unsafe-inline'' ''unsafe-eval''' FROM c WHERE v = 3
+UNION ALL SELECT k, origin, 'no-compression', 'no Content-Encoding' FROM c WHERE big AND v IN (0, 3)),"""
+_MESSAGE = """CASE type WHEN 'missing-hsts' THEN CASE WHEN found LIKE 'no %' THEN 'No Strict-Transport-Security header' ELSE 'Strict-Transport-Security has no max-age above 0' END
+WHEN 'missing-x-content-type-options' THEN CASE WHEN found = 'foo' THEN 'X-Content-Type-Options is not nosniff' ELSE 'No X-Content-Type-Options header' END
+WHEN 'missing-clickjacking-protection' THEN CASE WHEN found LIKE 'frame%' THEN 'Page can be framed: frame-ancestors admits any site' WHEN k % 8 = 6 THEN 'Page can be framed: frame-ancestors is only reported, not enforced' ELSE 'Page can be framed: no X-Frame-Options or frame-ancestors' END
+WHEN 'weak-csp' THEN 'Content-Security-Policy allows inline scripts (''unsafe-inline'' without a nonce or hash) and eval (''unsafe-eval'')' ELSE 'HTML is sent without compression' END"""
+
+
+@register("response_headers", f"""{_HEADER_ROWS} m AS (SELECT *, {_MESSAGE} AS message FROM f)
+SELECT type, message, {d_limit("origin || ': ' || arg_min(found, k)", 120)} AS context, count(*) AS n_urls FROM m GROUP BY type, origin, message""")
+def response_headers(spark, sf):
+    return site.issue_heads(site.response_headers(header_pages(spark, sf))).select("type", "message", "context", "n_urls")
+
+
+# --- robots.txt: one file per nation, one page per customer --------------------------------------------------------------
+
+_BODY = r"""CASE n_nationkey % 7
+WHEN 0 THEN concat('User-agent: *\nDisallow: /building/\nAllow: /building/1 # more\nSitemap: https://h', n_nationkey, '.example/s.xml\nContent-Signal: search=yes\n')
+WHEN 1 THEN 'User-agent: Googlebot\r\nUser-Agent: GPTBot\r\nDisallow: /\r\n\r\nUser-agent: *\r\nDisallow: /machinery\r\nContent-Signal:\r\n'
+WHEN 5 THEN '# comment\nContent-Signal: ai-train=no\nUser-agent: OAI-SearchBot\nUser-agent: PerplexityBot/1.0\nDisallow: /*/1*5$\nUser-agent: x\nContent-Signal: late=yes\nUser-agent: *\nDisallow:\n'
+WHEN 6 THEN 'User-agent: *\nDisallow: /furniture\nAllow: /furniture\nDisallow: /auto*' END"""
+
+
+def robots_files(spark, sf):
+    return table(spark, sf, "nation").select(
+        col("concat('https://h', n_nationkey, '.example')").alias("origin"), col("CASE n_nationkey % 7 WHEN 2 THEN 503 WHEN 3 THEN 404 WHEN 4 THEN NULL ELSE 200 END").alias("http_status"),
+        col(_BODY).alias("body"), col("CASE WHEN n_nationkey % 7 = 4 THEN 'dns' END").alias("error"))
+
+
+def robots_site(spark, sf):
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("seq"), col("concat('https://h', c_nationkey, '.example/', lower(c_mktsegment), '/', c_custkey)").alias("url"))
+    return site.site_pages(page_table(rows))
+
+
+def robots_checked(spark, sf):
+    return robots_pages(robots_site(spark, sf), robots_sets(robots_status(robots_files(spark, sf))))
+
+
+@register("robots_status", """SELECT 'https://h' || n_nationkey || '.example' AS origin, CASE n_nationkey % 7 WHEN 2 THEN 'unreachable' WHEN 3 THEN 'missing' WHEN 4 THEN 'failed' ELSE 'ok' END AS status FROM nation""")
+def query_robots_status(spark, sf):
+    return robots_status(robots_files(spark, sf)).select("origin", "status")
+
+
+@register("robots_rules", """WITH n AS (SELECT 'https://h' || n_nationkey || '.example' AS origin, n_nationkey % 7 AS v FROM nation)
+SELECT origin, '*' AS agent, unnest([false, true]) AS allow, unnest(['/building/', '/building/1']) AS pattern FROM n WHERE v = 0
+UNION ALL SELECT origin, unnest(['googlebot', 'gptbot', '*']), false, unnest(['/', '/', '/machinery']) FROM n WHERE v = 1
+UNION ALL SELECT origin, unnest(['oai-searchbot', 'perplexitybot']), false, '/*/1*5$' FROM n WHERE v = 5
+UNION ALL SELECT origin, '*', unnest([false, true, false]), unnest(['/furniture', '/furniture', '/auto*']) FROM n WHERE v = 6""")
+def query_robots_rules(spark, sf):
+    return robots_rules(robots_status(robots_files(spark, sf))).select("origin", "agent", "allow", "pattern")
+
+
+@register("content_signal", """SELECT 'https://h' || n_nationkey || '.example' AS origin, CASE n_nationkey % 7 WHEN 0 THEN 'search=yes' ELSE 'ai-train=no' END AS content_signal FROM nation WHERE n_nationkey % 7 IN (0, 5)""")
+def query_content_signal(spark, sf):
+    return content_signal(robots_status(robots_files(spark, sf)))
+
+
+_ROBOTS = r"""WITH p AS (SELECT c_custkey AS k, 'https://h' || c_nationkey || '.example' AS origin, c_nationkey % 7 AS v, '/' || lower(c_mktsegment) || '/' || c_custkey AS path FROM customer),
+b AS (SELECT *, origin || path AS url, CASE v WHEN 0 THEN starts_with(path, '/building/') AND NOT starts_with(path, '/building/1') WHEN 1 THEN starts_with(path, '/machinery') WHEN 6 THEN starts_with(path, '/auto') ELSE false END AS others,
+v = 5 AND regexp_matches(path, '^/.*/1.*5$') AS search FROM p)"""
+_AGENT = "CASE WHEN agent IN ('Googlebot', 'GPTBot') THEN v = 1 OR others WHEN agent IN ('OAI-SearchBot', 'PerplexityBot') THEN others OR search ELSE others END"
+_ALL_AGENTS = "['OAI-SearchBot', 'Claude-SearchBot', 'PerplexityBot', 'GPTBot', 'ClaudeBot', 'Google-Extended', 'Applebot-Extended', 'CCBot']"
+
+
+@register("robots_blocked", f"{_ROBOTS}, a AS (SELECT *, unnest(['Googlebot'] || {_ALL_AGENTS}) AS agent FROM b) SELECT url, agent FROM a WHERE {_AGENT}")
+def robots_blocked(spark, sf):
+    return robots_checked(spark, sf).selectExpr("url", "explode(blocked) AS agent")
+
+
+@register("robots_checks", f"""{_ROBOTS} SELECT 'robots-txt-failed' AS type, url, origin || '/robots.txt' AS context, 'robots.txt could not be read (dns)' AS message FROM b WHERE v = 4
+UNION ALL SELECT 'robots-txt-unreachable', url, origin || '/robots.txt', 'robots.txt answered HTTP 503' FROM b WHERE v = 2
+UNION ALL SELECT 'blocked-by-robots', url, origin || '/robots.txt', 'robots.txt keeps Googlebot out of the page' FROM b WHERE v = 1 OR others
+UNION ALL SELECT 'ai-search-blocked', url, {d_limit("origin || '/robots.txt disallows OAI-SearchBot and PerplexityBot'", 120)}, 'robots.txt keeps out OAI-SearchBot and PerplexityBot, so ChatGPT search and Perplexity cannot use the page in answers' FROM b WHERE search""")
+def query_robots_checks(spark, sf):
+    return robots_checks(robots_checked(spark, sf)).select("type", "url", "context", "message")
+
+
+@register("crawler_access", f"""{_ROBOTS}, a AS (SELECT *, unnest({_ALL_AGENTS}) AS agent FROM b), g AS (SELECT origin, min(v) AS v, agent, count(*) AS n, count(*) FILTER ({_AGENT}) AS x FROM a GROUP BY origin, agent)
+SELECT origin, agent, CASE WHEN x = 0 THEN 'allowed' WHEN x = n THEN 'blocked' ELSE 'partial' END AS access FROM g WHERE v NOT IN (2, 4)""")
+def query_crawler_access(spark, sf):
+    return crawler_access(robots_checked(spark, sf)).selectExpr("origin", "explode(map_concat(ai_search, ai_training)) AS (agent, access)")
+
+
+@register("no_sitemap_declared", f"{_ROBOTS} SELECT url, origin || '/robots.txt' AS context FROM b WHERE v IN (1, 5, 6)")
+def no_sitemap_declared(spark, sf):
+    return sitemaps.no_sitemap_declared(robots_checked(spark, sf)).select("url", "context")
+
+
+@register("origins_report", f"""{_ROBOTS} SELECT DISTINCT origin, CASE v WHEN 2 THEN 'unreachable' WHEN 3 THEN 'missing' WHEN 4 THEN 'failed' ELSE 'ok' END AS robots_txt,
+CASE v WHEN 0 THEN 'search=yes' WHEN 5 THEN 'ai-train=no' END AS content_signal, CASE WHEN v % 2 = 0 THEN 'Wix' END AS platform FROM b""")
+def origins_report(spark, sf):
+    pages = robots_site(spark, sf).withColumn("platform", col("CASE WHEN CAST(regexp_extract(origin, 'h([0-9]+)', 1) AS INT) % 7 % 2 = 0 THEN named_struct('name', 'Wix', 'theme', CAST(NULL AS STRING)) END"))
+    rows = report.origins_report(crawler_access(robots_checked(spark, sf)), origin_platform(pages))
+    return rows.selectExpr("origin", "robots_txt", "content_signal", "platform.name AS platform")
+
+
+# --- sitemaps: one file per customer, its orders are the entries -----------------------------------------------------------
+
+_LOC = "CASE o_orderkey % 9 WHEN 0 THEN '' WHEN 1 THEN concat('/x/', o_orderkey) WHEN 2 THEN 'https://' WHEN 3 THEN concat('ftp://f.example/', o_orderkey) WHEN 4 THEN 'https://d.example/dup' WHEN 5 THEN concat('https://other', o_orderkey % 3, '.example/', o_orderkey) ELSE concat('https://s.example/?a=1&amp;o=', o_orderkey) END"
+_MOD = "CASE o_orderkey % 5 WHEN 1 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 2 THEN '2026-02-30' WHEN 3 THEN date_format(o_orderdate, \"yyyy-MM-dd'T'10:00:00+02:00\") WHEN 4 THEN '2026/01/01' END"
+
+
+def sitemap_bodies(spark, sf):
+    entry = (f"concat('<url>\\n <loc> ', {_LOC}, ' </loc>', coalesce(concat('<lastmod>', {_MOD}, '</lastmod>'), ''), '<image:image><image:loc>https://i.example/1</image:loc></image:image></url>')")
+    entries = table(spark, sf, "orders").select("o_custkey", "o_orderkey", col(entry).alias("xml"))
+    ordered = F.array_sort(F.collect_list(F.struct("o_orderkey", "xml")))
+    files = entries.groupBy("o_custkey").agg(F.array_join(F.transform(ordered, lambda e: e["xml"]), "\n").alias("inner"))
+    return files.select(F.col("o_custkey").cast("int").alias("file_seq"), col("concat('https://s.example/', o_custkey, '.xml')").alias("url"), col("concat('https://s.example/', o_custkey, '.xml')").alias("final_url"),
+                        col("concat('<?xml version=\"1.0\"?>\\n<!-- <url> --><urlset xmlns=\"http://www.sitemaps.org/schemas/sitemap/0.9\">', inner, '</urlset>')").alias("body"), F.lit(200).alias("http_status"))
+
+
+_S = """WITH o AS (SELECT o_orderkey AS k, o_custkey AS f, 'https://s.example/' || o_custkey || '.xml' AS file_url, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos,
+CASE o_orderkey % 9 WHEN 0 THEN '' WHEN 1 THEN '/x/' || o_orderkey WHEN 2 THEN 'https://' WHEN 3 THEN 'ftp://f.example/' || o_orderkey WHEN 4 THEN 'https://d.example/dup' WHEN 5 THEN 'https://other' || o_orderkey % 3 || '.example/' || o_orderkey ELSE 'https://s.example/?a=1&o=' || o_orderkey END AS loc,
+CASE o_orderkey % 5 WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN '2026-02-30' WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T10:00:00+02:00' WHEN 4 THEN '2026/01/01' END AS lastmod FROM orders)"""
+
+
+@register("sitemap_entries", f"{_S} SELECT file_url, pos, loc, lastmod FROM o")
+def query_sitemap_entries(spark, sf):
+    return sitemap_entries(sitemap_files(sitemap_bodies(spark, sf))).selectExpr("file_url", "CAST(pos AS BIGINT) AS pos", "loc", "lastmod")
+
+
+@register("sitemap_files", "SELECT DISTINCT 'https://s.example/' || o_custkey || '.xml' AS url, CASE o_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'index' ELSE 'urlset' END AS kind, CASE o_custkey % 4 WHEN 0 THEN 'not a sitemap (root element is <html>)' END AS error, false AS too_large FROM orders")
+def query_sitemap_files(spark, sf):
+    bodies = sitemap_bodies(spark, sf).withColumn("body", col("CASE file_seq % 4 WHEN 0 THEN replace(body, 'urlset', 'html') WHEN 1 THEN replace(body, 'urlset', 'sitemapindex') ELSE body END"))
+    return sitemap_files(bodies).select("url", "kind", "error", "too_large")
+
+
+@register("sitemap_file_findings", f"""{_S}, r AS (SELECT f, file_url, pos, loc AS value, CASE WHEN loc = '' THEN 'sitemap-empty-loc' WHEN loc LIKE 'ftp:%' THEN 'sitemap-loc-not-http' WHEN loc = 'https://' THEN 'sitemap-loc-malformed' ELSE 'sitemap-loc-relative' END AS type FROM o WHERE loc = '' OR loc NOT LIKE 'https://_%'
+UNION ALL SELECT f, file_url, pos, '"' || lastmod || '"', 'sitemap-invalid-lastmod' FROM o WHERE k % 5 IN (2, 4)
+UNION ALL SELECT f, file_url, pos, loc, 'sitemap-duplicate-loc' FROM (SELECT *, row_number() OVER (PARTITION BY f, loc ORDER BY pos) AS n FROM o WHERE loc <> '') WHERE n = 2),
+x AS (SELECT *, row_number() OVER (PARTITION BY file_url, type ORDER BY pos) AS n, count(*) OVER (PARTITION BY file_url, type) AS total FROM r)
+SELECT file_url, type, CASE WHEN type = 'sitemap-empty-loc' THEN file_url || ' has ' || min(total) ELSE file_url || ': ' || string_agg(value, ', ' ORDER BY pos) FILTER (n <= 3) || CASE WHEN min(total) > 3 THEN ' and ' || (min(total) - 3) || ' more' ELSE '' END END AS detail FROM x GROUP BY file_url, type""")
+def sitemap_file_findings(spark, sf):
+    files = sitemap_files(sitemap_bodies(spark, sf))
+    return sitemaps.sitemap_file_findings(files, sitemap_entries(files)).select("file_url", "type", "detail")
+
+
+@register("sitemap_file_checks", f"""{_S} SELECT type, severity, file_url AS url FROM (SELECT DISTINCT file_url, 'sitemap-empty-loc' AS type, 'warning' AS severity FROM o WHERE loc = '' UNION SELECT file_url, 'sitemap-loc-relative', 'warning' FROM o WHERE loc LIKE '/%'
+UNION SELECT file_url, 'sitemap-loc-malformed', 'warning' FROM o WHERE loc = 'https://' UNION SELECT file_url, 'sitemap-loc-not-http', 'warning' FROM o WHERE loc LIKE 'ftp%' UNION SELECT file_url, 'sitemap-invalid-lastmod', 'warning' FROM o WHERE k % 5 IN (2, 4)
+UNION SELECT file_url, 'sitemap-duplicate-loc', 'info' FROM o WHERE loc <> '' GROUP BY file_url, loc HAVING count(*) > 1)""")
+def sitemap_file_checks(spark, sf):
+    files = sitemap_files(sitemap_bodies(spark, sf))
+    return sitemaps.sitemap_file_checks(files, sitemap_entries(files)).select("type", "severity", "url")
+
+
+@register("sitemap_lastmod", f"""{_S} SELECT loc AS page_key, arg_min(lastmod, f * 1000000 + pos) AS sitemap_lastmod FROM o WHERE loc <> '' AND lastmod IS NOT NULL GROUP BY loc""")
+def sitemap_lastmod(spark, sf):
+    return first_lastmod(sitemap_entries(sitemap_files(sitemap_bodies(spark, sf))), page_key)
+
+
+_DATES = "CASE o_orderkey % 10 WHEN 0 THEN date_format(o_orderdate, 'yyyy') WHEN 1 THEN date_format(o_orderdate, 'yyyy-MM') WHEN 2 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 3 THEN concat(date_format(o_orderdate, 'yyyy'), '-02-29') WHEN 4 THEN concat(date_format(o_orderdate, 'yyyy'), '-13') WHEN 5 THEN concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T24:00Z') WHEN 6 THEN concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T23:59:59.5-08:00') WHEN 7 THEN concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T10:00') WHEN 8 THEN date_format(o_orderdate, 'MM/dd/yyyy') ELSE concat(date_format(o_orderdate, 'yyyy-MM'), '-31') END"
+
+
+@register("valid_lastmod", """SELECT o_orderkey, CASE o_orderkey % 10 WHEN 3 THEN year(o_orderdate) % 4 = 0 AND (year(o_orderdate) % 100 <> 0 OR year(o_orderdate) % 400 = 0) WHEN 4 THEN false WHEN 5 THEN false WHEN 7 THEN false WHEN 8 THEN false
+WHEN 9 THEN month(o_orderdate) IN (1, 3, 5, 7, 8, 10, 12) ELSE true END AS valid FROM orders""")
+def valid_lastmod(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", col(f"transform(array({_DATES}), d -> {sitemaps.valid_lastmod('d')})[0]").alias("valid"))
+
+
+def indexes(spark, sf):
+    """An index per hundred customers: their sitemaps, one of them twice, itself, another index and a missing file."""
+    row = F.array_sort(F.collect_list("c_custkey"))
+    listed = table(spark, sf, "customer").groupBy(col("CAST(floor(c_custkey / 100) AS INT)").alias("i")).agg(row.alias("keys"))
+    child = lambda u: f"concat('<sitemap><loc>', {u}, '</loc></sitemap>')"
+    store = lambda k: child(f"concat('https://s.example/', {k}, '.xml')")
+    index = lambda k: child(f"concat('https://i.example/', {k}, '.xml')")
+    body = f"concat('<sitemapindex>', array_join(transform(keys, k -> {store('k')}), ''), {store('keys[0]')}, {index('i')}, {index('i + 1')}, '</sitemapindex>')"
+    own = listed.select((-1000000 + F.col("i")).alias("file_seq"), col("concat('https://i.example/', i, '.xml')").alias("url"), col("concat('https://i.example/', i, '.xml')").alias("final_url"), col(body).alias("body"),
+                        F.lit(200).alias("http_status"), F.lit(True).alias("given"))
+    files = own.unionByName(sitemap_bodies(spark, sf).withColumn("given", F.lit(False)))
+    parsed = sitemap_files(files).join(files.select("url", "given"), "url")
+    return expand_sitemap_index(parsed, sitemap_entries(parsed))
+
+
+@register("sitemap_index_entries", f"{_S} SELECT loc AS value, 'sitemap ' || file_url AS source FROM o WHERE loc <> '' AND f IN (SELECT c_custkey FROM customer)")
+def sitemap_index_entries(spark, sf):
+    return indexes(spark, sf)[0].select("value", "source")
+
+
+@register("sitemap_index_skipped", """WITH i AS (SELECT DISTINCT c_custkey // 100 AS i FROM customer), f AS (SELECT DISTINCT o_custkey FROM orders)
+SELECT 'https://i.example/' || (i + 1) || '.xml' AS input, 'sitemap index https://i.example/' || i || '.xml' AS source, CASE WHEN i + 1 IN (SELECT i FROM i) THEN 'nested sitemap index (only one level is followed)' ELSE 'could not read sitemap: not stored' END AS reason FROM i
+UNION ALL SELECT 'https://s.example/' || c_custkey || '.xml', 'sitemap index https://i.example/' || (c_custkey // 100) || '.xml', 'could not read sitemap: not stored' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM f)""")
+def sitemap_index_skipped(spark, sf):
+    return indexes(spark, sf)[1]
+
+
+@register("sitemap_off_host", f"""{_S}, h AS (SELECT f, file_url, regexp_extract(loc, '^https://[^/]+') AS origin, min(pos) AS pos FROM o WHERE loc LIKE 'https://_%' GROUP BY ALL),
+u AS (SELECT * FROM h WHERE origin <> 'https://s.example' AND NOT (origin = 'https://d.example' AND f % 2 = 0 AND f < 1000)), x AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY pos) AS n, count(*) OVER (PARTITION BY f) AS total FROM u)
+SELECT DISTINCT file_url AS url FROM x""")
+def sitemap_off_host(spark, sf):
+    files = sitemap_files(sitemap_bodies(spark, sf))
+    # A robots.txt has 500 KiB at most: d.example names the sitemaps of some customers, the other hosts have no file.
+    named = files.filter("file_seq % 2 = 0 AND file_seq < 1000").groupBy(F.lit("https://d.example").alias("origin")).agg(F.collect_set("url").alias("sitemaps")).withColumn("status", F.lit("ok"))
+    return sitemaps.off_host(files, sitemap_entries(files), named).select("url")
+
+
+def listed_site(spark, sf):
+    rows = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("seq"), col("concat('https://l.example/', c_custkey)").alias("url"), col("CASE WHEN c_custkey % 6 = 5 THEN concat('https://l.example/to/', c_custkey) ELSE concat('https://l.example/', c_custkey) END").alias("final_url"),
+        col("CASE WHEN c_custkey % 10 = 9 THEN 404 ELSE 200 END").alias("status"), col("CASE WHEN c_custkey % 4 = 1 THEN 'https://l.example/other' END").alias("canonical"),
+        col("CASE WHEN c_custkey % 6 = 5 THEN array(named_struct('url', 'x', 'status', 301, 'location', 'y')) ELSE CAST(array() AS ARRAY<STRUCT<url: STRING, status: INT, location: STRING>>) END").alias("redirects"),
+        col("CASE WHEN c_custkey % 3 = 1 THEN array(named_struct('type', 'noindex')) ELSE CAST(array() AS ARRAY<STRUCT<type: STRING>>) END").alias("issues"))
+    entries = table(spark, sf, "customer").selectExpr("c_custkey AS seq", "concat('https://l.example/', c_custkey, CASE WHEN c_custkey % 12 = 11 THEN '/' ELSE '' END) AS value", "'sitemap' AS source",
+                                                      "concat('https://l.example/map', c_custkey % 2, '.xml') AS sitemap", "false AS lighthouse", "CAST(NULL AS STRING) AS rejected").filter("seq % 7 <> 6")
+    args = table(spark, sf, "customer").selectExpr("c_custkey - 100000000 AS seq", "concat('https://l.example/', c_custkey) AS value", "'argument' AS source", "CAST(NULL AS STRING) AS sitemap", "false AS lighthouse", "CAST(NULL AS STRING) AS rejected")
+    return site.site_pages(page_table(rows)), inputs.listings(entries.unionByName(args))
+
+
+@register("listings", """SELECT 'https://l.example/' || c_custkey AS url, 'https://l.example/map' || c_custkey % 2 || '.xml' AS sitemap, 'https://l.example/' || c_custkey || CASE WHEN c_custkey % 12 = 11 THEN '/' ELSE '' END AS listed_url FROM customer WHERE c_custkey % 7 <> 6""")
+def listings(spark, sf):
+    return listed_site(spark, sf)[1].select("url", "sitemap", "listed_url")
+
+
+@register("sitemap_entry_checks", """WITH c AS (SELECT c_custkey AS k, 'https://l.example/' || c_custkey AS url FROM customer WHERE c_custkey % 7 <> 6 AND c_custkey % 10 <> 9)
+SELECT 'sitemap-url-noindex' AS type, url, 'https://l.example/map' || k % 2 || '.xml' AS context FROM c WHERE k % 3 = 1 UNION ALL SELECT 'sitemap-url-not-canonical', url, 'https://l.example/map1.xml' FROM c WHERE k % 4 = 1
+UNION ALL SELECT 'sitemap-url-redirects', url, 'https://l.example/map1.xml' FROM c WHERE k % 6 = 5 AND k % 12 <> 11""")
+def sitemap_entry_checks(spark, sf):
+    pages, listed = listed_site(spark, sf)
+    return sitemaps.sitemap_entry_checks(pages, listed).select("type", "url", "context")
+
+
+# --- links --------------------------------------------------------------------------------------------------------------
+
+_OUTCOME = """named_struct('status', CASE v WHEN 0 THEN 404 WHEN 1 THEN 503 WHEN 5 THEN 401 ELSE 200 END, 'final_url', CASE v WHEN 2 THEN concat(target, '/moved') ELSE target END,
+'redirects', CASE v WHEN 2 THEN array(named_struct('url', target, 'status', 301, 'location', 'a'), named_struct('url', 'a', 'status', 302, 'location', 'b')) ELSE CAST(array() AS ARRAY<STRUCT<url: STRING, status: INT, location: STRING>>) END,
+'canonical', CASE v WHEN 4 THEN concat(target, '/canonical') WHEN 6 THEN concat(target, '/') END, 'failed', CASE v WHEN 3 THEN 'timeout' END)"""
+
+
+def link_site(spark, sf):
+    edges = links.link_edges(page_columns(crawl(spark, sf), "internal_targets"))
+    outcomes = edges.select("target").distinct().withColumn("v", col("length(target) % 8")).select(F.col("target").alias("url"), col(_OUTCOME).alias("o")).select("url", "o.*")
+    return edges, outcomes
+
+
+@register("link_checks", f"""{_EDGES}, j AS (SELECT *, length(target) % 8 AS v FROM e)
+SELECT CASE v WHEN 0 THEN 'broken-link' WHEN 1 THEN 'link-target-unreachable' WHEN 2 THEN 'link-to-redirect' WHEN 3 THEN 'link-target-unreachable' ELSE 'link-to-non-canonical' END AS type, page_id, url,
+CASE v WHEN 0 THEN target || ' (HTTP 404)' WHEN 1 THEN target || ' (HTTP 503)' WHEN 2 THEN target || ' -> ' || target || '/moved (301, 302)' WHEN 3 THEN target || ' (timeout)' ELSE target || ' -> canonical ' || target || '/canonical' END AS context FROM j WHERE v <= 4""")
+def link_checks(spark, sf):
+    return links.link_checks(*link_site(spark, sf)).selectExpr("type", "seq AS page_id", "url", "context")
+
+
+@register("inbound_links", f"""{_EDGES}, j AS (SELECT *, length(target) % 8 AS v FROM e) SELECT DISTINCT CASE v WHEN 2 THEN target || '/moved' ELSE target END AS page_key, {d_key('url')} AS source FROM j WHERE v IN (2, 4, 6, 7)""")
+def inbound_links(spark, sf):
+    return links.inbound_links(*link_site(spark, sf))
+
+
+@register("links_complete", f"""{_EDGES}, j AS (SELECT DISTINCT target, length(target) % 8 AS v FROM e) SELECT CAST(0 AS BIGINT) AS unchecked, count(*) FILTER (v IN (1, 3)) AS unresolved, CAST(0 AS BIGINT) AS unread, count(*) FILTER (v IN (1, 3)) = 0 AS complete FROM j""")
+def links_complete(spark, sf):
+    edges, outcomes = link_site(spark, sf)
+    counted = links.targets_to_fetch(edges, outcomes)[1]
+    pages = page_columns(crawl(spark, sf), "issues", only_checks=("html_size", "response"))
+    return links.links_complete(outcomes, counted, pages).select("unchecked", "unresolved", "unread", "complete")
+
+
+@register("coverage", f"""{_EDGES}, j AS (SELECT DISTINCT target, length(target) % 8 AS v FROM e) SELECT (SELECT count(*) FROM pages) AS found, true AS has_links, 'lighthouse: not asked for; orphan-page: where some links lead is not known' AS not_run""")
+def coverage(spark, sf):
+    edges, outcomes = link_site(spark, sf)
+    counted = links.targets_to_fetch(edges, outcomes)[1]
+    pages = page_columns(crawl(spark, sf), "issues", only_checks=("html_size", "response"))
+    n = table(spark, sf, "pages").count()
+    cov = report.coverage({"found": n, "audited": n}, links.links_complete(outcomes, counted, pages), sitemaps=1)
+    return cov.select("found", col("checked IS NOT NULL").alias("has_links"), col("array_join(transform(not_run, n -> concat(n.check, ': ', n.reason)), '; ')").alias("not_run"))
+
+
+def ring_site(spark, sf):
+    """Every page links to page 3 x id (modulo the number of pages); a page that is its own target has no other link."""
+    pages = table(spark, sf, "pages")
+    n = pages.agg(F.count("*")).scalar()
+    to = pages.select(F.col("page_id").alias("to_id"), col("regexp_replace(url, '#.*$', '')").alias("target"))
+    edges = pages.withColumn("to_id", F.col("page_id") * 3 % n).join(to, "to_id").select(F.col("page_id").alias("seq"), "url", F.col("url").alias("final_url"), "target")
+    known = links.known_outcomes(page_table(pages.withColumnRenamed("page_id", "seq")))
+    return site.site_pages(page_table(pages.withColumnRenamed("page_id", "seq"))), edges, known
+
+
+@register("known_outcomes", """SELECT url, 200 AS status, url AS final_url FROM pages UNION ALL SELECT regexp_replace(url, '#.*$', '') AS u, 200, arg_min(url, page_id) FROM pages WHERE regexp_replace(url, '#.*$', '') NOT IN (SELECT url FROM pages) GROUP BY u""")
+def known_outcomes(spark, sf):
+    return ring_site(spark, sf)[2].select("url", "status", "final_url")
+
+
+@register("orphan_pages", f"""WITH n AS (SELECT count(*) AS n FROM pages), p AS (SELECT page_id, url, {d_key('url')} AS k FROM pages), e AS (SELECT DISTINCT s.k AS source, t.k AS k FROM p s, n JOIN p t ON t.page_id = s.page_id * 3 % n.n),
+x AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.k = p.k AND e.source <> p.k) AND NOT regexp_matches(url, '^https?://[^/?#]+/?([?#]|$)'))
+SELECT url, (SELECT count(*) FROM x) || ' of ' || (SELECT n FROM n) || ' sitemap pages' AS context FROM x""")
+def orphan_pages(spark, sf):
+    pages, edges, known = ring_site(spark, sf)
+    return links.orphan_pages(pages, pages.select("url"), links.inbound_links(edges, known)).select("url", "context")
+
+
+@register("site_wide_issues", f"""{_S} SELECT DISTINCT 'sitemap-empty-loc' AS type, 'warning' AS severity, f FROM o WHERE loc = '' UNION SELECT 'sitemap-loc-relative', 'warning', f FROM o WHERE loc LIKE '/%'
+UNION SELECT 'sitemap-loc-malformed', 'warning', f FROM o WHERE loc = 'https://' UNION SELECT 'sitemap-loc-not-http', 'warning', f FROM o WHERE loc LIKE 'ftp%' UNION SELECT 'sitemap-invalid-lastmod', 'warning', f FROM o WHERE k % 5 IN (2, 4)
+UNION SELECT 'sitemap-duplicate-loc', 'info', f FROM o WHERE loc <> '' GROUP BY f, loc HAVING count(*) > 1""")
+def site_wide_issues(spark, sf):
+    files = sitemap_files(sitemap_bodies(spark, sf))
+    rows = sitemaps.sitemap_file_checks(files, sitemap_entries(files)).unionByName(site.canonical_elsewhere(language_pages(spark, sf)))
+    return rollup.site_wide_issues(rows, language_pages(spark, sf)).select("type", "severity", col("CAST(regexp_extract(context, 's.example/([0-9]+).xml', 1) AS BIGINT)").alias("f"))
+
+
+# --- inputs, sinks, streams ---------------------------------------------------------------------------------------------
+
+@register("url_list", """SELECT page_id, line_no, value, source, lighthouse, rejected FROM (
+SELECT page_id, CAST(1 AS BIGINT) AS line_no, url AS value, 'list' || page_id || ':2' AS source, false AS lighthouse, CAST(NULL AS VARCHAR) AS rejected FROM pages
+UNION ALL SELECT page_id, 2, regexp_replace(url, '#.*$', ''), 'list' || page_id || ':3', true, NULL FROM pages
+UNION ALL SELECT page_id, 4, 'https://x.example/' || page_id || ' lighthose', 'list' || page_id || ':5', false, 'unexpected text after the URL (only "lighthouse" may follow it): lighthose' FROM pages)""")
+def url_list(spark, sf):
+    content = "concat('# heading\\n', url, '\\r\\n  ', regexp_replace(url, '#.*$', ''), '  LightHouse # note\\n\\nhttps://x.example/', page_id, ' lighthose\\n')"
+    files = table(spark, sf, "pages").select(F.col("page_id"), col("concat('list', page_id)").alias("name"), col(content).alias("content"))
+    rows = parse_url_list(files)
+    return rows.select(col("CAST(substr(name, 5) AS BIGINT)").alias("page_id"), col("CAST(line_no AS BIGINT)").alias("line_no"), "value", "source", "lighthouse", "rejected")
+
+
+@register("skipped_entries", """SELECT page_id AS seq, 'ftp://x.example/' || page_id AS input, 'unsupported protocol ftp: (only http and https)' AS reason FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, url, 'told so' FROM pages WHERE page_id % 2 = 1""")
+def skipped_entries(spark, sf):
+    entries = table(spark, sf, "pages").selectExpr("page_id AS seq", "CASE WHEN page_id % 2 = 0 THEN concat('ftp://x.example/', page_id) ELSE url END AS value", "'argument' AS source", "CAST(NULL AS STRING) AS sitemap",
+                                                   "false AS lighthouse", "CASE WHEN page_id % 2 = 1 THEN 'told so' END AS rejected")
+    return inputs.skipped_entries(entries).select("seq", "input", "reason")
+
+
+def _folder(spark) -> str:
+    return f"{(shared_folder(spark) or tempfile.mkdtemp(prefix='run-', dir='/tmp')).rstrip('/')}/crawlsieve/{uuid.uuid4().hex}"
+
+
+@register("report_sink", f"""SELECT page_id, url, CAST(6 AS BIGINT) AS n_issues, CAST(200 AS BIGINT) AS status FROM pages""")
+def report_sink(spark, sf):
+    """Written as JSON lines and read back."""
+    pages = page_columns(crawl(spark, sf), "title", "description", "h1s", "hreflang", "issues", only_checks=("main_landmark", "viewport_and_lang", "social", "description", "canonical"), keep=("seq", "url", "final_url", "status", "redirects"))
+    path = _folder(spark)
+    report.write_report(path, report.report_pages(pages))
+    return spark.read.json(f"{path}/pages").selectExpr("seq AS page_id", "url", "CAST(size(issues) AS BIGINT) AS n_issues", "status")
+
+
+@register("issue_sink", "SELECT severity, count(*) AS n FROM (SELECT unnest(['info', 'info', 'info']) AS severity FROM pages) GROUP BY severity")
+def issue_sink(spark, sf):
+    path = _folder(spark)
+    report.write_issues(path, rollup.hits(issue_rows(page_columns(crawl(spark, sf), "issues", only_checks=("main_landmark", "social")))))
+    return spark.read.parquet(path).groupBy("severity").agg(F.count("*").alias("n"))
+
+
+@register("digest_sink", "SELECT type, count(*) AS pages FROM (SELECT unnest(['missing-main-landmark', 'missing-open-graph', 'missing-twitter-card']) AS type FROM pages) GROUP BY type")
+def digest_sink(spark, sf):
+    pages = page_columns(crawl(spark, sf), "issues", only_checks=("main_landmark", "social"))
+    issues = issue_rows(pages)
+    hits, counts = rollup.hits(issues), rollup.page_counts(pages, issues)
+    path = _folder(spark)
+    report.write_digest(path, rollup.digest_findings(hits, rules(spark)), rollup.page_lines(counts), rollup.page_health(counts))
+    return spark.read.json(f"{path}/findings").select("type", "pages")
+
+
+@register("stream_page_audit", f"WITH k AS (SELECT DISTINCT {d_key('url')} AS k FROM pages) SELECT type, count(*) AS n FROM (SELECT unnest(['missing-main-landmark', 'missing-open-graph', 'missing-twitter-card']) AS type FROM k) GROUP BY type")
+def query_stream_page_audit(spark, sf):
+    """The pages table as a stream: audited once per page key, appended to a table."""
+    folder = _folder(spark)
+    records = spark.readStream.schema("page_id BIGINT, url STRING, html STRING").option("pathGlobFilter", "pages.parquet").parquet(sf).withColumnRenamed("page_id", "seq")
+    crawled = as_crawl(records).withColumn("fetched_at", col("timestampadd(SECOND, CAST(seq % 60 AS INT), TIMESTAMP '2026-01-01 00:00:00')"))
+    audited = stream_page_audit(crawled, only_checks=("main_landmark", "social"))
+    run = audited.writeStream.format("parquet").option("path", f"{folder}/audited").option("checkpointLocation", f"{folder}/_checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return issue_rows(spark.read.parquet(f"{folder}/audited")).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@register("stream_summary", "SELECT url, CAST(0 AS BIGINT) AS errors, CAST(0 AS BIGINT) AS warnings, CAST(3 AS BIGINT) AS infos FROM pages GROUP BY url")
+def query_stream_summary(spark, sf):
+    """Newest record of each page counts: an older record of every page, with more issues, is replaced."""
+    pages = page_columns(crawl(spark, sf), "issues", only_checks=("main_landmark", "social"), keep=("seq", "url"))
+    severities = "transform(issues, i -> named_struct('severity', i.severity))"
+    new = pages.select("seq", "url", col(severities).alias("issues"), col("TIMESTAMP '2026-01-02 00:00:00'").alias("fetched_at"))
+    old = table(spark, sf, "pages").select((-F.col("page_id")).alias("seq"), "url", col("array(named_struct('severity', 'error'))").alias("issues"), col("TIMESTAMP '2026-01-01 00:00:00'").alias("fetched_at"))
+    return latest_counts(new.unionByName(old))
+
+
+@register("whole_audit", """SELECT (SELECT count(*) FROM pages) AS pages, 'error' AS fails_at""")
+def whole_audit(spark, sf):
+    """The full plan over the real pages, with a robots.txt for each origin."""
+    robots = table(spark, sf, "pages").select(col(origin('url')).alias("origin")).distinct().selectExpr("origin", "200 AS http_status", "'User-agent: *\nDisallow: /en/' AS body", "CAST(NULL AS STRING) AS error")
+    result = audit(crawl(spark, sf), robots_files=robots)
+    return result.summary.selectExpr("pages", "CASE WHEN errors + warnings > 0 THEN 'error' END AS fails_at")

@@ -147,7 +147,7 @@ def page_dates(spark, sf):
 # --- lab results --------------------------------------------------------------------------------------------------------
 
 # An event is a run of the page of its user: performance falls with its value, other numbers follow from it.
-_RESULT = ("concat('{\"lighthouseVersion\":\"12.0\",\"finalUrl\":\"https://lab.example/', user_id, '\",\"categories\":{\"performance\":{\"score\":', CASE WHEN event_type = 'signup' THEN 'null' ELSE greatest(0, 100 - CAST(value AS INT)) / 100 END, "
+_RESULT = ("concat('{\"lighthouseVersion\":\"12.0\",\"finalUrl\":\"https://lab.example/', user_id, '\",\"categories\":{\"performance\":{\"score\":', CASE WHEN event_type = 'signup' THEN 'null' ELSE CAST(greatest(0, 100 - CAST(value AS INT)) / 100 AS STRING) END, "
            "',\"auditRefs\":[{\"id\":\"largest-contentful-paint\"},{\"id\":\"unused-css\"}]},\"seo\":{\"score\":0.8', CAST(event_id % 10 AS INT), ',\"auditRefs\":[{\"id\":\"unused-css\"},{\"id\":\"crawlable\"}]}},\"audits\":{"
            "\"largest-contentful-paint\":{\"id\":\"largest-contentful-paint\",\"title\":\"LCP\",\"scoreDisplayMode\":\"numeric\",\"score\":0.5,\"numericValue\":', value * 100, ',\"description\":\"Paint. [Learn more](https://l.example/(x)).\"},"
            "\"cumulative-layout-shift\":{\"id\":\"cumulative-layout-shift\",\"scoreDisplayMode\":\"numeric\",\"score\":0.95,\"numericValue\":', value / 1000, '},\"total-blocking-time\":{\"id\":\"total-blocking-time\",\"scoreDisplayMode\":\"numeric\",\"score\":1,\"numericValue\":', value * 8, '},"
