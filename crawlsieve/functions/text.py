@@ -6,9 +6,9 @@ from html.entities import html5
 
 from .sql import each, fresh, keep, let, lit
 
-# The characters a browser treats as white space in text.
-SPACE_CLASS = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-SPACES = f"r'[{SPACE_CLASS}]+'"
+# White space as browsers see it, which is Unicode white space with U+FEFF and without U+0085.
+SPACE_CLASS = r"[\s\x{FEFF}&&[^\x{85}]]"
+SPACES = f"r'(?U){SPACE_CLASS}+'"
 MAX_URL = 2000
 MAX_CONTEXT = 120
 
@@ -18,7 +18,7 @@ def collapse_ws(s: str) -> str:
 
 
 def trim_ws(s: str) -> str:
-    return f"regexp_replace({s}, r'^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$', '')"
+    return f"regexp_replace({s}, r'(?U)^{SPACE_CLASS}+|{SPACE_CLASS}+$', '')"
 
 
 def char_count(s: str) -> str:

@@ -9,6 +9,7 @@ therefore a comparison of two integers instead of an interval join.
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 from html import unescape
@@ -62,6 +63,7 @@ IMPLIED = {
 NOT_PROSE = frozenset("script style noscript template svg".split())
 CHROME = frozenset("nav header footer aside".split())
 APP_ROOTS = frozenset(("root", "app", "__next", "__nuxt", "svelte"))
+CLASSED = frozenset("head body svg script style noscript a button label figure p li td article section div".split()) | HEADINGS | CHROME
 BLOCKS = frozenset("figure p li td article section div body".split())
 MAX_DEPTH = 513  # Fixed value: how deep browsers nest elements.
 
@@ -105,6 +107,8 @@ class _Page:
             near = near or list(up)
             near[k] = pre
 
+        if tag in BLOCKS:
+            mark(11)
         if tag == "head":
             mark(0)
         elif tag == "body":
@@ -121,10 +125,10 @@ class _Page:
             mark(4)
             if tag != "aside":
                 mark(5)
-        if tag in BLOCKS:
-            mark(11)
-            if tag == "figure":
-                mark(9)
+        elif tag == "figure":
+            mark(9)
+        elif tag == "label" and "for" not in attrs:
+            mark(12)
         if attrs:
             if attrs.get("id") in APP_ROOTS:
                 mark(5)
@@ -132,8 +136,6 @@ class _Page:
                 mark(6)
             if attrs.get("aria-label"):
                 mark(7)
-        if tag == "label" and "for" not in attrs:
-            mark(12)
         return tuple(near) if near else up
 
     def push(self, tag: str, attrs: dict, start: int, end: int, stays: bool = True) -> None:
@@ -147,7 +149,7 @@ class _Page:
             nth = len(peers) + 1
             peers.append(pre)
         up = self.near[parent] if parent >= 0 else (-1,) * len(NEAR)
-        near = self.classes(pre, tag, attrs, up)
+        near = self.classes(pre, tag, attrs, up) if attrs or tag in CLASSED else up
         same_id = self.ids.setdefault(attrs["id"], []) if "id" in attrs else None
         if same_id is not None:
             same_id.append(pre)
@@ -386,7 +388,12 @@ def _node_arrays(pages: list) -> pa.Array:
                     values.extend(node[5].values())
                 map_offsets.append(len(keys))
         offsets.append(len(columns[0]))
-    text = lambda xs: pa.array([None if x is None else x.encode("utf-8", "replace").decode("utf-8") for x in xs], pa.string())
+    def text(xs: list) -> pa.Array:
+        try:
+            return pa.array(xs, pa.string())
+        except UnicodeEncodeError:  # a character reference to half of a pair
+            return pa.array([None if x is None else x.encode("utf-8", "replace").decode("utf-8") for x in xs], pa.string())
+
     ints = lambda xs: pa.array(xs, pa.int32())
     attrs = pa.MapArray.from_arrays(ints(map_offsets), text(keys), text(values))
     near = pa.StructArray.from_arrays([ints(c) for c in nears], list(NEAR))
@@ -414,6 +421,7 @@ def _parse_batches(batches):
 
 def _parse_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     pages, errors = [], []
+    gc.disable()  # a tree has no cycles, and many small lists make the collector run all the time
     for html in batch.column("html").to_pylist():
         try:
             pages.append(None if html is None else read_page(html))
@@ -421,6 +429,7 @@ def _parse_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         except Exception as error:  # one bad page must not stop the job: it becomes an issue of that page
             pages.append(None)
             errors.append(f"{type(error).__name__}: {error}")
+    gc.enable()
     names = list(batch.schema.names)
     columns = [batch.column(n).cast(pa.binary()) if n == "html" else batch.column(n) for n in names]
     return pa.RecordBatch.from_arrays(columns + [_node_arrays(pages), pa.array(errors, pa.string())],
