@@ -265,7 +265,7 @@ hits AS (SELECT page_id, url, type, severity, category, context, url || type AS
 
 def _hits(spark, sf):
     pages = _audited(spark, sf)
-    return pages, rollup.hits(issue_rows(pages), _members(pages))
+    return pages, rollup.hits(issue_rows(pages), materialise(_members(pages), "query-members"))
 
 
 @query("summary", f"""{_HITS} SELECT (SELECT count(*) FROM pages) AS pages, CAST(0 AS BIGINT) AS errors,
