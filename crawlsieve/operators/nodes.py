@@ -15,6 +15,7 @@ import sys
 from html import unescape
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
@@ -408,11 +409,10 @@ def _node_arrays(pages: list) -> pa.Array:
 def _parse_batches(batches):
     for batch in batches:
         # A page can grow many times over as nodes, so a batch is handed on in slices of bounded text.
-        html = batch.column("html")
-        start, size = 0, 0
-        for i in range(batch.num_rows):
-            size += len(html[i].as_py() or "") if html[i].is_valid else 0
-            if size > 4_000_000 or i - start >= 256:
+        start = size = 0
+        for i, length in enumerate(pc.binary_length(batch.column("html")).to_pylist()):
+            size += length or 0
+            if size > 4_000_000 or i - start >= 255:
                 yield _parse_batch(batch.slice(start, i - start + 1))
                 start, size = i + 1, 0
         if start < batch.num_rows:

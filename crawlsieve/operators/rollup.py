@@ -19,13 +19,15 @@ def count_severities(*, prefix: str = "") -> list:
     return [F.count_if(F.col("severity") == s).alias(f"{prefix}{name}") for s, name in (("error", "errors"), ("warning", "warnings"), ("info", "infos"))]
 
 
-def hits(page_issues: DataFrame, site_members: DataFrame | None = None) -> DataFrame:
-    """Page and site issues in one shape: one row per hit and page; a site issue is one hit with many rows."""
+def hits(page_issues: DataFrame | None, site_members: DataFrame | None = None) -> DataFrame:
+    """Page and site issues, or one of them, in one shape: one row per hit and page; a site issue is one hit with many rows."""
     missing = lambda df: [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in HIT_COLUMNS[1:]]
-    rows = page_issues.select(F.concat_ws(" ", "url", "id").alias("hit"), *missing(page_issues))
-    if site_members is None:
-        return rows
-    return rows.unionByName(site_members.select(F.col("issue_key").alias("hit"), *missing(site_members)))
+    parts = []
+    if page_issues is not None:
+        parts.append(page_issues.select(F.concat_ws(" ", "url", "id").alias("hit"), *missing(page_issues)))
+    if site_members is not None:
+        parts.append(site_members.select(F.col("issue_key").alias("hit"), *missing(site_members)))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def summary(n_pages: DataFrame, page_issues: DataFrame, site_heads: DataFrame) -> DataFrame:

@@ -76,7 +76,11 @@ def audit(crawl: DataFrame, *, robots_files: DataFrame | None = None, sitemap_bo
         outcomes = outcomes.unionByName(link_outcomes.join(outcomes.select("url"), "url", "left_anti"))
         member_rows.append(links.link_checks(edges, outcomes))
         if listed is not None:
-            member_rows.append(links.orphan_pages(keys, listed, links.inbound_links(edges, outcomes)))
+            # Only when every link of every page leads somewhere known can a page be told to have none.
+            counted = links.targets_to_fetch(edges, outcomes)[1]
+            complete = links.links_complete(outcomes, counted, pages).select("complete")
+            orphans = links.orphan_pages(keys, listed, links.inbound_links(edges, outcomes))
+            member_rows.append(orphans.filter(complete.scalar()))
     for check in checks:
         member_rows.append(check(pages))
     rows = member_rows[0]

@@ -313,7 +313,7 @@ c AS (SELECT type, message, count(DISTINCT url) AS pages, min(page_id) AS s FROM
 r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY pages DESC, s, message) AS n, count(*) OVER (PARTITION BY type) AS total FROM c)
 SELECT type, CAST(n AS BIGINT) AS n, message, pages, CAST(greatest(total - 3, 0) AS BIGINT) AS more_messages FROM r WHERE n <= 3""")
 def digest_messages(spark, sf):
-    out = rollup.digest_messages(rollup.hits(issue_rows(_audited(spark, sf)).filter("false"), _members(_audited(spark, sf, "main_landmark"))))
+    out = rollup.digest_messages(rollup.hits(None, materialise(_members(_audited(spark, sf, "main_landmark")), "query-members")))
     return out.selectExpr("type", "posexplode(messages) AS (pos, m)", "CAST(more_messages AS BIGINT) AS more_messages").selectExpr(
         "type", "CAST(pos + 1 AS BIGINT) AS n", "m.message AS message", "m.pages AS pages", "more_messages")
 
@@ -324,7 +324,7 @@ u AS (SELECT type, context, url, row_number() OVER (PARTITION BY type, context O
 SELECT type, CAST(n AS BIGINT) AS n, context, pages, (SELECT string_agg(url, ' ' ORDER BY k) FROM u WHERE u.type = r.type AND u.context = r.context AND k <= 3) AS urls,
 CAST(greatest(total - 5, 0) AS BIGINT) AS more_variants FROM r WHERE n <= 5""")
 def digest_variants(spark, sf):
-    out = rollup.digest_variants(rollup.hits(issue_rows(_audited(spark, sf)).filter("false"), _members(_audited(spark, sf, "main_landmark"))))
+    out = rollup.digest_variants(rollup.hits(None, materialise(_members(_audited(spark, sf, "main_landmark")), "query-members")))
     return out.selectExpr("type", "posexplode(variants) AS (pos, v)", "CAST(more_variants AS BIGINT) AS more_variants").selectExpr(
         "type", "CAST(pos + 1 AS BIGINT) AS n", "v.context AS context", "v.pages AS pages", "array_join(v.urls, ' ') AS urls", "more_variants")
 

@@ -99,3 +99,37 @@ def test_stream_summary_replaces_older_records(spark, folder):
         newest = sorted(os.listdir(f"{folder}/out/counts"))[-1]
         assert [r.errors for r in spark.read.parquet(f"{folder}/out/counts/{newest}").collect()] == [expected]
     assert "fetched_at" in STREAM_SCHEMA
+
+
+def test_size_limits_of_sitemaps(spark, monkeypatch):
+    from crawlsieve.operators import sitemaps
+    from crawlsieve.sources import sitemaps as source
+    monkeypatch.setattr(sitemaps, "MAX_ENTRIES", 2)
+    monkeypatch.setattr(source, "MAX_BYTES", 200)
+    body = "<urlset>" + "".join(f"<url><loc>https://a.example/{i}</loc></url>" for i in range(3)) + "</urlset>"
+    rows = [(1, "https://a.example/1.xml", "https://a.example/1.xml", body, 200), (2, "https://a.example/2.xml", "https://a.example/2.xml", body + " " * 200, 200)]
+    files = source.sitemap_files(spark.createDataFrame(rows, source.FILE_SCHEMA))
+    found = sitemaps.sitemap_file_checks(files, source.sitemap_entries(files)).collect()
+    assert sorted((r.type, r.severity, r.context) for r in found) == [
+        ("sitemap-too-large", "error", "https://a.example/2.xml"), ("sitemap-too-many-urls", "error", "https://a.example/1.xml has 3")]
+
+
+def test_audit_with_everything_stored(spark):
+    """Sitemap, robots.txt, link outcomes and lab runs beside the crawl: an orphan is found because all links are known."""
+    html = "<title>{}</title><a href=/a>a</a>"
+    pages = as_crawl(spark.createDataFrame([(0, "https://s.example/", html.format("h")), (1, "https://s.example/a", html.format("a")), (2, "https://s.example/b", html.format("b"))], "seq BIGINT, url STRING, html STRING"))
+    locs = "".join(f"<url><loc>https://s.example/{p}</loc><lastmod>2026-01-0{i + 1}</lastmod></url>" for i, p in enumerate(("", "a", "b")))
+    bodies = spark.createDataFrame([(0, "https://s.example/m.xml", "https://s.example/m.xml", f"<urlset>{locs}</urlset>", 200)], "file_seq INT, url STRING, final_url STRING, body STRING, http_status INT")
+    entries = spark.createDataFrame([(i, f"https://s.example/{p}", "sitemap", "https://s.example/m.xml", False, None) for i, p in enumerate(("", "a", "b"))],
+                                    "seq BIGINT, value STRING, source STRING, sitemap STRING, lighthouse BOOLEAN, rejected STRING")
+    robots = spark.createDataFrame([("https://s.example", 200, "User-agent: *\nDisallow: /b", None)], "origin STRING, http_status INT, body STRING, error STRING")
+    outcomes = spark.createDataFrame([], "url STRING, status INT, final_url STRING, redirects ARRAY<STRUCT<url: STRING, status: INT, location: STRING>>, canonical STRING, failed STRING")
+    lab = spark.createDataFrame([("https://s.example/a", 1, json.dumps({"categories": {"seo": {"score": 0.4, "auditRefs": []}}, "audits": {}}), None)], "url STRING, run INT, result STRING, error STRING")
+    result = audit(pages, robots_files=robots, sitemap_bodies=bodies, entries=entries, link_outcomes=outcomes, lab_runs=lab)
+    found = {(r.type, r.url) for r in result.site_members.collect()}
+    assert found == {("orphan-page", "https://s.example/b"), ("blocked-by-robots", "https://s.example/b")}
+    assert {(r.url, r.severity) for r in result.page_issues.filter("type = 'score-low-seo'").collect()} == {("https://s.example/a", "warning")}
+    assert [r.sitemap_lastmod for r in result.pages.orderBy("seq").collect()] == ["2026-01-01", "2026-01-02", "2026-01-03"]
+    assert result.origins.collect()[0].ai_search["OAI-SearchBot"] == "partial"
+    assert result.health.collect()[0].asDict() == {"errors": 0, "warnings": 3, "clean": 0}
+    assert result.findings.filter("type = 'orphan-page'").collect()[0].pages == 1 and result.page_lines.count() == 3
