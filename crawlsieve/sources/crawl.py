@@ -41,10 +41,10 @@ def read_crawl(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     if "page_id" in df.columns and "seq" not in df.columns:
         df = df.withColumnRenamed("page_id", "seq")
-    # Parsing is CPU work.  A table of a few files would leave most cores idle, so only then are its rows spread; a
-    # crawl of many files is read in as many tasks as it has splits, without a shuffle.
+    # Parsing is CPU work.  A table read in a few tasks would leave most cores idle, so only then are its rows spread.
+    # The number of tasks counts splits, not files: a crawl of some large files is never shuffled.
     cores = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < cores:
+    if df.rdd.getNumPartitions() * 4 <= cores:
         df = df.repartition(cores, "seq")
     return as_crawl(df)
 
