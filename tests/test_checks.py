@@ -20,10 +20,19 @@ def test_clean_page(spark):
     assert types(spark, CLEAN) == []
 
 
-def test_broken_page_is_an_issue_of_that_page(spark):
+def test_broken_page_is_an_issue_of_that_page(spark, monkeypatch):
     from crawlsieve.operators import nodes
-    pages = spark.createDataFrame([(1, "https://a.example/", "x"), (2, "https://b.example/", CLEAN)], "seq BIGINT, url STRING, html STRING")
-    assert nodes.extract_nodes(as_crawl(pages)).filter("parse_error IS NOT NULL").count() == 0
+    read = nodes.read_page
+
+    def fails(html):
+        if html == "boom":
+            raise ValueError("no tree")
+        return read(html)
+
+    monkeypatch.setattr(nodes, "read_page", fails)
+    pages = as_crawl(spark.createDataFrame([(1, "https://a.example/", "boom"), (2, "https://b.example/", CLEAN)], "seq BIGINT, url STRING, html STRING"))
+    found = page_issues(pages, "response", "title").collect()
+    assert [(r.seq, r.type, r.message) for r in found] == [(1, "check-failed", "Page could not be processed: ValueError: no tree")]
 
 
 def test_label_of_first_control_only(spark):
