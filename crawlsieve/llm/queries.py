@@ -23,16 +23,16 @@ def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORD = r"[^\x20\x09-\x0D]+"
 _OP5_SQL = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, regexp_extract_all(text, '{_WORD}') AS words, list_filter(string_split(text, chr(10)), l -> regexp_matches(l, '{_WORD}')) AS lines FROM t),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '{_WORD}') AS words, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{_WORD}')) AS lines FROM t),
 places AS (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w),
 windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i:i + 4]) AS times FROM places),
 repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM windows, range(5) AS r(k) WHERE times > 1 GROUP BY doc_id),
 m AS (
-  SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
-    len(list_filter(words, x -> lower(x) IN ({", ".join(f"'{x}'" for x in sorted(set(quality.STOP_WORDS)))}))) AS stops,
-    len(list_filter(words, x -> regexp_matches(x, '\p{{L}}'))) AS letters, len(lines) AS n_lines,
-    len(list_filter(lines, l -> regexp_matches(l, '^\s*[-*•]'))) AS bullets, len(list_filter(lines, l -> regexp_matches(l, '(\.\.\.|…)\s*$'))) AS ellipses
+    len(list_filter(words, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in sorted(set(quality.STOP_WORDS)))}))) AS stops,
+    len(list_filter(words, lambda x: regexp_matches(x, '\p{{L}}'))) AS letters, len(lines) AS n_lines,
+    len(list_filter(lines, lambda l: regexp_matches(l, '^\s*[-*•]'))) AS bullets, len(list_filter(lines, lambda l: regexp_matches(l, '(\.\.\.|…)\s*$'))) AS ellipses
   FROM w LEFT JOIN repeats USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
