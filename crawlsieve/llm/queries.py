@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, quality
+from . import chosen_path, lm, quality
 from .common import is_held_out, table
 
 
@@ -20,6 +20,10 @@ def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_score(docs, model)
 
 
+def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.similar(table(spark, sf_dir, "documents"))
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
 _OP5_SQL = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -40,5 +44,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND letters / n_words >= 0.7 AND bullets / n_lines <= 0.9 AND ellipses / n_lines <= 0.3 AND n_dup_lines / n_lines <= 0.334 AS kept
 FROM b"""
 
-QUERIES = {"op5_quality": op5_quality, "op7_lm": op7_lm}
+QUERIES = {"op5_quality": op5_quality, "op7_lm": op7_lm, "op8_chosen_path": op8_chosen_path}
 ORACLES = {"op5_quality": _OP5_SQL}
