@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, lm, quality
+from . import chosen_path, decontaminate, lm, quality, toxicity
 from .common import is_held_out, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -24,6 +29,10 @@ def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.similar(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
 _OP5_SQL = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -44,5 +53,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND letters / n_words >= 0.7 AND bullets / n_lines <= 0.9 AND ellipses / n_lines <= 0.3 AND n_dup_lines / n_lines <= 0.334 AS kept
 FROM b"""
 
-QUERIES = {"op5_quality": op5_quality, "op7_lm": op7_lm, "op8_chosen_path": op8_chosen_path}
+QUERIES = {"op1_toxicity": op1_toxicity, "op5_quality": op5_quality, "op7_lm": op7_lm, "op8_chosen_path": op8_chosen_path, "op10_decontaminate": op10_decontaminate}
 ORACLES = {"op5_quality": _OP5_SQL}

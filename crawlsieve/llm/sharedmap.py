@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,6 +53,12 @@ class SharedMap:
             places = np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
             yield order[lo:hi][hit], n, np.asarray(mapped(name.format("values"), "i8")[places]) if len(places) else places
 
+    def files(self) -> Iterator[np.ndarray]:
+        """The keys, file by file."""
+        for bucket in range(1 << self.bits if self.size else 0):
+            with suppress(FileNotFoundError):
+                yield mapped(f"{self.folder}/keys-{bucket}", "u8")
+
     def has(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), bool)
         for at, _, _ in self.rows(keys):
