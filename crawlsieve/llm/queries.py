@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, decontaminate, lm, quality, toxicity
+from . import bpe, chosen_path, decontaminate, lm, quality, toxicity
 from .common import is_held_out, table
 
 
@@ -14,6 +15,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -53,5 +58,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND letters / n_words >= 0.7 AND bullets / n_lines <= 0.9 AND ellipses / n_lines <= 0.3 AND n_dup_lines / n_lines <= 0.334 AS kept
 FROM b"""
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op5_quality": op5_quality, "op7_lm": op7_lm, "op8_chosen_path": op8_chosen_path, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_byte_bpe": op3_byte_bpe, "op5_quality": op5_quality, "op7_lm": op7_lm, "op8_chosen_path": op8_chosen_path, "op10_decontaminate": op10_decontaminate}
 ORACLES = {"op5_quality": _OP5_SQL}
