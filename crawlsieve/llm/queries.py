@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chosen_path, decontaminate, lm, quality, toxicity
+from . import bpe, chosen_path, decontaminate, lm, quality, tokenfile, toxicity
 from .common import is_held_out, table
 
 
@@ -34,6 +34,11 @@ def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.similar(table(spark, sf_dir, "documents"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, files = tokenfile.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfile.read_digests(files, folder)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,5 +63,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND letters / n_words >= 0.7 AND bullets / n_lines <= 0.9 AND ellipses / n_lines <= 0.3 AND n_dup_lines / n_lines <= 0.334 AS kept
 FROM b"""
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_byte_bpe": op3_byte_bpe, "op5_quality": op5_quality, "op7_lm": op7_lm, "op8_chosen_path": op8_chosen_path, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_byte_bpe": op3_byte_bpe, "op5_quality": op5_quality, "op7_lm": op7_lm, "op8_chosen_path": op8_chosen_path, "op9_token_files": op9_token_files, "op10_decontaminate": op10_decontaminate}
 ORACLES = {"op5_quality": _OP5_SQL}
