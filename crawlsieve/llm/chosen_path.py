@@ -41,7 +41,7 @@ THRESHOLD = 0.8
 TARGET_RECALL = 0.99999
 CHOICES, DEEPER = 4.0, 1.5
 #: Classes in a bucket that is compared as it is, rows of a block of a larger one, levels of splitting.
-SMALL, BLOCK, LEVELS = 512, 1024, 4
+SMALL, BLOCK, LEVELS = 512, 512, 4
 BINS = 64
 _ALIKE = 0.6
 
@@ -180,7 +180,7 @@ def _runs_of(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], rows: in
         yield pa.Table.from_batches(held)
 
 
-def _pairs(start: np.ndarray, n: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(start: np.ndarray, n: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places within the groups that begin at ``start``, some groups at a time."""
     group = np.repeat(np.arange(len(n)), n)
     place = np.repeat(start, n) + (np.arange(len(group)) - np.repeat(np.cumsum(n) - n, n))
@@ -192,31 +192,28 @@ def _pairs(start: np.ndarray, n: np.ndarray, most: int = 1_000_000) -> Iterator[
         yield left, left + 1 + (np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m))
 
 
-def _likely(size_a, size_b, sketch_a, sketch_b, threshold: float) -> np.ndarray:
-    """Pairs that may reach the threshold, by their sizes and sketches."""
-    ok = np.minimum(size_a, size_b) >= threshold * np.maximum(size_a, size_b)
-    at = np.flatnonzero(ok)
-    for lo in range(0, len(at), 100_000):
-        i = at[lo:lo + 100_000]
-        x, y = sketch_a[i], sketch_b[i]
+def _likely(a: np.ndarray, b: np.ndarray, size: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of some pairs of places that may reach the threshold, by their sizes and sketches."""
+    ok = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b])
+    a, b = a[ok], b[ok]
+    ok = np.zeros(len(a), bool)
+    for lo in range(0, len(a), 50_000):
+        x, y = sketch[a[lo:lo + 50_000]], sketch[b[lo:lo + 50_000]]
         n = ((x | y) != 0).sum(1)
         same = ((x == y) & (x != 0)).sum(1)
-        ok[i] = same >= threshold * n - 5.5 * np.sqrt(threshold * (1 - threshold) * n)
-    return ok
-
-
-def _is_least_common(key: np.ndarray, keys_a: np.ndarray, keys_b: np.ndarray) -> np.ndarray:
-    """Whether no smaller key is in both padded lists."""
-    out = np.ones(len(key), bool)
-    for lo in range(0, len(key), 20_000):
-        k, x, y = key[lo:lo + 20_000], keys_a[lo:lo + 20_000], keys_b[lo:lo + 20_000]
-        for column in range(x.shape[1]):
-            value = x[:, column]
-            small = np.flatnonzero((value < k) & out[lo:lo + 20_000])
-            if not len(small):
-                continue
-            hit = (y[small] == value[small, None]).any(1)
-            out[lo + small[hit]] = False
+        ok[lo:lo + 50_000] = same >= threshold * n - 5.5 * np.sqrt(threshold * (1 - threshold) * n)
+    return a[ok], b[ok]
+
+
+def _is_least_common(a: np.ndarray, b: np.ndarray, key: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Of some pairs of places, whether no key smaller than that of the bucket is in both padded lists."""
+    out = np.ones(len(a), bool)
+    for column in range(keys.shape[1]):
+        value = keys[a, column]
+        at = np.flatnonzero(out & (value < key[a]))
+        for lo in range(0, len(at), 20_000):
+            i = at[lo:lo + 20_000]
+            out[i[(keys[b[i]] == value[i, None]).any(1)]] = False
     return out
 
 
@@ -253,9 +250,8 @@ def _likely_members(threshold: float):
             for a, b in _pairs(*_groups(table)):
                 ok = (side[a] != side[b]) | ~crossing[a]
                 a, b = a[ok], b[ok]
-                ok = _likely(size[a], size[b], sketch[a], sketch[b], threshold)
-                a, b = a[ok], b[ok]
-                ok = _is_least_common(key[a], keys[a], keys[b])
+                a, b = _likely(a, b, size, sketch, threshold)
+                ok = _is_least_common(a, b, key, keys)
                 marked[a[ok]] = marked[b[ok]] = True
             kept = table.filter(pa.array(marked))
             yield from kept.select(["key", "cell", "side", "crossing", "class", "first_id", "texts", "keys"]).to_batches()
@@ -301,7 +297,7 @@ def _compared(threshold: float):
                 a, b = a + start, b + start
                 ok = ((side[a] != side[b]) | ~crossing[a]) & (ids[a] != ids[b])
                 a, b = a[ok], b[ok]
-                ok = _is_least_common(key[a], keys[a], keys[b])
+                ok = _is_least_common(a, b, key, keys)
                 a, b = a[ok], b[ok]
                 np.add.at(linked, a, texts[b])
                 np.add.at(linked, b, texts[a])
