@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chosen_path, decontaminate, lm, quality, tokenfile, toxicity
+from . import bpe, chosen_path, decontaminate, lm, pii, quality, tokenfile, toxicity
 from .common import is_held_out, table
 
 
@@ -24,6 +24,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.spans(docs, pii.disclosing_terms(docs))
+
+
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", is_held_out("doc_id", 7, 2).alias("held_out"))
     model = lm.train(docs.filter(~F.col("held_out")))
@@ -63,5 +68,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND letters / n_words >= 0.7 AND bullets / n_lines <= 0.9 AND ellipses / n_lines <= 0.3 AND n_dup_lines / n_lines <= 0.334 AS kept
 FROM b"""
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_byte_bpe": op3_byte_bpe, "op5_quality": op5_quality, "op7_lm": op7_lm, "op8_chosen_path": op8_chosen_path, "op9_token_files": op9_token_files, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_byte_bpe": op3_byte_bpe, "op5_quality": op5_quality, "op6_pii": op6_pii, "op7_lm": op7_lm, "op8_chosen_path": op8_chosen_path, "op9_token_files": op9_token_files, "op10_decontaminate": op10_decontaminate}
 ORACLES = {"op5_quality": _OP5_SQL}
