@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chosen_path, decontaminate, lm, pii, quality, tokenfile, toxicity
+from . import bpe, chosen_path, decontaminate, lm, pii, quality, tokencounts, tokenfile, toxicity, warc
 from .common import is_held_out, table
 
 
@@ -15,10 +15,49 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archive = warc.write_archive(pages)
+    records = warc.read_records(archive, warc.look_up(archive, pages), with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+h AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS head FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> head THEN head END AS refers_to
+FROM h"""
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches over all documents: two versions inserted, texts with repeated lines revised, short ones deleted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    rollup = tokencounts.Rollup(spark)
+    for version in tokencounts.COUNTERS:
+        rollup.commit(version, docs.select(F.lit("insert").alias("op"), "doc_id", F.lit(version).alias("version"), "source", "lang", tokencounts.counted(F.col("text"), version).alias("n_tokens")))
+    lines = docs.withColumn("lines", F.split("text", "\n")).filter(F.size("lines") > F.size(F.array_distinct("lines"))).withColumn("text", F.array_join(F.array_distinct("lines"), "\n"))
+    counts = F.explode(F.array(*[F.struct(F.lit(v).alias("version"), tokencounts.counted(F.col("text"), v).alias("n_tokens")) for v in tokencounts.COUNTERS]))
+    revised = lines.select("doc_id", "source", "lang", counts.alias("c")).select(F.lit("revise").alias("op"), "doc_id", "c.version", "source", "lang", "c.n_tokens")
+    rollup.commit("lines-once", revised)
+    rollup.commit("lines-once", revised)  # as after a lost answer: changes nothing
+    short = rollup.ledger().filter("version = 'words-1' AND n_tokens < 10").select("doc_id")
+    rollup.commit("short", rollup.ledger().join(short, "doc_id", "left_semi").withColumn("op", F.lit("delete")))
+    return rollup.totals()
+
+
+_OP4_SQL = r"""
+WITH d AS (SELECT source, lang, array_to_string(list_distinct(string_split(coalesce(text, ''), chr(10))), chr(10)) AS t FROM documents),
+c AS (SELECT source, lang, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS words, len(regexp_extract_all(t, '\p{L}+|\p{N}+|[^\x20\x09-\x0D\p{L}\p{N}]')) AS pieces FROM d)
+SELECT source, lang, 'words-1' AS version, count(*) AS docs, sum(words)::BIGINT AS tokens FROM c WHERE words >= 10 GROUP BY ALL
+UNION ALL SELECT source, lang, 'pieces-1', count(*), sum(pieces)::BIGINT FROM c WHERE words >= 10 GROUP BY ALL"""
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -68,5 +107,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND letters / n_words >= 0.7 AND bullets / n_lines <= 0.9 AND ellipses / n_lines <= 0.3 AND n_dup_lines / n_lines <= 0.334 AS kept
 FROM b"""
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_byte_bpe": op3_byte_bpe, "op5_quality": op5_quality, "op6_pii": op6_pii, "op7_lm": op7_lm, "op8_chosen_path": op8_chosen_path, "op9_token_files": op9_token_files, "op10_decontaminate": op10_decontaminate}
-ORACLES = {"op5_quality": _OP5_SQL}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_warc": op2_warc, "op3_byte_bpe": op3_byte_bpe, "op4_token_counts": op4_token_counts, "op5_quality": op5_quality, "op6_pii": op6_pii, "op7_lm": op7_lm, "op8_chosen_path": op8_chosen_path, "op9_token_files": op9_token_files, "op10_decontaminate": op10_decontaminate}
+ORACLES = {"op2_warc": _OP2_SQL, "op4_token_counts": _OP4_SQL, "op5_quality": _OP5_SQL}
