@@ -41,7 +41,7 @@ THRESHOLD = 0.8
 TARGET_RECALL = 0.99999
 CHOICES, DEEPER = 4.0, 1.5
 #: Classes in a bucket that is compared as it is, rows of a block of a larger one, levels of splitting.
-SMALL, BLOCK, LEVELS = 512, 512, 4
+SMALL, BLOCK, LEVELS = 512, 512, 3
 BINS = 64
 _ALIKE = 0.6
 
@@ -250,6 +250,9 @@ def _likely_members(threshold: float):
             for a, b in _pairs(*_groups(table)):
                 ok = (side[a] != side[b]) | ~crossing[a]
                 a, b = a[ok], b[ok]
+                for column in range(min(3, keys.shape[1])):  # most pairs that met before meet at the same place of their lists
+                    ok = (keys[a, column] != keys[b, column]) | (keys[a, column] >= key[a])
+                    a, b = a[ok], b[ok]
                 a, b = _likely(a, b, size, sketch, threshold)
                 ok = _is_least_common(a, b, key, keys)
                 marked[a[ok]] = marked[b[ok]] = True
@@ -363,38 +366,40 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float
         F.min("doc_id").alias("first_id"), F.count("*").alias("texts"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "classes")
 
     # buckets, level by level
-    members = classes.selectExpr("explode(paths) AS key", "class").distinct()
-    leaves, large = [], []
+    members = classes.selectExpr("explode(paths) AS key", "class")
+    leaves, large, firsts = [], [], None
     for level in range(LEVELS):
         if level:
-            members = texts.mapInArrow(_deeper(threshold, runs, firsts, large), "key long, class long").distinct()  # noqa: F821
-        sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        members = written(members.join(sizes, "key"), "members")
+            members = texts.mapInArrow(_deeper(threshold, runs, firsts, large), "key long, class long").distinct()
+        members = written(members.join(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), "members")
         leaves.append(members.filter(F.col("n") <= SMALL))
         wide = members.filter(F.col("n") > SMALL)
-        if level == LEVELS - 1 or wide.isEmpty():
+        if level == LEVELS - 1:
             leaves.append(wide)
             break
-        draws = [F.min_by("sketch", F.xxhash64("class", F.lit(i))).alias(f"s{i}") for i in range(8)]
-        judged = wide.join(classes.select("class", "sketch"), "class").groupBy("key").agg(*draws).mapInArrow(_alike, "key long, alike boolean")
-        judged = written(judged, "judged")
-        leaves.append(wide.join(judged.filter("alike"), "key", "left_semi"))
-        split = judged.filter("NOT alike").select("key")
+        split = wide.select("key").distinct()
+        if not level:
+            draws = [F.min_by("sketch", F.xxhash64("class", F.lit(i))).alias(f"s{i}") for i in range(8)]
+            judged = wide.join(classes.select("class", "sketch"), "class").groupBy("key").agg(*draws).mapInArrow(_alike, "key long, alike boolean")
+            judged = written(judged, "judged")
+            leaves.append(wide.join(judged.filter("alike"), "key", "left_semi"))
+            split = judged.filter("NOT alike").select("key")
         n = split.count()
         if not n:
             break
         large.append(share(split, "large", n))
-        going = wide.join(split, "key", "left_semi").select("class").distinct().join(classes.select("class", "first_id"), "class")
-        firsts = _firsts(written(going, "going"))
+        if not level:  # the classes that go deeper; later levels have some of these
+            firsts = _firsts(wide.join(split, "key", "left_semi").select("class").distinct().join(classes.select("class", "first_id"), "class"))
 
     leaf = leaves[0]
     for more in leaves[1:]:
         leaf = leaf.unionByName(more)
     band = f"CAST(floor(ln(size) / {math.log(1 / threshold) * 1.0001}) AS INT)"
     banded = leaf.filter(F.col("n") > SMALL).join(classes.select("class", "size"), "class").selectExpr("class", "key", f"explode(array({band}, {band} + 1)) AS band")
-    banded = written(banded.select(F.xxhash64("key", "band").alias("key"), "class"), "banded")
-    sizes = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    leaf = written(leaf.filter(F.col("n") <= SMALL).unionByName(banded.join(sizes, "key")), "leaves")
+    leaf = written(leaf.filter(F.col("n") <= SMALL).select("key", "class").unionByName(banded.select(F.xxhash64("key", "band").alias("key"), "class")), "leaves")
+    # of buckets with the same members one is enough
+    sizes = leaf.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")).filter("n > 1")
+    leaf = written(leaf.join(sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "key"), "leaves")
     keys = leaf.groupBy("class").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # bounded: paths of one class
     known = classes.select("class", "first_id", "texts", "size", "sketch").join(keys, "class")
     blocks = (leaf.join(known, "class")
@@ -427,8 +432,8 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float
 
 def _firsts(rows: DataFrame) -> SharedMap:
     """Ids of the first texts of some classes (class, first_id), scrambled, so that other copies need not be cut into words."""
-    ids = rows.select("first_id").filter("first_id IS NOT NULL").distinct().mapInArrow(_scrambled, "key long")
-    return share(ids, "firsts", max(1, rows.count()))
+    ids = written(rows.select("first_id").filter("first_id IS NOT NULL").distinct().mapInArrow(_scrambled, "key long"), "firsts")
+    return share(ids, "firsts", max(1, ids.count()))
 
 
 def _scrambled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
