@@ -226,7 +226,7 @@ def _continuations(layout: Layout):
         put_file(f"{layout.folder}/contexts-{bucket}", [contexts.tobytes()])
         notes = [x for x in group.column("note").to_pylist() if x]
         uses = mapped(f"{layout.folder}/uses-{bucket}", "u8")
-        notes.append(json.dumps({"tokens": int(uses.sum()), "distinct": int((uses > 0).sum()), "types": int(contexts.sum(dtype=np.int64)), "single": _classes(contexts)}))
+        notes.append(json.dumps({"bucket": bucket, "tokens": int(uses.sum()), "distinct": int((uses > 0).sum()), "types": int(contexts.sum(dtype=np.int64)), "single": _classes(contexts)}))
         return pa.table({"note": pa.array(notes, pa.string())})
     return task
 
@@ -255,9 +255,11 @@ class Model:
     word_discounts: list[float]
     left: float
     hot: list[list[int]]
+    filled: set[int]
 
     def _file(self, name: str, bucket: int, kind: str) -> np.ndarray:
-        return mapped(f"{self.layout.folder}/{name}-{bucket}", kind)
+        """A file of a bucket; a bucket that no training word fell into has none."""
+        return mapped(f"{self.layout.folder}/{name}-{bucket}", kind) if bucket in self.filled else np.zeros(0, kind)
 
     def words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Count, number of contexts and followers (3 classes) of distinct words in order; 0 for unknown ones."""
@@ -346,7 +348,7 @@ def train(docs: DataFrame) -> Model:
     word_discounts = discounts(single)
     classes = [single[0], single[1], sum(x.get("distinct", 0) for x in notes) - single[0] - single[1]]
     left = sum(d * n for d, n in zip(word_discounts[1:], classes, strict=True)) / types if types else 1.0
-    return Model(layout, total("tokens"), total("distinct"), types, n_texts, discounts(add("pairs", 4)), word_discounts, left, [[w, *hot[w]] for w in sorted(hot)])
+    return Model(layout, total("tokens"), total("distinct"), types, n_texts, discounts(add("pairs", 4)), word_discounts, left, [[w, *hot[w]] for w in sorted(hot)], {x["bucket"] for x in notes if "bucket" in x})
 
 
 def _frequent(texts: DataFrame, bits: int) -> tuple[list[int], list[int]]:
