@@ -12,7 +12,6 @@ from ..functions.urls import page_key, url_path, without_fragment
 from .site import members
 from .skew import salted_join
 
-MAX_LINK_CHECKS = 500  # Fixed value: link targets fetched in one run.
 OUTCOME_SCHEMA = ("url STRING, status INT, final_url STRING, redirects ARRAY<STRUCT<url: STRING, status: INT, location: STRING>>, "
                   "canonical STRING, failed STRING")
 
@@ -40,12 +39,19 @@ def known_outcomes(audited: DataFrame) -> DataFrame:
     return given.unionByName(final).groupBy("url").agg(F.min_by(fields, order).alias("o")).select("url", "o.*")
 
 
-def targets_to_fetch(edges: DataFrame, known: DataFrame, limit: int = MAX_LINK_CHECKS) -> tuple[DataFrame, DataFrame]:
-    """The most linked unknown targets, and how many are left out."""
+def targets_to_fetch(edges: DataFrame, known: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The unknown targets, most linked first, and how many of them a ``limit`` of the caller leaves out."""
     unknown = link_targets(edges).join(known.select(F.col("url").alias("target")), "target", "left_anti")
-    work = unknown.orderBy(F.desc("pages"), "first_seq", "target").limit(limit)
-    counted = unknown.agg(F.count("*").alias("n")).select(col(f"least(n, {limit})").alias("checked"), col(f"greatest(n - {limit}, 0)").alias("unchecked"))
-    return work.select("target", "pages"), counted
+    work = unknown.orderBy(F.desc("pages"), "first_seq", "target")
+    most = "n" if limit is None else str(limit)
+    counted = unknown.agg(F.count("*").alias("n")).select(col(f"least(n, {most})").alias("checked"), col(f"greatest(n - {most}, 0)").alias("unchecked"))
+    return (work if limit is None else work.limit(limit)).select("target", "pages"), counted
+
+
+def targets_checked(edges: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One row: how many targets have a stored outcome, and how many have none."""
+    known = outcomes.select(F.col("url").alias("target")).distinct().withColumn("known", F.lit(True))
+    return link_targets(edges).join(known, "target", "left").agg(F.count("known").alias("checked"), (F.count("*") - F.count("known")).alias("unchecked"))
 
 
 def outcome_issue() -> str:
@@ -92,14 +98,16 @@ def orphan_pages(pages: DataFrame, listings: DataFrame, inbound: DataFrame) -> D
     """Sitemap pages no other page links to, the home page left out."""
     listed = pages.join(listings.select("url").distinct(), "url", "left_semi")
     elsewhere = inbound.filter("source <> page_key").select("page_key").distinct()
-    orphans = listed.filter(f"has_facts AND {url_path('final_url')} NOT IN ('', '/')").join(elsewhere, "page_key", "left_anti")
-    sized = orphans.withColumns({"listed": listed.agg(F.count("*")).scalar(), "orphans": orphans.agg(F.count("*")).scalar()})
+    # One pass over the listed pages tells both numbers.
+    marked = listed.join(elsewhere.withColumn("linked", F.lit(True)), "page_key", "left").withColumn("orphan", col(f"has_facts AND linked IS NULL AND {url_path('final_url')} NOT IN ('', '/')"))
+    counts = marked.agg(F.count("*").alias("listed"), F.count_if("orphan").alias("orphans"))
+    sized = marked.join(F.broadcast(counts.withColumn("orphan", F.lit(True))), "orphan")  # one row
     return members(sized, "orphan-page", lit("No other page links to these sitemap pages"),
                    "concat(orphans, ' of ', listed, ' sitemap pages')", [])
 
 
 def links_complete(outcomes: DataFrame, counted: DataFrame, audited: DataFrame) -> DataFrame:
-    """One row: whether every link of every page is known and led somewhere known."""
+    """One row: whether every link of every page is known and led somewhere known (J30); ``counted`` is ``targets_checked``."""
     open_ends = outcomes.agg(F.count_if(col("failed IS NOT NULL OR status = 429 OR status >= 500")).alias("unresolved"))
     unread = audited.agg(F.count_if(col("exists(issues, i -> i.type IN ('check-failed', 'html-too-large'))")).alias("unread"))
     return counted.withColumns({"unresolved": open_ends.scalar(), "unread": unread.scalar()}).withColumn("complete", col("unchecked = 0 AND unread = 0 AND unresolved = 0"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..functions.sql import any_of, each, fresh, in_list, keep, let, lit
+from ..functions.sql import any_of, each, in_list, keep, let, lit
 from ..functions.text import clean
 from .families import named
 from .markup import attr, has_attr, own_tokens, trimmed_attr
@@ -37,19 +37,19 @@ def stages() -> list[dict[str, str]]:
     return [{"assets": assets, "generators": generators, "inline_script": inline}, {"platform": _platform()}]
 
 
-def _theme_json() -> str:
-    """The object assigned to Shopify.theme: read up to each closing brace in turn until it parses."""
-    raw = r"substr(regexp_extract(inline_script, r'(?s)\bShopify\.theme\s*=\s*(\{.*)', 1), 1, 10000)"
-    i, t = fresh("i"), fresh("t")
-    ends = lambda text: f"filter(sequence(1, char_length({text})), {i} -> substr({text}, {i}, 1) = '}}')"
-    parsed = lambda text: f"filter(transform({ends(text)}, {t} -> try_parse_json(left({text}, {t}))), {t} -> {t} IS NOT NULL)"
-    name = let(f"get({let(raw, parsed)}, 0)", lambda v: f"CASE WHEN schema_of_variant(variant_get({v}, '$.schema_name')) = 'STRING' THEN variant_get({v}, '$.schema_name', 'string') END")
-    return clean(name)
+# A JSON string, and the members of a flat object before the one that is wanted.
+_STRING = r'"(?:[^"\\]|\\.)*+"'
+_THEME_NAME = rf'\bShopify\.theme\s*=\s*\{{(?:[^{{}}"]|{_STRING}(?!\s*:)|(?!"schema_name"){_STRING})*?"schema_name"\s*:\s*({_STRING})'
+
+
+def _theme_name() -> str:
+    """The string under schema_name in the object assigned to Shopify.theme, found where it stands."""
+    return clean(f"try_variant_get(try_parse_json(nullif(regexp_extract(inline_script, r'{_THEME_NAME}', 1), '')), '$', 'string')")
 
 
 def _platform() -> str:
     theme = {
-        "Shopify": f"CASE WHEN inline_script RLIKE r'\\bShopify\\.theme\\s*=\\s*\\{{' THEN {_theme_json()} END",
+        "Shopify": f"CASE WHEN inline_script RLIKE r'\\bShopify\\.theme\\s*=\\s*\\{{' THEN {_theme_name()} END",
         "WordPress": clean("get(filter(transform(assets, a -> regexp_extract(a[2], '/wp-content/themes/([^/]+)/', 1)), t -> t <> ''), 0)"),
     }
     cases = []

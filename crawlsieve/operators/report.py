@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sql import col
@@ -11,7 +10,7 @@ from ..functions.text import MAX_URL, limit_text
 from ..functions.urls import parts
 
 SCHEMA_VERSION, DIGEST_VERSION = 1, 1  # Fixed values: versions of the document shapes.
-MAX_FACT_TEXT, MAX_H1S, MAX_HREFLANG, MAX_NAME, MAX_SKIPPED = 300, 10, 100, 100, 5
+MAX_FACT_TEXT, MAX_H1S, MAX_HREFLANG, MAX_NAME = 300, 10, 100, 100
 
 
 def report_facts(audited: DataFrame) -> DataFrame:
@@ -23,23 +22,24 @@ def report_facts(audited: DataFrame) -> DataFrame:
     })
 
 
-def content_names(pages: DataFrame) -> DataFrame:
-    """A safe unique name per page from host, path and query.
-
-    Clashes ignoring case are numbered in input order.  A name that already ends in such a number can clash again; the
-    number is then raised past the ones taken, with one more pass over clashing names only.
-    """
-    flat = f"transform(array({parts('url')}), p -> concat(regexp_replace(lower(p[1]), '^.*@', ''), CASE WHEN p[2] = '' THEN '/' ELSE p[2] END, p[3]))[0]"
+def _base_name(url: str = "url") -> str:
+    flat = f"transform(array({parts(url)}), p -> concat(regexp_replace(lower(p[1]), '^.*@', ''), CASE WHEN p[2] = '' THEN '/' ELSE p[2] END, p[3]))[0]"
     safe = f"nullif(left(regexp_replace(regexp_replace({flat}, '[^A-Za-z0-9.-]+', '_'), '^[._]+|[._]+$', ''), {MAX_NAME}), '')"
-    named = pages.select("seq", "url", col(f"coalesce({safe}, 'page')").alias("base"))
-    nth = F.row_number().over(W.partitionBy(F.lower("base")).orderBy("seq"))
-    return named.withColumn("nth", nth).select("seq", "url", col("concat(base, CASE WHEN nth = 1 THEN '' ELSE concat('-', nth) END, '.md')").alias("content_name"))
+    return f"coalesce({safe}, 'page')"
 
 
-def content_table(audited: DataFrame) -> DataFrame:
-    """Main text of each page that has HTML, under its name."""
-    html = audited.filter("main_area IS NOT NULL")
-    return content_names(html).join(html.select("url", "title", "main_area", "main_text"), "url")
+def content_table(audited: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
+    """Main text of each page that has HTML, under a safe unique name from host, path and query.
+
+    A name that several of ``addresses`` (seq, url; the pages themselves unless given) would have, ignoring case, gets a
+    hash of the page's address and number, so names are unique without numbering a group.  Clashing names are counted
+    task by task and joined to the pages; given the addresses of the crawl, no markup is parsed for that.
+    """
+    html = audited.filter("main_area IS NOT NULL").select("seq", "url", "title", "main_area", "main_text", col(_base_name()).alias("base"))
+    clashing = (addresses if addresses is not None else audited).select(col(f"lower({_base_name()})").alias("name")).groupBy("name").agg(F.count("*").alias("n")).filter("n > 1")
+    named = html.join(clashing.select("name", F.lit(True).alias("clashes")), F.lower("base") == F.col("name"), "left")
+    own = "CASE WHEN clashes THEN concat('-', left(sha1(concat(url, '\n', seq)), 12)) ELSE '' END"
+    return named.select("seq", "url", col(f"concat(base, {own}, '.md')").alias("content_name"), "title", "main_area", "main_text")
 
 
 def coverage(totals: dict, links: DataFrame, *, limit: int | None = None, sitemaps: int = 0, sitemaps_complete: bool = True,

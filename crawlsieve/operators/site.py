@@ -137,48 +137,49 @@ def hreflang_targets(pages: DataFrame) -> DataFrame:
 
 # --- response headers -----------------------------------------------------------------------------------------------
 
-# Where each kind of script finds its sources, and framing sources that admit any site.
-SCRIPT_DIRECTIVES = {"elements": ("script-src-elem", "script-src", "default-src"), "attributes": ("script-src-attr", "script-src", "default-src"),
-                     "eval": ("script-src", "default-src")}
-NONCE_OR_HASH = r"^'(nonce|sha256|sha384|sha512)-[a-z0-9+/_-]+={0,2}'$"
-ANY_ANCESTOR = r"^(\*|[a-z][a-z0-9+.-]*:|([a-z][a-z0-9+.-]*://)?\*(:(\*|[0-9]+))?(/.*)?)$"
+# The directives that govern each use, nearest first.
+GOVERNING = {"elements": ("script-src-elem", "script-src", "default-src"), "attributes": ("script-src-attr", "script-src", "default-src"),
+             "eval": ("script-src", "default-src"), "framing": ("frame-ancestors",)}
 MIN_COMPRESSIBLE_BYTES = 1400
+# The grammar of a nonce or hash source.
+_BASE64 = "[a-z0-9+/_-]+={0,2}"
+NONCE_OR_HASH = f" '(nonce|sha(256|384|512))-{_BASE64}' "
 
 
-def parse_csp(value: str) -> str:
-    """ARRAY of policies, each an ARRAY<STRUCT<name, sources>>; of a repeated directive the first one counts."""
-    words = lambda d: f"filter(split(trim(lower({d})), r'\\s+'), w -> w <> '')"
-    directive = lambda d: let(words(d), lambda w: f"named_struct('name', get({w}, 0), 'sources', slice({w}, 2, size({w})))")
-    return each(f"split({value}, ',')", lambda p: keep(each(f"split({p}, ';')", directive), lambda d: f"{d}.name IS NOT NULL"))
+def csp_sources(header: str, use: str) -> str:
+    """ARRAY of the source lists that govern a use, one for each policy of the header that restricts it.
 
+    A policy is searched as one string, ``;directive source source;``; a list has a space around each source.  The
+    first directive of a name counts, and of the names the nearest one that is there.
+    """
+    policies = each(f"split(lower({header}), ',')", lambda p: f"concat(';', regexp_replace({p}, r'\\s+', ' '), ';')")
+    found = lambda p: " ".join(f"WHEN {p} RLIKE '; ?{name}[ ;]' THEN concat(regexp_extract({p}, '; ?{name}((?: [^;]*)?);', 1), ' ')" for name in GOVERNING[use])
+    return keep(let(policies, lambda ps: each(ps, lambda p: f"CASE {found(p)} END")), lambda s: f"{s} IS NOT NULL")
 
-def _directive(policy: str, names) -> str:
-    return "coalesce(" + ", ".join(f"get(filter({policy}, d -> d.name = {lit(n)}), 0).sources" for n in names) + ")"
 
-
-def _allowed_by_all(policies: str, kind: str, allows) -> str:
-    lists = keep(each(policies, lambda p: _directive(p, SCRIPT_DIRECTIVES[kind])), lambda s: f"{s} IS NOT NULL")
-    return let(lists, lambda ls: f"(size({ls}) > 0 AND NOT exists({ls}, s -> NOT ({allows('s')})))")
+def _granted(header: str, use: str, source: str, unless: str = "false") -> str:
+    """Whether each of the policies that govern a use lists the source; what none governs is not granted by a policy."""
+    return let(csp_sources(header, use), lambda lists: (
+        f"(size({lists}) > 0 AND forall({lists}, s -> instr(s, {lit(f' {source} ')}) > 0 AND NOT ({unless})))"))
 
 
 def csp_weaknesses(value: str) -> str:
-    inline = lambda s: f"array_contains({s}, \"'unsafe-inline'\") AND NOT exists({s}, x -> x = \"'strict-dynamic'\" OR x RLIKE r\"{NONCE_OR_HASH}\")"
-    evals = lambda s: f"array_contains({s}, \"'unsafe-eval'\")"
-    return let(parse_csp(value), lambda ps: (
-        f"filter(array(CASE WHEN {_allowed_by_all(ps, 'elements', inline)} OR {_allowed_by_all(ps, 'attributes', inline)} THEN "
-        f"\"inline scripts ('unsafe-inline' without a nonce or hash)\" END, CASE WHEN {_allowed_by_all(ps, 'eval', evals)} THEN "
-        f"\"eval ('unsafe-eval')\" END), w -> w IS NOT NULL)"))
+    bound = f"instr(s, {lit(chr(32) + chr(39) + 'strict-dynamic' + chr(39) + chr(32))}) > 0 OR s RLIKE {lit(NONCE_OR_HASH)}"
+    inline = " OR ".join(_granted(value, use, "'unsafe-inline'", bound) for use in ("elements", "attributes"))
+    evaluated = _granted(value, "eval", "'unsafe-eval'")
+    return (f"array_compact(array(CASE WHEN {inline} THEN \"inline scripts ('unsafe-inline' without a nonce or hash)\" END, "
+            f"CASE WHEN {evaluated} THEN \"eval ('unsafe-eval')\" END))")
 
 
 def frame_ancestors(value: str) -> str:
-    """STRUCT<restricted, directive> of the frame-ancestors directives, NULL when there is none."""
-    lists = keep(each(parse_csp(value), lambda p: _directive(p, ("frame-ancestors",))), lambda s: f"{s} IS NOT NULL")
-    return (f"CASE WHEN {value} IS NOT NULL THEN {let(lists, lambda ls: _framing(ls))} END")
-
-
-def _framing(ls: str) -> str:
-    open_to_all = any_of(ls, lambda s: f"NOT exists({s}, x -> x RLIKE r'{ANY_ANCESTOR}')")
-    return f"CASE WHEN size({ls}) > 0 THEN named_struct('restricted', {open_to_all}, 'directive', concat('frame-ancestors ', array_join({ls}[0], ' '))) END"
+    """STRUCT<restricted, directive> of the frame-ancestors directives, NULL when there is none.
+
+    A source admits any site if nothing, or a star, is left of it without scheme, port and path.
+    """
+    host = lambda x: f"regexp_replace(regexp_replace({x}, '^[a-z][a-z0-9+.-]*:(//|$)', ''), '[:/].*$', '')"
+    closed = lambda s: f"forall(split(trim({s}), ' '), x -> x = '' OR {host('x')} NOT IN ('', '*'))"
+    return let(csp_sources(value, "framing"), lambda lists: (
+        f"CASE WHEN size({lists}) > 0 THEN named_struct('restricted', exists({lists}, s -> {closed('s')}), 'directive', concat('frame-ancestors', rtrim({lists}[0]))) END"))
 
 
 def _hsts_on(value: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -32,19 +33,24 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
 
 
-def shared_folder(spark) -> str | None:
-    """The checkpoint folder of the cluster, as its session names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or None
+def shared_folder(spark) -> str:
+    """The checkpoint folder of the cluster, as its session names it.
 
+    A local master may go without: it gets a temporary folder.  Elsewhere executors and driver do not see each other's
+    disks, so a missing setting is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
-def materialise(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """Write a table once and read it back: lineage is cut on shared storage, and consumers prune its columns.
 
-    Without a folder the plan is handed on as it is.
-    """
+def materialise(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write a table once and read it back: lineage is cut on shared storage, and consumers prune its columns."""
     folder = folder or shared_folder(df.sparkSession)
-    if not folder:
-        return df
     path = f"{folder.rstrip('/')}/crawlsieve/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -77,7 +77,7 @@ def audit(crawl: DataFrame, *, robots_files: DataFrame | None = None, sitemap_bo
         member_rows.append(links.link_checks(edges, outcomes))
         if listed is not None:
             # Only when every link of every page leads somewhere known can a page be told to have none.
-            counted = links.targets_to_fetch(edges, outcomes)[1]
+            counted = links.targets_checked(edges, outcomes)
             complete = links.links_complete(outcomes, counted, pages).select("complete")
             orphans = links.orphan_pages(keys, listed, links.inbound_links(edges, outcomes))
             member_rows.append(orphans.filter(complete.scalar()))

@@ -192,14 +192,14 @@ SELECT target, CAST(pages AS BIGINT) AS pages FROM t ORDER BY pages DESC, first_
 def targets_to_fetch(spark, sf):
     pages = page_columns(crawl(spark, sf), "internal_targets", "canonical", keep=("seq", "url", "final_url", "status", "redirects", "error"))
     edges = links.link_edges(pages)
-    return links.targets_to_fetch(edges, links.known_outcomes(pages))[0]
+    return links.targets_to_fetch(edges, links.known_outcomes(pages), limit=500)[0]
 
 
 @query("targets_left_out", f"""{_EDGES}, t AS (SELECT DISTINCT target FROM e WHERE target NOT IN (SELECT regexp_replace(url, '#.*$', '') FROM pages))
 SELECT CAST(least(count(*), 500) AS BIGINT) AS checked, CAST(greatest(count(*) - 500, 0) AS BIGINT) AS unchecked FROM t""")
 def targets_left_out(spark, sf):
     pages = page_columns(crawl(spark, sf), "internal_targets", "canonical", keep=("seq", "url", "final_url", "status", "redirects", "error"))
-    return links.targets_to_fetch(links.link_edges(pages), links.known_outcomes(pages))[1]
+    return links.targets_to_fetch(links.link_edges(pages), links.known_outcomes(pages), limit=500)[1]
 
 
 # --- checks that fire on the pages as they are ------------------------------------------------------------------------
@@ -361,11 +361,11 @@ def report_pages(spark, sf):
 _FLAT = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '^https?://', ''), '[^A-Za-z0-9.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g')"
 
 
-@query("content_table", f"""WITH b AS (SELECT page_id, html, left({_FLAT}, 100) AS base FROM pages), n AS (SELECT *, row_number() OVER (PARTITION BY lower(base) ORDER BY page_id) AS k FROM b)
-SELECT page_id, base || CASE WHEN k = 1 THEN '' ELSE '-' || k END || '.md' AS content_name, 'article' AS area, {d_limit(_ARTICLE, 1500)} AS main_text FROM n""")
+@query("content_table", f"""WITH b AS (SELECT page_id, url, html, left({_FLAT}, 100) AS base FROM pages), n AS (SELECT *, count(*) OVER (PARTITION BY lower(base)) AS k FROM b)
+SELECT page_id, base || CASE WHEN k = 1 THEN '' ELSE '-' || left(sha1(url || chr(10) || page_id), 12) END || '.md' AS content_name, 'article' AS area, {d_limit(_ARTICLE, 1500)} AS main_text FROM n""")
 def content_table(spark, sf):
     pages = page_columns(crawl(spark, sf), "title", "main_area", "main_text")
-    return report.content_table(pages).selectExpr("seq AS page_id", "content_name", "main_area AS area", "main_text")
+    return report.content_table(pages, crawl(spark, sf).select("seq", "url")).selectExpr("seq AS page_id", "content_name", "main_area AS area", "main_text")
 
 
 @query("unique_ids", """WITH i AS (SELECT page_id, url, unnest([1, 2, 3]) AS n FROM pages)

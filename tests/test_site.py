@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from crawlsieve import audit
-from crawlsieve.operators import site
+from crawlsieve.operators import links, report, site, sitemaps
 from crawlsieve.operators.rules import RULES
 from crawlsieve.operators.skew import salted_join
 from crawlsieve.queries.site import page_table
@@ -133,3 +133,36 @@ def test_audit_with_everything_stored(spark):
     assert result.origins.collect()[0].ai_search["OAI-SearchBot"] == "partial"
     assert result.health.collect()[0].asDict() == {"errors": 0, "warnings": 3, "clean": 0}
     assert result.findings.filter("type = 'orphan-page'").collect()[0].pages == 1 and result.page_lines.count() == 3
+
+
+def test_targets_without_an_outcome_are_open_ends(spark):
+    edges = spark.createDataFrame([(1, "https://a.example/", "https://a.example/", "https://a.example/x"), (1, "https://a.example/", "https://a.example/", "https://a.example/y")], "seq int, url string, final_url string, target string")
+    outcomes = spark.createDataFrame([("https://a.example/x", 200, "https://a.example/x", [], None, None)], links.OUTCOME_SCHEMA)
+    pages = spark.createDataFrame([(1, [])], "seq int, issues array<struct<type:string>>")
+    row = links.links_complete(outcomes, links.targets_checked(edges, outcomes), pages).first()
+    assert (row.checked, row.unchecked, row.complete) == (1, 1, False)
+    assert links.targets_to_fetch(edges, outcomes)[0].count() == 1
+
+
+def test_content_names_stay_unique(spark):
+    urls = ["https://a.example/x", "http://a.example/x", "https://a.example/x-2", "https://a.example/X", "https://a.example/y"]
+    pages = spark.createDataFrame([(i, u, "t", "main", "text") for i, u in enumerate(urls)], "seq int, url string, title string, main_area string, main_text string")
+    names = {r.seq: r.content_name for r in report.content_table(pages).collect()}
+    assert len({n.lower() for n in names.values()}) == 5 and names[4] == "a.example_y.md" and names[2] == "a.example_x-2.md"
+
+
+def test_every_foreign_host_of_a_sitemap_is_tested(spark):
+    hosts = [f"https://h{i:02}.example" for i in range(30)]
+    files = spark.createDataFrame([(1, "https://s.example/map.xml", "https://s.example/map.xml", "urlset")], "file_seq int, url string, final_url string, kind string")
+    entries = spark.createDataFrame([("https://s.example/map.xml", "urlset", i, f"{h}/p") for i, h in enumerate(hosts)], "file_url string, kind string, pos int, loc string")
+    named = spark.createDataFrame([(h, "ok", ["https://s.example/map.xml"]) for h in hosts[:29]], "origin string, status string, sitemaps array<string>")
+    assert [r.context for r in sitemaps.off_host(files, entries, named).collect()] == ["https://s.example/map.xml lists https://h29.example"]
+    assert sitemaps.off_host(files, entries, named.unionByName(spark.createDataFrame([(hosts[29], "ok", ["https://s.example/map.xml"])], named.schema))).count() == 0
+
+
+def test_link_labels_replace_links(spark):
+    from crawlsieve.operators import lab
+    texts = {"see [the guide](https://a.example/x_(y)) now": "see the guide now", "a [b](c d) e": "a [b](c d) e", "([x](https://u.example)).": "(x).", "no link](here": "no link](here", "": ""}
+    for text, want in texts.items():
+        row = spark.createDataFrame([(text,)], "t string").selectExpr(f"array_join({lab._unlinked(lab._link_parts('t'))}, '') AS out").first()
+        assert row.out == want
