@@ -21,7 +21,9 @@ of reading.  An empty table gives no files and no rows.  Other columns are not r
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mapped, new_folder, open_file, put_file
-from .units import Known
+from .units import Known, gathered
 from .words import slices
 
 MAGIC = b"RANKVB01"
@@ -70,6 +72,10 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+#: Letters that no normal form or lower case splits; İ becomes two characters.
+_LETTERS = re.compile("[ ]*[A-Za-zÀ-ÖØ-öø-įıĲ-ſ]+")
+
+
 @lru_cache(2)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
@@ -78,15 +84,35 @@ def _tokenizer(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
+    suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
+    ends = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+    for token, i in tokenizer.get_vocab().items() if suffix else ():
+        ends[i] = token.endswith(suffix)
+
     def encode(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [x.ids for x in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        return np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes
-    return Known(encode)
+        # a word of plain letters ends with its one token that ends a word, so one call can take all of these
+        plain = np.array([suffix is not None and _LETTERS.fullmatch(u) is not None for u in units], bool)
+        order = np.append(np.flatnonzero(plain), np.flatnonzero(~plain))
+        joined, *rest = (x.ids for x in tokenizer.encode_batch_fast(
+            [" ".join(u for u, p in zip(units, plain.tolist(), strict=True) if p), *(units[i] for i in np.flatnonzero(~plain).tolist())], add_special_tokens=False))
+        joined = np.array(joined, np.uint32)
+        sizes = np.append(np.diff(np.append(-1, np.flatnonzero(ends[joined]))), [len(x) for x in rest]).astype(np.int64)
+        ids = np.append(joined, np.fromiter((i for x in rest for i in x), np.uint32, sum(map(len, rest))))
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return gathered(ids, np.append(0, np.cumsum(sizes)), back)
+    return Known(encode, fine=True)
+
+
+def id_kind(tokenizer: str) -> str:
+    """Two bytes an id where they do."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def encode_texts(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> DataFrame:
-    """doc_id, ids (binary, unsigned 32-bit): the ids of every text with the end id.
+def encode_texts(docs: DataFrame, tokenizer: str, end_id: int | None = 1, kind: str = "<u4") -> DataFrame:
+    """doc_id, ids (binary, unsigned integers of ``kind``): the ids of every text with the end id.
 
     White space is dropped by these tokenizers and bounds every token, so units between it are encoded by themselves.
     """
@@ -98,27 +124,29 @@ def encode_texts(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> Dat
                 ids, sizes = known.ids(part.column("text"))
                 if end_id is not None:
                     ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
-                edges = pa.py_buffer(np.append(0, np.cumsum(sizes) * 4).astype(np.int32))
-                yield pa.record_batch([part.column("doc_id"), pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, edges, pa.py_buffer(ids.astype("<u4"))])], ["doc_id", "ids"])
+                edges = pa.py_buffer(np.append(0, np.cumsum(sizes) * np.dtype(kind).itemsize).astype(np.int32))
+                yield pa.record_batch([part.column("doc_id"), pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, edges, pa.py_buffer(ids.astype(kind))])], ["doc_id", "ids"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, "doc_id long, ids binary")
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << 16, np.int64)
-    for batch in batches:
-        own = np.bincount(_flat(batch.column("ids"))[0])
-        if len(own) > len(counts):
-            counts = np.append(counts, np.zeros(len(own) - len(counts), np.int64))
-        counts[:len(own)] += own
-    at = np.flatnonzero(counts)
-    yield pa.record_batch([pa.array(at), pa.array(counts[at])], ["id", "n"])
+def _counted(kind: str):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            own = np.bincount(_flat(batch.column("ids"), kind)[0])
+            if len(own) > len(counts):
+                counts = np.append(counts, np.zeros(len(own) - len(counts), np.int64))
+            counts[:len(own)] += own
+        at = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(at), pa.array(counts[at])], ["id", "n"])
+    return task
 
 
-def _flat(blobs: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+def _flat(blobs: pa.BinaryArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of some rows one after another, and the number of each."""
     _, offsets, data = blobs.buffers()
     offsets = np.frombuffer(offsets, np.int32)[blobs.offset:blobs.offset + len(blobs) + 1].astype(np.int64)
-    return np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]].view("<u4") if data is not None else np.zeros(0, np.uint32), np.diff(offsets) // 4
+    return np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]].view(kind) if data is not None else np.zeros(0, kind), np.diff(offsets) // np.dtype(kind).itemsize
 
 
 def _block(doc_ids: np.ndarray, sizes: np.ndarray, ranks: np.ndarray) -> bytes:
@@ -126,7 +154,7 @@ def _block(doc_ids: np.ndarray, sizes: np.ndarray, ranks: np.ndarray) -> bytes:
     return b"".join([doc_ids.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), control.tobytes(), data.tobytes()])
 
 
-def _file(folder: str):
+def _file(folder: str, kind: str):
     """Writes the rows of a task as one file; gives its name and number of ids."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +171,7 @@ def _file(folder: str):
                 if not batch.num_rows:
                     continue
                 name = name or f"part-{batch.column('part')[0].as_py():08d}"
-                ids, sizes = _flat(batch.column("ids"))
+                ids, sizes = _flat(batch.column("ids"), kind)
                 doc_ids = batch.column("doc_id").fill_null(int(NULL_ID)).to_numpy()
                 first = int(doc_ids[0]) if first is None else first
                 edges, lo = np.append(0, np.cumsum(sizes)), 0
@@ -173,14 +201,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> tup
     """Writes the ids of all texts; gives the folder and its files in order: name, n_ids, n_bytes, start (ids of all files before)."""
     spark = docs.sparkSession
     folder = new_folder(spark, "tokens")
-    encode_texts(docs, tokenizer, end_id).withColumn("seq", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{folder}/encoded")
+    kind = id_kind(tokenizer)
+    encode_texts(docs, tokenizer, end_id, kind).withColumn("seq", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{folder}/encoded")
     rows = spark.read.schema("doc_id long, ids binary, seq long").parquet(f"{folder}/encoded")
-    counts = rows.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
+    counts = rows.select("ids").mapInArrow(_counted(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
     counts = counts.sort_values(["n", "id"], ascending=[False, True])
     put_file(f"{folder}/ranks", [counts["id"].to_numpy("<u4").tobytes()])
     files = max(1, -(-int(counts["n"].sum()) // FILE_IDS))
     dealt = rows.repartitionByRange(files, "doc_id", "seq").sortWithinPartitions("doc_id", "seq").withColumn("part", F.spark_partition_id())
-    dealt.select("doc_id", "ids", "part").mapInArrow(_file(folder), "name string, n_ids long, n_bytes long").write.parquet(f"{folder}/files")
+    dealt.select("doc_id", "ids", "part").mapInArrow(_file(folder, kind), "name string, n_ids long, n_bytes long").write.parquet(f"{folder}/files")
     made = spark.read.schema("name string, n_ids long, n_bytes long").parquet(f"{folder}/files")
     # a row a file: names sort as their ranges do
     listed, start = [], 0

@@ -18,14 +18,29 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[ord(c) for c in ASCII_SPACE]] = True
 
 
-def units_of(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """Units of some texts one after another, and the number of units of each text; joined they are the texts."""
+_WORD = np.zeros(256, bool)
+_WORD[[c for c in range(128) if chr(c).isalnum()]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+_BLANK = np.arange(256, dtype=np.uint8)
+_BLANK[[ord(c) for c in ASCII_SPACE]] = ord(" ")
+
+
+def units_of(column: pa.Array, fine: bool = False) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Units of some texts one after another, and the number of units of each text; joined they are the texts.
+
+    ``fine`` is for tokenizers that drop white space and end a token where an ASCII letter or digit is followed by an
+    ASCII mark: units end there too, and all white space is written as spaces, so fewer units are different.
+    """
     data, offsets = text_buffer(column)
     if not len(data):
         return pa.array([], pa.large_string()).dictionary_encode(), np.zeros(len(column), np.int64)
     space = _SPACE[data]
     begins = space.copy()
     begins[1:] &= ~space[:-1]
+    if fine:
+        begins[1:] |= _MARK[data[1:]] & _WORD[data[:-1]]
+        data = _BLANK[data]
     begins[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
     starts = np.flatnonzero(begins)
     units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data))
@@ -50,8 +65,8 @@ def per_group(n: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Known:
     """Ids of units seen so far.  ``encode`` gives the ids of a list of units one after another, and the number of each."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000, fine: bool = False):
+        self.encode, self.most, self.fine = encode, most, fine
         self._clear()
 
     def _clear(self) -> None:
@@ -72,7 +87,7 @@ class Known:
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some texts one after another, and the number of ids of each text."""
-        units, per_text = units_of(column)
+        units, per_text = units_of(column, self.fine)
         distinct = units.dictionary.to_pylist()
         new = [u for u in distinct if u not in self.places]
         if len(self.places) + len(new) > self.most:
