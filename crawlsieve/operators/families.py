@@ -8,11 +8,9 @@ from __future__ import annotations
 
 from ..functions import urls
 from ..functions.sql import each, first, keep, let, lit
-from ..functions.text import clean, collapse_ws, limit_text
+from ..functions.text import clean, collapse_ws
 from .markup import all_text, attr, bound_flag, has_attr, id_index, own_tokens, svg_titles, tagged, trimmed_attr, visible_text
 
-MAX_H1 = 1000
-
 
 def _lower(n: str, name: str) -> str:
     return f"lower(coalesce({attr(n, name)}, ''))"
@@ -32,7 +30,7 @@ def _link(n: str) -> str:
 
 def _heading(n: str) -> str:
     return (f"named_struct('pre', {n}.pre, 'last', {n}.last, 'level', CAST(substr({n}.tag, 2, 1) AS INT), 'nested', "
-            f"nodes[{n}.parent].near.heading >= 0, 'text', {limit_text(collapse_ws(visible_text(n)), MAX_H1)})")
+            f"nodes[{n}.parent].near.heading >= 0, 'text', {collapse_ws(visible_text(n))})")
 
 
 def _anchor(n: str) -> str:

@@ -40,7 +40,8 @@ def block_stages() -> list[dict[str, str]]:
         f"CASE WHEN {b}.value IS NULL THEN array() ELSE {each(objects_in(b + '.value'), lambda m: record(m, i))} END"))
     numbered = each_indexed("flatten(ld_nested)", lambda o, i: (
         f"named_struct('ord', {i}, 'block', {o}.block, 'm', {o}.m, 'id', {o}.id, 'types', {o}.types)"))
-    return [{"ld_blocks": blocks}, {"ld_nested": nested}, {"ld_objects": numbered}]
+    starts = "transform(sequence(0, greatest(size(ld_nested), 1) - 1), i -> aggregate(slice(ld_nested, 1, i), 0, (n, os) -> n + size(os)))"
+    return [{"ld_blocks": blocks}, {"ld_nested": nested}, {"ld_objects": numbered, "ld_starts": starts}]
 
 
 def by_id(ref: str) -> str:
@@ -113,10 +114,10 @@ def _nested_properties(m: str) -> str:
 
 def check_stages() -> list[dict[str, str]]:
     """``ld_props``: the properties of each typed object; ``ld_relative``: relative addresses among them."""
-    typed = keep("ld_objects", lambda o: f"size({o}.types) > 0")
-    props = each(typed, lambda o: f"named_struct('ord', {o}.ord, 'props', filter({_nested_properties(o + '.m')}, p -> {in_list('p.k', URL_PROPERTIES)}))")
+    # One entry for each object, so an object finds its own by number; untyped ones have none.
+    props = each("ld_objects", lambda o: f"named_struct('ord', {o}.ord, 'props', filter(CASE WHEN size({o}.types) > 0 THEN {_nested_properties(o + '.m')} END, p -> {in_list('p.k', URL_PROPERTIES)}))")
     pair = lambda p, u: f"named_struct('k', {p}.k, 'u', {u})"
-    found = lambda o: flat(f"{o}.props", lambda p: each(_relative_urls(f"{p}.v"), lambda u: pair(p, u)))
+    found = lambda o: flat(f"coalesce({o}.props, array())", lambda p: each(_relative_urls(f"{p}.v"), lambda u: pair(p, u)))
     relative = each("ld_props", lambda o: f"named_struct('ord', {o}.ord, 'found', {found(o)})")
     # Objects at the top of each block that lack a @context while something typed is in or under them.
     def lacks(m: str) -> str:
@@ -140,7 +141,7 @@ def structured_data() -> str:
         m = f"{o}.m"
         retired = per(f"filter({o}.types, t -> {in_list('t', NO_RICH_RESULT)})", lambda t: (
             "array(" + issue("unsupported-schema-type", f"concat({t}, ' markup has no rich result')", f"concat('\"@type\": \"', {t}, '\"')") + ")"))
-        urls_found = f"get(filter(ld_relative, r -> r.ord = {o}.ord), 0).found"
+        urls_found = f"get(ld_relative, {o}.ord).found"
         relative = per(urls_found, lambda p: "array(" + issue(
             "json-ld-relative-url", f"concat('The ', {p}.k, ' in ', array_join({o}.types, ', '), ' markup is not a full address')",
             f"concat('\"', {p}.k, '\": \"', {p}.u, '\"')") + ")")
@@ -156,7 +157,7 @@ def structured_data() -> str:
             source=f"CASE WHEN {product} THEN {lit(SOURCES['productSnippet'])} ELSE {lit(SOURCES['breadcrumb'])} END")))
         return f"concat({retired}, {relative}, {missing})"
     def block(b: str, i: str) -> str:
-        typed = f"filter(ld_objects, o -> o.block = {i} AND size(o.types) > 0)"
+        typed = f"filter(slice(ld_objects, ld_starts[{i}] + 1, size(ld_nested[{i}])), o -> size(o.types) > 0)"
         context = when(f"ld_lacks_context[{i}]", issue("json-ld-missing-context", lit("Structured data has no @context"), f"trim({b}.text)"))
         broken = issue("invalid-json-ld", lit("Structured data is not valid JSON"), f"trim({b}.text)")
         return f"CASE WHEN {b}.value IS NULL THEN array({broken}) ELSE concat({context}, {per(typed, node)}) END"

@@ -34,39 +34,42 @@ FACTS = (
 RESPONSE = ("seq", "url", "final_url", "status", "redirects", "content_type", "truncated", "robots_header", "headers", "body_bytes", "error")
 
 
-def _stages(df: DataFrame, wanted_checks) -> list[dict[str, str]]:
+def _stages(df: DataFrame, wanted_checks, own_checks=()) -> list[dict[str, str]]:
     stages = [
         *families.stages(), *facts.stages(), *jsonld.block_stages(), *jsonld.authorship_stages(), *products.stages(), *platform.stages(),
         *jsonld.check_stages(), *checks.hreflang_stages(),
     ]
-    if wanted_checks:
-        stages += issue_stages(df, wanted_checks)
+    if wanted_checks or own_checks:
+        stages += issue_stages(df, wanted_checks, own_checks)
     return stages
 
 
-def issue_stages(df: DataFrame, names) -> list[dict[str, str]]:
-    """Raw issues of each check, then merged, then with evidence and ids."""
+def issue_stages(df: DataFrame, names, own_checks=()) -> list[dict[str, str]]:
+    """Raw issues of each check, then those of the user's own, then merged, then with evidence and ids."""
     raw = {}
     for name in CHECKS:
         if name in names:
             sql = CHECKS[name](hreflang_codes(df.sparkSession)) if name == "hreflang" else CHECKS[name]()
             # The response is checked on every record, markup only where there is some.
             raw[f"raw_{name}"] = sql if name == "response" else f"CASE WHEN nodes IS NULL THEN array() ELSE {sql} END"
+    for i, check in enumerate(own_checks):
+        raw[f"raw_own_{i}"] = f"CASE WHEN nodes IS NULL THEN array() ELSE {check()} END"
     merged = f"concat({', '.join(raw)})" if len(raw) > 1 else next(iter(raw))
     return [raw, {"issues_raw": issues.merge_robots(merged)}, {"issues_found": issues.with_evidence("issues_raw")},
             {"issues": issues.with_ids("issues_found", "url")}]
 
 
-def page_columns(crawl: DataFrame, *wanted: str, only_checks=None, keep=("seq", "url", "final_url", "status")) -> DataFrame:
+def page_columns(crawl: DataFrame, *wanted: str, only_checks=None, keep=("seq", "url", "final_url", "status"), extra_checks=()) -> DataFrame:
     """The wanted page columns: facts, ``issues``, ``internal_targets`` or any intermediate one.
 
-    ``only_checks`` names the checks ``issues`` is made of; all by default.
+    ``only_checks`` names the checks ``issues`` is made of; all by default.  ``extra_checks`` are functions that give the
+    SQL of an array of raw issues (``operators.issues.issue``) over the page's columns, as the built-in checks do.
     """
     tree = extract_nodes(html_pages(crawl))
     chosen = tuple(only_checks or CHECKS) if "issues" in wanted else ()
     needed = set(wanted)
     plan: list[dict[str, str]] = []
-    for stage in reversed(_stages(tree, chosen)):
+    for stage in reversed(_stages(tree, chosen, tuple(extra_checks) if "issues" in wanted else ())):
         used = {name: sql for name, sql in stage.items() if name in needed}
         for sql in used.values():
             needed.update(_NAME.findall(sql))
@@ -81,9 +84,9 @@ def page_columns(crawl: DataFrame, *wanted: str, only_checks=None, keep=("seq",
 def page_audit(crawl: DataFrame, extra_checks=()) -> DataFrame:
     """Everything the cross-page checks and the report read, one row per crawl record.
 
-    ``extra_checks`` are functions from the page table to a table (url, issues) of the user's own.
+    ``extra_checks`` as in ``page_columns``.
     """
-    return page_columns(crawl, *FACTS, "internal_targets", "issues", keep=RESPONSE)
+    return page_columns(crawl, *FACTS, "internal_targets", "issues", keep=RESPONSE, extra_checks=extra_checks)
 
 
 def page_issues(crawl: DataFrame, *only_checks: str) -> DataFrame:

@@ -20,7 +20,7 @@ from ..functions.urls import page_key
 
 @dataclass
 class Audit:
-    """The tables of a finished audit; all lazy."""
+    """The tables of an audit.  Pages, their keys and the member rows are written when it is made; the others are lazy."""
 
     pages: DataFrame
     page_issues: DataFrame
@@ -34,18 +34,23 @@ class Audit:
     origins: DataFrame | None
     lab: DataFrame | None
     content: DataFrame
+    rules: DataFrame
+    work_list: DataFrame
+    links_checked: DataFrame
+    average_scores: DataFrame | None = None
+    lab_audits: DataFrame | None = None
 
 
 def audit(crawl: DataFrame, *, robots_files: DataFrame | None = None, sitemap_bodies: DataFrame | None = None, entries: DataFrame | None = None,
-          link_outcomes: DataFrame | None = None, lab_runs: DataFrame | None = None, picked: DataFrame | None = None, checks=(), folder: str | None = None) -> Audit:
+          link_outcomes: DataFrame | None = None, lab_runs: DataFrame | None = None, picked: DataFrame | None = None, checks=(), page_checks=(), folder: str | None = None) -> Audit:
     """Audit crawl records, with whatever else was stored beside them.
 
-    ``checks`` are functions from the page table to member rows (``operators.site.MEMBER_COLUMNS``) of the user's own.
+    ``page_checks`` are functions that give the SQL of an array of raw issues over a page's columns, ``checks`` functions from the page table to member rows (``operators.site.MEMBER_COLUMNS``) of the user's own.
     The page table is written once to shared storage (``spark.checkpoint.dir`` or ``folder``), because every later
     table reads some of its columns and the markup must not be parsed again for each.
     """
     spark = crawl.sparkSession
-    audited = page_audit(crawl)
+    audited = page_audit(crawl, page_checks)
     if sitemap_bodies is not None:
         lastmods = first_lastmod(sitemap_entries(sitemap_files(sitemap_bodies)), page_key)
         keyed = audited.selectExpr("*", f"{page_key('url')} AS _key")
@@ -99,4 +104,6 @@ def audit(crawl: DataFrame, *, robots_files: DataFrame | None = None, sitemap_bo
     return Audit(
         pages=pages, page_issues=issues, site_members=members, site_issues=heads, hits=all_hits, summary=rollup.summary(pages, issues, heads),
         health=rollup.page_health(counts), findings=rollup.order_findings(rollup.digest_findings(all_hits, rules(spark))),
-        page_lines=rollup.page_lines(counts, attached, content), origins=origins, lab=attached, content=content)
+        page_lines=rollup.page_lines(counts, attached, content), origins=origins, lab=attached, content=content,
+        rules=rules(spark), work_list=links.targets_to_fetch(edges, outcomes)[0], links_checked=links.targets_checked(edges, outcomes),
+        average_scores=lab.average_scores(attached) if attached is not None else None, lab_audits=lab.lab_audits(attached) if attached is not None else None)

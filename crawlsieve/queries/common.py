@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_crawl(spark, f"{sf_dir}/pages.parquet")
+    return read_crawl(spark, f"{sf_dir}/pages.parquet", spread=spark.sparkContext.defaultParallelism)
 
 
 def decorated(spark: SparkSession, sf_dir: str, head: str = "''", body: str = "''", **columns: str) -> DataFrame:

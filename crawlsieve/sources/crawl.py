@@ -36,17 +36,16 @@ def as_crawl(df: DataFrame) -> DataFrame:
     return df.selectExpr(*parts)
 
 
-def read_crawl(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table of crawl records, or of plain pages (page_id, url, html)."""
+def read_crawl(spark: SparkSession, path: str, spread: int | None = None) -> DataFrame:
+    """A parquet table of crawl records, or of plain pages (page_id, url, html).
+
+    Pages are parsed where their splits are read.  Parsing is CPU work: a table of few splits leaves cores idle, and its
+    caller may have the rows spread over so many tasks.
+    """
     df = spark.read.parquet(path)
     if "page_id" in df.columns and "seq" not in df.columns:
         df = df.withColumnRenamed("page_id", "seq")
-    # Parsing is CPU work.  A table read in a few tasks would leave most cores idle, so only then are its rows spread.
-    # The number of tasks counts splits, not files: a crawl of some large files is never shuffled.
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 4 <= cores:
-        df = df.repartition(cores, "seq")
-    return as_crawl(df)
+    return as_crawl(df.repartition(spread, "seq") if spread else df)
 
 
 def html_pages(crawl: DataFrame) -> DataFrame:

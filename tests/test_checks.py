@@ -62,3 +62,15 @@ def test_pages_without_html(spark):
     assert types(spark, CLEAN, url="https://shop.example/x.pdf", content_type="'application/pdf'") == [("not-html", "info")]
     assert types(spark, CLEAN, status="500") == [("http-status", "error")]
     assert types(spark, CLEAN, error="'timeout'") == [("fetch-failed", "error")]
+
+
+def test_a_check_of_the_users_own(spark):
+    from crawlsieve.functions.sql import lit
+    from crawlsieve.operators.issues import issue, when
+    from crawlsieve.operators.pages import page_columns
+    from crawlsieve.operators.rules import RULES
+    from crawlsieve.sources.crawl import as_crawl
+    crawl = as_crawl(spark.createDataFrame([(1, "https://a.example/", "<html><head><title>Draft</title></head><body>x</body></html>"), (2, "https://a.example/b", "<html><head><title>Fine</title></head><body>x</body></html>")], "seq long, url string, html string"))
+    draft = lambda: when("title_text = 'Draft'", issue(next(iter(RULES)), lit("The page is a draft"), "title_text"))
+    rows = {r.seq: [i.message for i in r.issues] for r in page_columns(crawl, "issues", only_checks=("main_landmark",), extra_checks=(draft,)).collect()}
+    assert "The page is a draft" in rows[1] and "The page is a draft" not in rows[2]
