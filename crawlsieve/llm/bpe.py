@@ -261,7 +261,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _encoded(batches: Iterator[pa.RecordBatch], bpe: Encoder) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=4 << 20):
             yield part.column("doc_id"), *bpe.encode(part.column("text"))
 
 

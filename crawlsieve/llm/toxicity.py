@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import is_held_out, mapped, new_folder, put_file, written
-from .words import ALNUM, ngrams, slices, words_of
+from .words import ALNUM, give_back, ngrams, slices, words_of
 
 BITS = 22
 MAX_ROWS, SHARD_ROWS, ROUNDS, EPOCHS = 32_768, 4_096, 2, 3
@@ -88,13 +88,13 @@ def _learned(state: str | None):
     def task(group: pa.Table) -> pa.Table:
         rows, labels = [], []
         for batch in group.select(["text", "label"]).combine_chunks().to_batches():
-            for part in slices(batch):
+            for part in slices(batch, most=1 << 20):
                 at, doc = features(part.column("text"))
                 pairs = np.unique(doc * (1 << BITS) + at)
                 doc, at = pairs >> BITS, (pairs & ((1 << BITS) - 1)).astype(np.int32)
                 rows += np.split(at, np.searchsorted(doc, np.arange(1, part.num_rows)))
                 labels += part.column("label").to_pylist()
-        model = Ftrl(np.zeros(1 << BITS), np.zeros(1 << BITS))
+        model = Ftrl(np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32))
         if state:
             old = mapped(state, "f8").reshape(3, -1)
             at = old[0, 1:].astype(np.int64)
@@ -104,8 +104,11 @@ def _learned(state: str | None):
         for _ in range(EPOCHS):
             for i in order.permutation(len(rows)):
                 model.learn(rows[i], labels[i])
-        at = np.flatnonzero((model.n > 0) & (np.abs(model.z) > L1 / 4))
-        return pa.table({"at": pa.array(np.append(-1, at)), "z": pa.array(np.append(model.bias_z, model.z[at])), "n": pa.array(np.append(model.bias_n, model.n[at]))})
+        at = np.flatnonzero((model.z > L1 / 4) | (model.z < -L1 / 4))
+        out = pa.table({"at": pa.array(np.append(-1, at)), "z": pa.array(np.append(model.bias_z, model.z[at].astype(float))), "n": pa.array(np.append(model.bias_n, model.n[at].astype(float)))})
+        del rows, model
+        give_back()
+        return out
     return task
 
 

@@ -6,6 +6,7 @@ inside a UTF-8 character, so cutting bytes cuts whole characters.  A null text i
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -147,7 +148,17 @@ def ngrams(words: Words, n: int, skip: int = 0) -> tuple[np.ndarray, np.ndarray]
     return value, first
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Return freed memory to the machine: a worker that is kept for later tasks would hold on to it."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in pieces of at most so many text bytes (or one row), so that memory does not follow the batch size."""
     if not batch.num_rows:
         return
@@ -157,3 +168,4 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) ->
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+    give_back()
