@@ -1,13 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores the pairs.
+"""Benchmark decontamination: word triples join passages to test items, Smith-Waterman alignment scores the pairs.
 
-Words are runs of letters, digits, apostrophes and bytes above 127, A-Z lowered.  The n-grams of the items are counted in the corpus (by text);
-the rarest half of each item's different n-grams, at least ``LEAST_SEEDS``, are its seeds, ranked by how many texts and items have
-them.  A text that has a seed of an item gives the passage around it, as long as the item and half as much on either side; hits of one item
-that lie on diagonals further apart give passages of their own.  A passage is aligned with the item word by word
-(match 2, other word -1, gap -1); its similarity is the score over that of the whole item.
+Words are runs of letters, digits, apostrophes and bytes above 127, A-Z lowered.  A triple is three words in order, next to each other or with
+one other word after the first or the second.  A text that has a triple of an item gives the passage around it, as long as the item and as many words on
+either side as an alignment of the threshold can have inserted; hits of one item that lie on diagonals further apart give passages of their own.
+A passage is aligned with the item word by word (match 2, other word -1, gap -1); its similarity is the score over that of the whole item.
 
-No cap: an item has at least half of its n-grams as seeds however frequent they are, so an item that a third of all
-texts quote is found in each of them.  Item n-grams and seeds lie in mapped files and may grow.  Passages and items meet in a join
+No cap: every triple of an item is a seed, however frequent or rare it is.  Where an alignment has no seed, each three matches in a row have two
+edits between them, so M matches score at most M + 2: an edited copy with a similarity over 1/2 + 1/words is always aligned, one between 1/2 and that only
+if it has a seed.  More generally M matches and S seeds score at most M + S + 2; passages for which that is below the threshold, M being the words of the item that
+they have, are left out before the alignment, which loses none.  Seeds lie in mapped files and may grow.  Passages and items meet in a join
 that Spark may broadcast by the measured size of the item table, and else splits where an item is hot.
 
 Cases: a null or empty text or item has no words and matches nothing.  An item of fewer words than ``MIN_ITEM_WORDS`` cannot be told
@@ -26,29 +27,39 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .sharedmap import SharedMap, share
-from .words import ALNUM, mix, ngrams, slices, words_of
+from .words import ALNUM, mix, slices, words_of
 
-N = 3
-LEAST_SEEDS = 12
 MIN_ITEM_WORDS = 5
 MIN_SIMILARITY = 0.5
 PART = 2_000
 MATCH, OTHER, GAP = 2, -1, -1
 
 
+def _triples(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the triples that lie within one text, and the index of each one's first word; spacing does not change the hash."""
+    step = lambda value, words: mix(value * np.uint64(0x9E3779B97F4A7C15) + words)
+    n = len(hashes)
+    if n < 3:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    one = mix(hashes)
+    two = step(one[:n - 1], hashes[1:])
+    grams = [step(two[:n - 2], hashes[2:]), step(two[:n - 3], hashes[3:]), step(step(one[:n - 3], hashes[2:n - 1]), hashes[3:])]
+    near, wide = np.flatnonzero(docs[:n - 2] == docs[2:]), np.flatnonzero(docs[:n - 3] == docs[3:])
+    return np.concatenate([g[at] for g, at in zip(grams, (near, wide, wide), strict=True)]), np.concatenate([near, wide, wide])
+
+
 def _item_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words, different n-grams and n-grams by place of each item; an item over ``PART`` words in halfway overlapping parts."""
+    """Words, triples and their places of each item; an item over ``PART`` words in halfway overlapping parts."""
     for batch in batches:
         for part in slices(batch):
             words = words_of(part.column("text"), ALNUM)
             n = np.bincount(words.docs, minlength=part.num_rows)
-            grams, first = ngrams(words, N)
             rows: list[list] = [[], [], [], [], []]
             for item, k, end in zip(part.column("item_id").to_pylist(), n.tolist(), np.cumsum(n).tolist(), strict=True):
                 for lo in range(end - k, max(end - PART // 2, end - k + 1), PART // 2) if k >= MIN_ITEM_WORDS else ():
                     high = min(lo + PART, end)
-                    own = grams[np.searchsorted(first, lo):np.searchsorted(first, high - N + 1)].view(np.int64)
-                    for column, value in zip(rows, (item, words.hashes[lo:high].tobytes(), np.unique(own).tolist(), own.tolist(), high - lo), strict=True):
+                    own, places = _triples(words.hashes[lo:high], words.docs[lo:high])
+                    for column, value in zip(rows, (item, words.hashes[lo:high].tobytes(), own.view(np.int64).tolist(), places.tolist(), high - lo), strict=True):
                         column.append(value)
             kinds = (part.column("item_id").type, pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
             yield pa.record_batch([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], ["item_id", "words", "grams", "places", "length"])
@@ -67,43 +78,22 @@ class _Filter:
         return at[self.grams.has(grams[at])]
 
 
-def _row_keys(column: pa.Array) -> np.ndarray:
-    return mix(column.fill_null(0).to_numpy().view(np.uint64))
-
-
-def _gram_hits(grams: SharedMap):
-    """(gram, doc key): the item n-grams of each text, once a text."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Filter(grams)
-        for batch in batches:
-            for part in slices(batch):
-                words = words_of(part.column("text"), ALNUM)
-                own, first = ngrams(words, N)
-                at = known.hits(own)
-                doc, gram = words.docs[first[at]], own[at]
-                order = np.lexsort((gram, doc))
-                doc, gram = doc[order], gram[order]
-                new = np.append(True, (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1]))[:len(doc)]
-                doc, gram = doc[new], gram[new]
-                rows, n = np.unique(doc, return_counts=True)
-                offsets = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
-                yield pa.record_batch([pa.array(_row_keys(part.column("doc_id"))[rows].view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(gram.view(np.int64)))], ["key", "grams"])
-    return task
+def _overlap(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
+    """How many words of each item its passage has, or more."""
+    tagged = [mix(np.concatenate(x) + np.repeat(np.arange(len(x), dtype=np.uint64), list(map(len, x))) * np.uint64(0x9E3779B97F4A7C15)) for x in (passages, items)]
+    has = np.isin(tagged[1], tagged[0])
+    return np.bincount(np.repeat(np.arange(len(items)), list(map(len, items))), has, len(items)).astype(np.int64)
 
 
-def _passages(rows: SharedMap, seeds: SharedMap):
-    """(doc_id, item, words): passages of texts around the seeds of items."""
+def _passages(seeds: SharedMap, item_words: SharedMap, min_similarity: float):
+    """(doc_id, item, words): passages of texts around the seeds of items that may reach the similarity."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Filter(seeds)
         for batch in batches:
             for part in slices(batch):
-                part = part.filter(pa.array(rows.has(_row_keys(part.column("doc_id")))))
-                if not part.num_rows:
-                    continue
                 words = words_of(part.column("text"), ALNUM)
-                own, first = ngrams(words, N)
+                own, first = _triples(words.hashes, words.docs)
                 at = known.hits(own)
                 got = []
                 for hit, n, values in seeds.rows(own[at]):
@@ -115,17 +105,29 @@ def _passages(rows: SharedMap, seeds: SharedMap):
                 item, doc, start, length = np.concatenate(got, 1)
                 order = np.lexsort((start, item, doc))
                 item, doc, start, length = (x[order] for x in (item, doc, start, length))
-                new = np.append(True, (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] - start[:-1] > length[1:] // 2))
+                pair = np.append(True, (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]))
+                new = pair.copy()
+                new[1:] |= start[1:] - start[:-1] > length[1:] // 2
                 head = np.flatnonzero(new)
                 last = np.append(head[1:], len(item)) - 1
+                n_seeds = np.bincount(np.cumsum(pair) - 1)[(np.cumsum(pair) - 1)[head]]
                 n = np.bincount(words.docs, minlength=part.num_rows)
                 ends = np.cumsum(n)
-                low = np.maximum(start[head] - length[head] // 2, (ends - n)[doc[head]])
-                high = np.minimum(start[last] + length[head] + length[head] // 2, ends[doc[head]])
+                margin = np.ceil(2 * max(0.0, 1 - min_similarity) * length[head]).astype(np.int64)
+                low = np.maximum(start[head] - margin, (ends - n)[doc[head]])
+                high = np.minimum(start[last] + length[head] + margin, ends[doc[head]])
                 ids = part.column("doc_id").take(pa.array(doc[head]))
+                once = np.unique(item)
+                texts: dict[int, np.ndarray] = {}
+                for k, m, values in item_words.rows(mix(once.view(np.uint64))):
+                    texts |= zip(once[k].tolist(), np.split(values.view(np.uint64), np.cumsum(m)[:-1]), strict=True)
                 for lo in range(0, len(head), 2000):
                     k = slice(lo, lo + 2000)
-                    yield pa.record_batch([ids[k], pa.array(item[head][k]), pa.array([words.hashes[a:b].tobytes() for a, b in zip(low[k], high[k], strict=True)], pa.binary())], ["doc_id", "item", "passage"])
+                    passages = [words.hashes[a:b] for a, b in zip(low[k].tolist(), high[k].tolist(), strict=True)]
+                    most = _overlap(passages, [texts[i] for i in item[head][k].tolist()]) + n_seeds[k] + 2
+                    some = np.flatnonzero(most >= MATCH * min_similarity * length[head][k] - 1e-6)
+                    if len(some):
+                        yield pa.record_batch([ids[k].take(pa.array(some)), pa.array(item[head][k][some]), pa.array([passages[i].tobytes() for i in some.tolist()], pa.binary())], ["doc_id", "item", "passage"])
     return task
 
 
@@ -166,17 +168,12 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("doc_id"), batch.column("item_id"), pa.array(score), pa.array(similarity)], ["doc_id", "item_id", "score", "similarity"])
 
 
-def _seed_rows(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """(key, value): each item's seeds, with the number of the item, the place of the seed in it and the item's length.
-
-    Numbers fit: an item's place and length take 16 bits each; longer items come in parts.
-    """
-    grams = items.selectExpr("item", "posexplode(places) AS (p, g)")
-    common = grams.groupBy("g").agg(F.countDistinct("item").alias("items")).join(counts, "g", "left")
-    ranked = items.selectExpr("item", "length", "explode(grams) AS g").join(common, "g")
-    ranks = ranked.groupBy("item").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("texts", F.lit(0)) + F.col("items"), "g"))).alias("r"), F.first("length").alias("length"))  # bounded: one item
-    seeds = ranks.selectExpr("item", "length", f"explode(transform(slice(r, 1, greatest({LEAST_SEEDS}, ceil(size(r) / 2))), x -> x.g)) AS g")
-    return seeds.join(grams, ["item", "g"]).selectExpr("g AS key", "shiftleft(CAST(item AS LONG), 32) + shiftleft(CAST(p AS LONG), 16) + length AS value")
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, value): each word of each item, by the scrambled number of the item."""
+    for batch in batches:
+        for item, own in zip(batch.column("item").to_pylist(), batch.column("words"), strict=True):
+            words = np.frombuffer(own.as_buffer(), np.int64)
+            yield pa.record_batch([pa.array(np.repeat(mix(np.array([item], np.uint64)).view(np.int64), len(words))), pa.array(words)], ["key", "value"])
 
 
 def contaminated(docs: DataFrame, items: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -196,16 +193,13 @@ def contaminated(docs: DataFrame, items: DataFrame, min_similarity: float = MIN_
     base = F.create_map(*[F.lit(int(x)) for kv in before.items() for x in kv])
     parts = parts.withColumn("item", base[F.shiftrightunsigned("item", 33)] + F.col("item").bitwiseAND((1 << 33) - 1))
 
-    grams = parts.selectExpr("explode(grams) AS key").distinct()
-    hits = texts.mapInArrow(_gram_hits(share(grams, "grams", grams.count())), "key long, grams array<long>")
-    hits = written(hits, "hits")
-    counts = hits.selectExpr("explode(grams) AS g").groupBy("g").agg(F.count("*").alias("texts"))
-    seeds = _seed_rows(parts, counts)
+    # numbers fit: an item's place and length take 16 bits each; longer items come in parts
+    seeds = parts.selectExpr("item", "length", "explode(arrays_zip(grams, places)) AS g").selectExpr(
+        "g.grams AS key", "shiftleft(CAST(item AS LONG), 32) + shiftleft(CAST(g.places AS LONG), 16) + length AS value").distinct()
     seeds = written(seeds, "seeds")
-    seed_map = share(seeds, "seeds", seeds.count())
-    seeded = hits.select("key", F.explode("grams").alias("g")).join(seeds.selectExpr("key AS g").distinct(), "g", "left_semi").select("key").distinct()
-    seeded = written(seeded, "seeded")
-    passages = texts.mapInArrow(_passages(share(seeded, "rows", seeded.count()), seed_map), "doc_id long, item long, passage binary")
+    item_words = parts.select(F.col("item").cast("long").alias("item"), "words").mapInArrow(_word_rows, "key long, value long")
+    seed_map, word_map = share(seeds, "seeds", seeds.count()), share(item_words, "words", parts.agg(F.sum("length")).first()[0])
+    passages = texts.mapInArrow(_passages(seed_map, word_map, min_similarity), "doc_id long, item long, passage binary")
     pairs = passages.join(parts.select("item", "item_id", "words"), "item").mapInArrow(_aligned, f"doc_id long, item_id {kind}, score long, similarity double")
     good = pairs.filter(F.col("similarity") >= min_similarity)
     return good.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("similarity").alias("similarity"))

@@ -253,6 +253,35 @@ def test_contaminated_finds_exact_and_edited_passages(spark, odd):
     assert decontaminate.contaminated(odd.limit(0), items).count() == 0 and decontaminate.contaminated(odd, items.limit(0)).count() == 0
 
 
+def test_contaminated_finds_copies_that_keep_few_trigrams(spark):
+    """Also where exact copies and many copies of one edit make what the others keep the frequent part."""
+    item = [f"t{i}" for i in range(60)]
+    edits = [["other" if i % k == k - 1 else w for i, w in enumerate(item)] for k in (6, 5, 4)]
+    edits += [[x for i, w in enumerate(item) for x in ([w, "other"] if i % 2 else [w])], [w for i, w in enumerate(item) if i % 4]]
+    edits += [[x for i, w in enumerate(item) for x in ([w, "other"] if i < 36 else [w])]]  # inserted words make its first part twice as long
+    filler = " ".join(f"f{i % 83}" for i in range(400))
+    texts = [f"{filler} {' '.join(w)} {filler}" for w in [*edits, item, item, *[edits[0]] * 20]] + [filler + " " + " ".join(item[20:40])]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    rows = {r.doc_id: r for r in decontaminate.contaminated(table_of(spark, texts), items).collect()}
+    assert set(rows) == set(range(len(texts) - 1))
+    assert [rows[i].score for i in range(len(edits))] == [plain_alignment(w, item) for w in edits]
+
+
+def test_seeds_are_in_every_alignment_over_the_bound():
+    rng = np.random.default_rng(8)
+    docs, n = np.zeros(400, np.int64), 0
+    for _ in range(600):
+        item = rng.permutation(1000)[:int(rng.integers(5, 40))].astype(np.uint64)
+        text = [y for x in item.tolist() for y in ([[x], [2000, x], [x, 2001], [2002], [], [x]][int(rng.choice(6, p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.1]))])]
+        score = plain_alignment(text, item.tolist())
+        seeds = [decontaminate._triples(x, docs[:len(x)])[0] for x in (np.array(text, np.uint64), item)]
+        shared = int(np.isin(*seeds).sum())
+        most = int(decontaminate._overlap([np.array(text, np.uint64)], [item])[0]) + shared + 2 if text else 0
+        assert score <= most and (shared or score <= len(item) + 2)
+        n += score >= len(item)
+    assert n > 50
+
+
 # --- personal data ---------------------------------------------------------------------------------------------------------------
 
 def plain_spans(t):
