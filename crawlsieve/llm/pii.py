@@ -100,7 +100,11 @@ def _hash(texts: list[str]) -> np.ndarray:
 
 
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entity, context, terms, text): hashes of the mentions of each text; an entity is given once a text and context."""
+    """(entity, context, terms, new, first): hashes of the mentions of each text; an entity is given once a text and context.
+
+    ``first`` is 1 for one mention of the entity in a text, ``new`` for each term 1 at one of the text's mentions of the entity that have it, so that
+    their sums count texts.
+    """
     for batch in batches:
         for part in slices(batch):
             texts, row, entities, sides = part.column("text"), [], [], []
@@ -128,9 +132,22 @@ def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mention, term = mention[new], term[new]
             context = np.zeros(len(row), np.uint64)
             np.bitwise_xor.at(context, mention, mix(term))
-            sizes = np.bincount(mention, minlength=len(row))
-            terms = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(term.view(np.int64)))
-            yield pa.record_batch([pa.array(_hash(entities).view(np.int64)), pa.array(context.view(np.int64)), terms, pa.array(np.array(row, np.int64))], ["entity", "context", "terms", "row"])
+            text, entity = np.array(row, np.int64), _hash(entities)
+            order = np.lexsort((context, entity, text))
+            first = np.zeros((2, len(row)), bool)  # of its entity and text; of its entity, text and context
+            first[:, order[0]] = True
+            first[0, order[1:]] = (text[order[1:]] != text[order[:-1]]) | (entity[order[1:]] != entity[order[:-1]])
+            first[1, order[1:]] = first[0, order[1:]] | (context[order[1:]] != context[order[:-1]])
+            group = np.zeros(len(row), np.int64)
+            group[order] = np.cumsum(first[0, order])
+            some = first[1, mention]
+            mention, term = mention[some], term[some]
+            new = np.zeros(len(term), np.int64)
+            order = np.lexsort((term, group[mention]))
+            new[order] = np.append(True, (group[mention[order[1:]]] != group[mention[order[:-1]]]) | (term[order[1:]] != term[order[:-1]]))[:len(term)]
+            offsets = pa.array(np.append(0, np.cumsum(np.bincount(mention, minlength=len(row))[first[1]])).astype(np.int32))
+            yield pa.record_batch([pa.array(entity[first[1]].view(np.int64)), pa.array(context[first[1]].view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(term.view(np.int64))),
+                                   pa.ListArray.from_arrays(offsets, pa.array(new)), pa.array(first[0, first[1]].astype(np.int64))], ["entity", "context", "terms", "new", "first"])
 
 
 def _frequencies(terms: SharedMap):
@@ -154,8 +171,9 @@ def _frequencies(terms: SharedMap):
 def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, least_contexts: int = LEAST_CONTEXTS) -> SharedMap:
     """Hashes of the terms that disclose an entity, with 0 (to generalise) or 1 (to remove)."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    mentions = written(texts.mapInArrow(_mentions, "entity long, context long, terms array<long>, row long"), "mentions")
-    pairs = mentions.select("entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
+    mentions = written(texts.mapInArrow(_mentions, "entity long, context long, terms array<long>, new array<long>, first long"), "mentions")
+    pairs = mentions.select("entity", "context", F.explode(F.arrays_zip("terms", "new")).alias("t")).select("entity", "context", F.col("t.terms").alias("term"), F.col("t.new").alias("n"))
+    pairs = pairs.groupBy("entity", "term", "context").agg(F.sum("n").alias("n"))
     pairs = written(pairs.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("both")).filter(F.col("contexts") >= least_contexts), "pairs")
     candidates = pairs.select(F.col("term").alias("key")).distinct()
     n = candidates.count()
@@ -164,10 +182,10 @@ def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, remove: fl
     found = share(candidates, "candidates", n)
     total = texts.count()
     frequency = texts.mapInArrow(_frequencies(found), "term long, texts long").groupBy("term").agg(F.sum("texts").alias("texts"))
-    entities = mentions.groupBy("entity").agg(F.count("*").alias("mentions"))
+    entities = mentions.groupBy("entity").agg(F.sum("first").alias("mentions"))
     bits = pairs.join(frequency, "term").join(entities, "entity").select(
         "term", (F.log2(F.least(F.lit(1.0), F.col("both") / F.col("texts"))) - F.log2(F.col("mentions") / total)).alias("disclosed"),
-        (-F.log2(F.least(F.lit(1.0), F.col("mentions") / total))).alias("held"))
+        (-F.log2(F.col("mentions") / total)).alias("held"))
     bad = bits.filter((F.col("disclosed") >= generalise * F.col("held")) & (F.col("held") > 0))
     bad = written(bad.groupBy(F.col("term").alias("key")).agg(F.max((F.col("disclosed") >= remove * F.col("held")).cast("long")).alias("value")), "terms")
     return share(bad, "terms", bad.count())
