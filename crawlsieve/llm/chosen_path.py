@@ -104,8 +104,7 @@ def _chosen(paths: np.ndarray, row: np.ndarray, grams: np.ndarray, sizes: np.nda
 def _first_paths(grams: np.ndarray, sizes: np.ndarray, threshold: float, runs: int) -> tuple[np.ndarray, np.ndarray]:
     row = np.flatnonzero(sizes)
     row, run = np.tile(row, runs), np.repeat(np.arange(runs), len(row))
-    few = (run > 0) & (sizes[row] * threshold <= CHOICES)  # every shingle is chosen in the first run already
-    return _chosen(mix(run[~few].astype(np.uint64)), row[~few], grams, sizes, threshold, CHOICES)
+    return _chosen(mix(run.astype(np.uint64)), row, grams, sizes, threshold, CHOICES)
 
 
 def _lists(values: np.ndarray, row: np.ndarray, n: int) -> pa.Array:

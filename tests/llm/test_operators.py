@@ -161,6 +161,23 @@ def test_runs_meet_the_target():
     assert chosen_path.n_runs(0.9) < chosen_path.n_runs(0.99999) == 5
 
 
+@pytest.mark.parametrize("levels", [0, 1, 2])
+@pytest.mark.parametrize("size", [4, 5])
+def test_short_texts_meet_also_where_buckets_are_split(size, levels):
+    """Sets of 4 or 5 shingles and ones with a shingle more: each of 20 000 pairs has a bucket in common when all buckets are split so many times."""
+    n = 20_000
+    grams = chosen_path.mix(np.arange(n * (size + 1), dtype=np.uint64)).reshape(n, size + 1)
+    grams = np.concatenate([grams[:, :size], grams], 1).ravel()
+    sizes = np.tile([size, size + 1], n)
+    paths, row = chosen_path._first_paths(grams, sizes, 0.8, chosen_path.n_runs())
+    for _ in range(levels):
+        paths, row = chosen_path._chosen(paths, row, grams, sizes, 0.8, chosen_path.DEEPER)
+    own, other = (np.stack([row[row % 2 == k].astype(np.uint64) // np.uint64(2), paths[row % 2 == k]], 1) for k in (0, 1))
+    both = np.concatenate([np.unique(own, axis=0), np.unique(other, axis=0)])
+    both, times = np.unique(both, axis=0, return_counts=True)
+    assert len(np.unique(both[times == 2, 0])) == n
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(200, 201), (5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
