@@ -77,13 +77,13 @@ _LETTERS = re.compile("[ ]*[A-Za-zÀ-ÖØ-öø-įıĲ-ſ]+")
 
 
 @lru_cache(2)
-def _tokenizer(path: str):
+def tokenizer_units(path: str) -> Known:
+    """Encodes texts as the library does, unit by unit."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
+    whole = tuple(t.content.encode() for t in tokenizer.get_added_tokens_decoder().values())  # the library finds these in a text
     suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
     ends = np.zeros(tokenizer.get_vocab_size() + 1, bool)
     for token, i in tokenizer.get_vocab().items() if suffix else ():
@@ -101,7 +101,7 @@ def _tokenizer(path: str):
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
         return gathered(ids, np.append(0, np.cumsum(sizes)), back)
-    return Known(encode, fine=True)
+    return Known(encode, fine=True, whole=whole)
 
 
 def id_kind(tokenizer: str) -> str:
@@ -114,11 +114,11 @@ def id_kind(tokenizer: str) -> str:
 def encode_texts(docs: DataFrame, tokenizer: str, end_id: int | None = 1, kind: str = "<u4") -> DataFrame:
     """doc_id, ids (binary, unsigned integers of ``kind``): the ids of every text with the end id.
 
-    White space is dropped by these tokenizers and bounds every token, so units between it are encoded by themselves.
+    White space is dropped by these tokenizers and bounds every token, so units between it are encoded by themselves; added tokens stay whole.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _tokenizer(tokenizer)
+        known = tokenizer_units(tokenizer)
         for batch in batches:
             for part in slices(batch, most=4 << 20):
                 ids, sizes = known.ids(part.column("text"))

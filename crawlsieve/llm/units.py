@@ -26,11 +26,12 @@ _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[[ord(c) for c in ASCII_SPACE]] = ord(" ")
 
 
-def units_of(column: pa.Array, fine: bool = False) -> tuple[pa.DictionaryArray, np.ndarray]:
+def units_of(column: pa.Array, fine: bool = False, whole: tuple[bytes, ...] = ()) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Units of some texts one after another, and the number of units of each text; joined they are the texts.
 
     ``fine`` is for tokenizers that drop white space and end a token where an ASCII letter or digit is followed by an
     ASCII mark: units end there too, and all white space is written as spaces, so fewer units are different.
+    No unit ends within a place of one of the strings ``whole``.
     """
     data, offsets = text_buffer(column)
     if not len(data):
@@ -40,6 +41,14 @@ def units_of(column: pa.Array, fine: bool = False) -> tuple[pa.DictionaryArray,
     begins[1:] &= ~space[:-1]
     if fine:
         begins[1:] |= _MARK[data[1:]] & _WORD[data[:-1]]
+    if whole:
+        flat = data.tobytes()
+        for token in whole:
+            at = flat.find(token)
+            while at >= 0:
+                begins[at + 1:at + len(token)] = False
+                at = flat.find(token, at + 1)
+    if fine:
         data = _BLANK[data]
     begins[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
     starts = np.flatnonzero(begins)
@@ -65,8 +74,8 @@ def per_group(n: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Known:
     """Ids of units seen so far.  ``encode`` gives the ids of a list of units one after another, and the number of each."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000, fine: bool = False):
-        self.encode, self.most, self.fine = encode, most, fine
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000, fine: bool = False, whole: tuple[bytes, ...] = ()):
+        self.encode, self.most, self.fine, self.whole = encode, most, fine, whole
         self._clear()
 
     def _clear(self) -> None:
@@ -87,7 +96,7 @@ class Known:
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some texts one after another, and the number of ids of each text."""
-        units, per_text = units_of(column, self.fine)
+        units, per_text = units_of(column, self.fine, self.whole)
         distinct = units.dictionary.to_pylist()
         new = [u for u in distinct if u not in self.places]
         if len(self.places) + len(new) > self.most:
@@ -98,5 +107,3 @@ class Known:
         place = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))[units.indices.to_numpy()]
         ids, n = gathered(self.arena, self.ends, place)
         return ids, per_group(n, per_text)
-
-

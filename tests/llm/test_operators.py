@@ -392,7 +392,6 @@ def test_token_files_hold_what_the_library_gives(spark, odd, monkeypatch):
     monkeypatch.setattr(tokenfile, "BLOCK_IDS", 60)
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     texts = [f"Some words, İ Σ <|endoftext|> é{i} it's {i * 977} x" * (i % 5) for i in range(60)] + [None, ""]
     docs = table_of(spark, texts, [*range(60, 0, -1), 0, None])
     folder, files = tokenfile.write_tokens(docs, path)
