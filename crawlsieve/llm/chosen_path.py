@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import whole_groups, written
 from .components import components
 from .sharedmap import SharedMap, share
 from .words import WHITE, Words, mix, ngrams, slices, words_of
@@ -158,27 +158,6 @@ def _deeper(threshold: float, runs: int, firsts: SharedMap, large: list[SharedMa
     return task
 
 
-def _runs_of(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], rows: int = 20_000) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches in the order of the group's columns."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.num_rows
-        if size < rows:
-            continue
-        table = pa.Table.from_batches(held)
-        change = np.logical_or.reduce([(x := table.column(n).to_numpy()) != x[-1] for n in names])
-        last = int(np.flatnonzero(change)[-1]) + 1 if change.any() else 0
-        if last:
-            yield table.slice(0, last)
-        held, size = table.slice(last).to_batches(), table.num_rows - last
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _pairs(start: np.ndarray, n: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places within the groups that begin at ``start``, some groups at a time."""
     group = np.repeat(np.arange(len(n)), n)
@@ -242,7 +221,7 @@ def _likely_members(threshold: float):
     """Members of a bucket that have a likely partner in it, by sizes and sketches."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs_of(batches, ("key", "cell")):
+        for table in whole_groups(batches, ("key", "cell")):
             size, sketch, side, key = table.column("size").to_numpy(), _matrix(table.column("sketch")), table.column("side").to_numpy(), table.column("key").to_numpy()
             keys, crossing = _padded(table.column("keys")), table.column("crossing").to_numpy()
             marked = np.zeros(len(size), bool)
@@ -284,7 +263,7 @@ def _compared(threshold: float):
     """Links of a bucket, by sets: for each member the texts it is linked to and the least member it hangs together with."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs_of(batches, ("key", "cell"), 300):
+        for table in whole_groups(batches, ("key", "cell"), 300):
             ids, key = table.column("class").to_numpy(), table.column("key").to_numpy()
             side, crossing, texts = table.column("side").to_numpy(), table.column("crossing").to_numpy(), table.column("texts").to_numpy()
             keys = _padded(table.column("keys"))

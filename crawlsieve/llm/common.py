@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -111,3 +111,23 @@ def is_held_out(column: str, modulus: int, value: int) -> Column:
     """A row without an id is never held out."""
     return F.coalesce(remainder(column, modulus) == value, F.lit(False))
 
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], rows: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches in the order of the group's columns."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        change = np.logical_or.reduce([(x := table.column(n).to_numpy(zero_copy_only=False)) != x[-1] for n in names])
+        last = int(np.flatnonzero(change)[-1]) + 1 if change.any() else 0
+        if last:
+            yield table.slice(0, last)
+        held, size = table.slice(last).to_batches(), table.num_rows - last
+    if held:
+        yield pa.Table.from_batches(held)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chosen_path, decontaminate, lm, pii, quality, tokencounts, tokenfile, toxicity, warc
+from . import bpe, chosen_path, decontaminate, lm, packing, pii, quality, spelling, tokencounts, tokenfile, toxicity, warc
 from .common import is_held_out, table
 
 
@@ -87,6 +87,37 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.forms(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+_OP12_SQL = r"""
+WITH RECURSIVE letters AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times FROM letters WHERE length(run) >= 5 GROUP BY ALL),
+bits AS (SELECT i, i AS c, 0 AS step FROM range(256) AS r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM bits WHERE step < 8),
+steps AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE step = 8),
+points AS (SELECT *, list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || run, ''), lambda c: unicode(c)::BIGINT) AS points FROM runs),
+crcs AS (SELECT run, times, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(points, lambda p: CASE WHEN p < 128 THEN [p] ELSE [192 | (p >> 6), 128 | (p & 63)] END))),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM points, steps),
+kept AS (SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS word, times FROM crcs),
+v AS (SELECT word, sum(times)::BIGINT AS n FROM kept WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+cut AS (SELECT word, n, i, substring(word, 1, i) || substring(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word)))::INT AS i FROM v)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut AS a JOIN cut AS b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, v.word, v.n FROM cut AS c JOIN v ON c.rest = v.word
+  UNION SELECT v.word, c.word, c.n FROM cut AS c JOIN v ON c.rest = v.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS form, max(other_n) AS form_n FROM near GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * v.n THEN form END AS form, CASE WHEN form_n >= 2 * v.n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, form AS tip, 1 AS step FROM f WHERE form IS NOT NULL UNION ALL SELECT chain.word, f.form, step + 1 FROM chain JOIN f ON f.word = chain.tip WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(tip, step) AS root FROM chain GROUP BY word)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN ends USING (word)"""
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
 _OP5_SQL = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -107,5 +138,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND letters / n_words >= 0.7 AND bullets / n_lines <= 0.9 AND ellipses / n_lines <= 0.3 AND n_dup_lines / n_lines <= 0.334 AS kept
 FROM b"""
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_warc": op2_warc, "op3_byte_bpe": op3_byte_bpe, "op4_token_counts": op4_token_counts, "op5_quality": op5_quality, "op6_pii": op6_pii, "op7_lm": op7_lm, "op8_chosen_path": op8_chosen_path, "op9_token_files": op9_token_files, "op10_decontaminate": op10_decontaminate}
-ORACLES = {"op2_warc": _OP2_SQL, "op4_token_counts": _OP4_SQL, "op5_quality": _OP5_SQL}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_warc": op2_warc, "op3_byte_bpe": op3_byte_bpe, "op4_token_counts": op4_token_counts, "op5_quality": op5_quality, "op6_pii": op6_pii, "op7_lm": op7_lm, "op8_chosen_path": op8_chosen_path, "op9_token_files": op9_token_files, "op10_decontaminate": op10_decontaminate,
+           "op12_spelling": op12_spelling, "op13_packing": op13_packing}
+ORACLES = {"op2_warc": _OP2_SQL, "op4_token_counts": _OP4_SQL, "op5_quality": _OP5_SQL, "op12_spelling": _OP12_SQL}
