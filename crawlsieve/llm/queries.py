@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chosen_path, decontaminate, lm, packing, pii, quality, spelling, tokencounts, tokenfile, toxicity, warc
+from . import bpe, chosen_path, decontaminate, lm, packing, pii, quality, ranked, spelling, tokencounts, tokenfile, toxicity, warc
 from .common import is_held_out, table
 
 
@@ -87,6 +87,25 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(ranked.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=20)
+
+
+_OP11_SQL = r"""
+WITH doc_terms AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+postings AS (SELECT doc_id, term, count(*) AS tf FROM doc_terms GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM postings GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals),
+item_terms AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+asked AS (SELECT item_id, term, count(*) AS times FROM item_terms GROUP BY ALL),
+scores AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN sizes USING (doc_id), totals GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores WHERE score > 0
+QUALIFY rank <= 20"""
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.forms(spelling.vocabulary(table(spark, sf_dir, "documents")))
 
@@ -139,5 +158,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b"""
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_warc": op2_warc, "op3_byte_bpe": op3_byte_bpe, "op4_token_counts": op4_token_counts, "op5_quality": op5_quality, "op6_pii": op6_pii, "op7_lm": op7_lm, "op8_chosen_path": op8_chosen_path, "op9_token_files": op9_token_files, "op10_decontaminate": op10_decontaminate,
-           "op12_spelling": op12_spelling, "op13_packing": op13_packing}
-ORACLES = {"op2_warc": _OP2_SQL, "op4_token_counts": _OP4_SQL, "op5_quality": _OP5_SQL, "op12_spelling": _OP12_SQL}
+           "op11_ranked_search": op11_ranked_search, "op12_spelling": op12_spelling, "op13_packing": op13_packing}
+ORACLES = {"op2_warc": _OP2_SQL, "op4_token_counts": _OP4_SQL, "op5_quality": _OP5_SQL, "op11_ranked_search": _OP11_SQL, "op12_spelling": _OP12_SQL}
