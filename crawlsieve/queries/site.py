@@ -21,7 +21,7 @@ from ..plans.audit import audit
 from ..sources.crawl import as_crawl, parse_url_list
 from ..sources.robots import content_signal, robots_rules, robots_sets, robots_status
 from ..sources.sitemaps import expand_sitemap_index, first_lastmod, sitemap_entries, sitemap_files
-from ..streaming.stream import latest_counts, stream_page_audit
+from ..streaming.stream import read_crawl_stream, stream_page_audit, stream_summary, summary_counts, summary_health
 from .common import crawl, d_key, d_limit, table
 from .tables import _EDGES
 
@@ -473,14 +473,37 @@ def query_stream_page_audit(spark, sf):
     return issue_rows(spark.read.parquet(f"{folder}/audited")).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@register("stream_summary", "SELECT url, CAST(0 AS BIGINT) AS errors, CAST(0 AS BIGINT) AS warnings, CAST(3 AS BIGINT) AS infos FROM pages GROUP BY url")
+def _crawled_twice(spark, sf) -> str:
+    """Two crawls in a stream's folder: every page with up to three unnamed images, then half of them again without, and a tenth as an older record.
+
+    Gives the folder of the summary, brought up to date after each crawl.
+    """
+    folder = _folder(spark)
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("seq"), "url", "html")
+    shown = "replace(html, '<body>', concat('<body>', repeat('<img src=/a.png width=1 height=1>', CAST(seq % 4 AS INT)), CASE WHEN seq % 3 = 0 THEN '<img src=/b.png alt=x>' ELSE '' END))"
+    at = lambda records, day: as_crawl(records).withColumn("fetched_at", col(f"TIMESTAMP '2026-01-0{day} 00:00:00'"))
+    first = at(pages.withColumn("html", col(shown)), 2)
+    again = at(pages.filter("seq % 2 = 0"), 3).unionByName(at(pages.filter("seq % 10 = 1"), 1))
+    for crawl_name, records in (("1", first), ("2", again)):
+        records.write.parquet(f"{folder}/crawls/{crawl_name}")
+        run = stream_summary(read_crawl_stream(spark, f"{folder}/crawls/*"), f"{folder}/summary", only_checks=("images", "main_landmark", "social")).trigger(availableNow=True).start()
+        run.awaitTermination()
+    return f"{folder}/summary"
+
+
+_TWICE = """WITH c AS (SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN 0 ELSE page_id % 4 END AS errors, CASE WHEN page_id % 2 = 1 AND page_id % 3 = 0 THEN 1 ELSE 0 END AS warnings FROM pages)"""
+
+
+@register("stream_summary", f"{_TWICE} SELECT url, errors::BIGINT AS errors, warnings::BIGINT AS warnings, 3::BIGINT AS infos FROM c")
 def query_stream_summary(spark, sf):
-    """Newest record of each page counts: an older record of every page, with more issues, is replaced."""
-    pages = page_columns(crawl(spark, sf), "issues", only_checks=("main_landmark", "social"), keep=("seq", "url"))
-    severities = "transform(issues, i -> named_struct('severity', i.severity))"
-    new = pages.select("seq", "url", col(severities).alias("issues"), col("TIMESTAMP '2026-01-02 00:00:00'").alias("fetched_at"))
-    old = table(spark, sf, "pages").select((-F.col("page_id")).alias("seq"), "url", col("array(named_struct('severity', 'error'))").alias("issues"), col("TIMESTAMP '2026-01-01 00:00:00'").alias("fetched_at"))
-    return latest_counts(new.unionByName(old))
+    """Counts per page after two micro-batches: the newest record of a page counts, an older one changes nothing."""
+    return summary_counts(spark, _crawled_twice(spark, sf))
+
+
+@register("stream_health", f"{_TWICE} SELECT count(*) FILTER (errors > 0) AS errors, count(*) FILTER (errors = 0 AND warnings > 0) AS warnings, count(*) FILTER (errors = 0 AND warnings = 0) AS clean FROM c")
+def query_stream_health(spark, sf):
+    """Pages by worst state after two micro-batches, from the changes of each alone."""
+    return summary_health(spark, _crawled_twice(spark, sf))
 
 
 @register("whole_audit", """SELECT (SELECT count(*) FROM pages) AS pages, 'error' AS fails_at""")

@@ -14,7 +14,7 @@ from crawlsieve.queries.site import page_table
 from crawlsieve.sources.crawl import as_crawl, entries_from_args, read_url_list
 from crawlsieve.sources.lab import read_lab_runs
 from crawlsieve.sources.sitemaps import read_sitemaps, sitemap_entries, sitemap_files
-from crawlsieve.streaming.stream import STREAM_SCHEMA, read_crawl_stream, stream_summary
+from crawlsieve.streaming.stream import STREAM_SCHEMA, read_crawl_stream, stream_summary, summary_counts, summary_health
 
 
 def test_rules_are_complete():
@@ -85,22 +85,46 @@ def test_page_audit_needs_no_shuffle(spark, folder):
     assert "Exchange" not in plan and "ReadSchema: struct<seq:bigint,url:string,html:string>" in plan
 
 
+def _stream_of(spark, folder):
+    stream = read_crawl_stream(spark, f"{folder}/in/*")
+    return stream.selectExpr("seq", "url", "final_url", "status", "array() AS redirects", "'text/html' AS content_type", "html", "false AS truncated", "robots_header", "headers", "body_bytes", "error", "fetched_at")
+
+
+def _put(spark, folder, name, rows):
+    """Crawl records (seq, url, html, time) as a file that a stream finds."""
+    os.makedirs(f"{folder}/in", exist_ok=True)
+    row = as_crawl(spark.createDataFrame(rows, "seq BIGINT, url STRING, html STRING, at STRING")).join(
+        spark.createDataFrame([(r[0], r[3]) for r in rows], "seq BIGINT, at STRING"), "seq").withColumn("fetched_at", F.col("at").cast("timestamp"))
+    row.selectExpr(*[f"CAST({f.split(' ')[0]} AS {' '.join(f.split(' ')[1:])}) AS {f.split(' ')[0]}" for f in ("seq BIGINT", "url STRING", "final_url STRING", "status INT", "html STRING", "fetched_at TIMESTAMP")]).write.parquet(f"{folder}/in/{name}")
+
+
 def test_stream_summary_replaces_older_records(spark, folder):
-    def put(name, title, at):
-        row = as_crawl(spark.createDataFrame([(1, "https://a.example/", title)], "seq BIGINT, url STRING, html STRING")).withColumn("fetched_at", F.lit(at).cast("timestamp"))
-        row.selectExpr(*[f"CAST({f.split(' ')[0]} AS {' '.join(f.split(' ')[1:])}) AS {f.split(' ')[0]}" for f in ("seq BIGINT", "url STRING", "final_url STRING", "status INT", "html STRING", "fetched_at TIMESTAMP")]).write.parquet(f"{folder}/in/{name}")
-    os.makedirs(f"{folder}/in")
-    put("a", "<p>x", "2026-01-01 00:00:00")
-    for name, title, at, expected in (("b", "<title>ok</title>", "2026-01-02 00:00:00", 0), ("c", "<p>old", "2025-01-01 00:00:00", 0)):
-        put(name, title, at)
-        stream = read_crawl_stream(spark, f"{folder}/in/*")
-        crawl = stream.selectExpr("seq", "url", "final_url", "status", "array() AS redirects", "'text/html' AS content_type", "html", "false AS truncated", "robots_header", "headers", "body_bytes", "error", "fetched_at")
-        stream_summary(crawl, f"{folder}/out", only_checks=("title",)).trigger(availableNow=True).start().awaitTermination()
-        newest = sorted(os.listdir(f"{folder}/out/counts"))[-1]
-        assert [r.errors for r in spark.read.parquet(f"{folder}/out/counts/{newest}").collect()] == [expected]
+    for name, title, at, expected in (("a", "<p>x", "2026-01-01 00:00:00", 1), ("b", "<title>ok</title>", "2026-01-02 00:00:00", 0), ("c", "<p>old", "2025-01-01 00:00:00", 0), ("d", "<p>no time", None, 0)):
+        _put(spark, folder, name, [(1, "https://a.example/", title, at)])
+        stream_summary(_stream_of(spark, folder), f"{folder}/out", only_checks=("title",)).trigger(availableNow=True).start().awaitTermination()
+        assert [r.errors for r in summary_counts(spark, f"{folder}/out").collect()] == [expected]
+        assert [tuple(r) for r in summary_health(spark, f"{folder}/out").collect()] == [(expected, 0, 1 - expected)]
     assert "fetched_at" in STREAM_SCHEMA
 
 
+def test_stream_summary_costs_what_a_batch_holds(spark, folder):
+    """The second batch touches the state of its own pages only, reads no earlier changes, and health still covers all pages."""
+    _put(spark, folder, "a", [(i, f"https://a.example/{i}", "<p>x", "2026-01-01 00:00:00") for i in range(60)])
+    first = stream_summary(_stream_of(spark, folder), f"{folder}/out", only_checks=("title",)).trigger(availableNow=True).start()
+    first.awaitTermination()
+    # three records of one page, the newest not last; a new page; a stale record
+    _put(spark, folder, "b", [(100, "https://a.example/1", "<p>x", "2026-01-02 00:00:00"), (101, "https://a.example/1", "<title>ok</title>", "2026-01-04 00:00:00"), (102, "https://a.example/1", "<p>x", "2026-01-03 00:00:00"),
+                              (103, "https://a.example/new", "<title>ok</title>", None), (104, "https://a.example/2", "<title>ok</title>", "2025-01-01 00:00:00")])
+    second = stream_summary(_stream_of(spark, folder), f"{folder}/out", only_checks=("title",)).trigger(availableNow=True).start()
+    second.awaitTermination()
+    state = second.lastProgress["stateOperators"][0]
+    assert (state["numRowsTotal"], state["numRowsUpdated"], second.lastProgress["numInputRows"]) == (61, 2, 5)
+    changes = spark.read.parquet(f"{folder}/out/changes/epoch=1").orderBy("url").collect()
+    assert [(r.url, r.seq, r.errors, r.was, r.now) for r in changes] == [("https://a.example/1", 101, 0, "errors", "clean"), ("https://a.example/new", 103, 0, None, "clean")]
+    assert [tuple(r) for r in summary_health(spark, f"{folder}/out").collect()] == [(59, 0, 2)]
+    assert summary_counts(spark, f"{folder}/out").filter("errors = 1").count() == 59
+
+
 def test_size_limits_of_sitemaps(spark, monkeypatch):
     from crawlsieve.operators import sitemaps
     from crawlsieve.sources import sitemaps as source
