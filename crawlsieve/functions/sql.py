@@ -79,3 +79,42 @@ def lit(text: str | None) -> str:
 
 def in_list(value: str, options) -> str:
     return f"{value} IN ({', '.join(lit(o) for o in options)})"
+
+
+# --- look-ups inside a row -------------------------------------------------------------------------------------------
+# Spark searches a map, or an array for an element, from its start.  An index is sorted once and searched by halving, so n look-ups
+# among n entries take n log n steps.
+
+def _steps(keys: str) -> str:
+    """The powers of two up to the number of keys, largest first."""
+    return f"filter(array({', '.join(str(1 << b) for b in range(24, -1, -1))}), p -> p <= size({keys}))"
+
+
+def sorted_index(entries: str) -> str:
+    """STRUCT<keys, vals, steps> of an array of STRUCT<k, v>, for ``looked_up``; of entries with one key the last by value counts."""
+    return let(f"array_sort({entries})", lambda s: f"named_struct('keys', {s}.k, 'vals', {s}.v, 'steps', {_steps(s)})")
+
+
+def sorted_keys(values: str) -> str:
+    """STRUCT<keys, steps> of an array of values, for ``count_keys``."""
+    return let(f"array_sort({values})", lambda s: f"named_struct('keys', {s}, 'steps', {_steps(s)})")
+
+
+def count_keys(index: str, value: str, test: str = "<=") -> str:
+    """How many keys of an index are at most ``value`` (or less, with ``<``).  Both are names."""
+    at, p = fresh("at"), fresh("p")
+    return f"aggregate({index}.steps, 0, ({at}, {p}) -> CASE WHEN {at} + {p} <= size({index}.keys) AND {index}.keys[{at} + {p} - 1] {test} {value} THEN {at} + {p} ELSE {at} END)"
+
+
+def looked_up(index: str, value: str) -> str:
+    """The value of a key, NULL when there is none."""
+    def found(v: str) -> str:
+        return let(count_keys(index, v), lambda n: f"CASE WHEN {n} > 0 THEN CASE WHEN {index}.keys[{n} - 1] = {v} THEN {index}.vals[{n} - 1] END END")
+    return let(value, found)
+
+
+def is_key(index: str, value: str) -> str:
+    """Whether an index has a key; false for NULL."""
+    def found(v: str) -> str:
+        return let(count_keys(index, v), lambda n: f"coalesce({n} > 0 AND {index}.keys[{n} - 1] = {v}, false)")
+    return let(value, found)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html.entities import html5
 
-from .sql import each, fresh, keep, let, lit
+from .sql import count_keys, each, each_indexed, fresh, keep, let, lit, sorted_keys
 
 # White space as browsers see it, which is Unicode white space with U+FEFF and without U+0085.
 SPACE_CLASS = r"[\s\x{FEFF}&&[^\x{85}]]"
@@ -67,8 +67,13 @@ def file_name(src: str) -> str:
     return f"CASE WHEN {src} = '' OR startswith({src}, 'data:') THEN '' ELSE {decoded} END"
 
 
+def plain_letters(s: str) -> str:
+    """Lower-case letters, digits and spaces of a text."""
+    return f"regexp_replace(lower({s}), r'[^\\p{{L}}\\p{{N}} ]', '')"
+
+
 def norm_link_text(s: str) -> str:
-    return f"trim(regexp_replace(lower({s}), r'[^\\p{{L}}\\p{{N}} ]', ''))"
+    return f"trim({plain_letters(s)})"
 
 
 def issue_id(where: str, kind: str, detail: str) -> str:
@@ -76,11 +81,19 @@ def issue_id(where: str, kind: str, detail: str) -> str:
 
 
 def unique_ids(ids: str) -> str:
-    """Repeats inside one array get -2, -3; an array without repeats costs one hash pass."""
+    """Repeats inside one array get -2, -3; an array without repeats costs one hash pass.
+
+    Ids are sorted with their places; how far one lies behind the first of its kind is its number.
+    """
     def numbered(v: str) -> str:
-        x, i, y = fresh(), fresh("i"), fresh()
-        seen = f"size(filter(slice({v}, 1, {i}), {y} -> {y} = {x}))"
-        return f"transform({v}, ({x}, {i}) -> CASE WHEN {seen} = 0 THEN {x} ELSE concat({x}, '-', {seen} + 1) END)"
+        s, i = fresh("s"), fresh("i")
+        places = each_indexed(v, lambda x, i: f"named_struct('k', {x}, 'i', {i})")
+        def ranked(places: str) -> str:
+            index = sorted_keys(f"{places}.k")
+            rank = lambda k: f"transform({places}, ({s}, {i}) -> named_struct('i', {s}.i, 'k', {s}.k, 'n', {i} - {let(s + '.k', lambda x: count_keys(k, x, '<'))}))"
+            return let(index, rank)
+        shown = each(f"array_sort({let(f'array_sort({places})', ranked)})", lambda e: f"CASE WHEN {e}.n = 0 THEN {e}.k ELSE concat({e}.k, '-', {e}.n + 1) END")
+        return shown
     return let(ids, lambda v: f"CASE WHEN size(array_distinct({v})) = size({v}) THEN {v} ELSE {numbered(v)} END")
 
 

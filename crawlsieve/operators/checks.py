@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 from ..functions import urls
-from ..functions.sql import any_of, each, first, flat, fresh, in_list, keep, let, lit
-from ..functions.text import SPACES, collapse_ws, file_name, html_entities, norm_link_text, safe_decode, trim_ws
+from ..functions.sql import any_of, count_keys, each, first, flat, fresh, in_list, is_key, keep, let, lit, looked_up, sorted_index, sorted_keys
+from ..functions.text import SPACES, collapse_ws, file_name, html_entities, safe_decode, trim_ws
 from .families import meta_content, named, og, resolve, twitter
 from .issues import NO_ISSUES, issue, per, when
-from .markup import (accessible_name, attr, has_attr, is_bound, labelled_text, named_by_script, own_tokens, snippet, source_of, subtree,
-                     tagged, trimmed_attr, visible_images, visible_text)
+from .markup import (attr, has_attr, has_label_text, is_bound, is_named, link_name, named_by_script, own_tokens, snippet, source_of, subtree, tagged,
+                     trimmed_attr, visible_images, visible_text)
 from .rules import SOURCES
 
+#: Room of a context, and how much of the text after an entity is shown in it.
+CONTEXT_ROOM, AROUND = 120, 20
 # Limits and word lists of the checks.
 TITLE_MAX, DESCRIPTION_MIN, DESCRIPTION_MAX, URL_MAX, SHELL_MAX_WORDS = 60, 70, 160, 100, 20
-GENERIC_FILE = r"(?i)^(img|image|pic|picture|photo|dsc|dscn|untitled|screenshot)[-_ ]?\d*$"
+GENERIC_FILES = ("img", "image", "pic", "picture", "photo", "dsc", "dscn", "untitled", "screenshot")
 GENERIC_LINKS = ("click here", "here", "read more", "more", "learn more", "link", "this link")
 ID_REFERENCES = ("aria-labelledby", "aria-describedby", "aria-controls", "aria-owns", "for")
 UNLABELLED_INPUTS = ("hidden", "submit", "button", "reset", "image")
 VALUE_RULES = ("unavailable_after", "max-snippet", "max-image-preview", "max-video-preview")
-NEEDS_SCRIPT = r"(?i)enable javascript|requires? javascript|javascript (is )?(required|disabled)"
+NEEDS_SCRIPT = ("enable javascript", "require javascript", "requires javascript", "javascript required", "javascript is required", "javascript disabled", "javascript is disabled")
 APP_ROOTS = ("root", "app", "__next", "__nuxt", "svelte")
 
 
@@ -38,7 +40,7 @@ def images() -> str:
         def facts(f: str) -> str:
             shown = f"{f}.shown"
             make = lambda kind, message: issue(kind, message, shown, pre=f"{img}.pre", whole=True)
-            only_content = f"{img}.near.link >= 0 AND {let(f'nodes[{img}.near.link]', lambda l: _unnamed_image(l, img))}"
+            only_content = f"{img}.near.link >= 0 AND coalesce({looked_up('image_links', img + '.near.link')} = {img}.pre, false)"
             alt = (f"CASE WHEN {f}.bound_alt OR ({f}.alt IS NOT NULL AND trim({f}.alt) <> '') THEN {NO_ISSUES} WHEN {f}.alt IS NULL THEN "
                    f"array({make('missing-alt', lit('Image has no alt attribute'))}) WHEN {only_content} THEN "
                    f"array({make('empty-alt-in-link', lit('A link or button holds only an image, and its alt is empty'))}) ELSE "
@@ -47,7 +49,7 @@ def images() -> str:
             words = f"lower(trim(coalesce({f}.alt, '')))"
             src = when(f"{f}.src = '' AND coalesce({attr(img, 'srcset')}, '') = '' AND NOT {is_bound(img, 'src')} AND NOT {is_bound(img, 'srcset')}",
                        make("missing-src", lit("Image has neither src nor srcset")))
-            generic = when(f"{f}.name <> '' AND {stem} RLIKE r'{GENERIC_FILE}'",
+            generic = when(f"{f}.name <> '' AND {in_list(_without_number(stem), GENERIC_FILES)}",
                            make("generic-filename", f"concat('Image file name \"', {f}.name, '\" is generic')"))
             same = when(f"{f}.name <> '' AND {words} <> '' AND ({words} = lower({f}.name) OR {words} = lower({stem}))",
                         make("alt-is-filename", lit("Alt text is the file name")))
@@ -63,11 +65,23 @@ def images() -> str:
     return per("imgs", judge)
 
 
-def _unnamed_image(link: str, img: str) -> str:
-    """``img`` is the first visible image of a link that nothing names."""
+def image_links() -> str:
+    """Index of the links and buttons around images that nothing names but images without alt: the first of their visible images."""
     unnamed = lambda i: f"trim(coalesce({attr(i, 'alt')}, '')) = '' AND NOT {is_bound(i, 'alt')}"
-    alone = let(visible_images(link), lambda v: f"{first(v)}.pre = {img}.pre AND NOT exists({v}, i -> NOT ({unnamed('i')}))")
-    return f"({accessible_name(link, images=False)} = '' AND NOT {named_by_script(link, images=False)} AND coalesce({alone}, false))"
+    alone = lambda v: f"CASE WHEN forall({v}, i -> {unnamed('i')}) THEN {first(v)}.pre END"
+    judge = lambda link: (f"CASE WHEN NOT {is_named(link, images=False)} AND NOT {named_by_script(link, images=False)} "
+                          f"THEN {let(visible_images(link), alone)} END")
+    around = "array_distinct(transform(filter(imgs, i -> i.near.link >= 0), i -> i.near.link))"
+    return sorted_index(keep(each(around, lambda p: f"struct({p} AS k, {let(f'nodes[{p}]', judge)} AS v)"), lambda e: f"{e}.v IS NOT NULL"))
+
+
+def image_stages() -> list[dict[str, str]]:
+    return [{"image_links": image_links()}]
+
+
+def _without_number(stem: str) -> str:
+    """A file name in lower case without the digits at its end and a separator before them."""
+    return f"regexp_replace(lower({stem}), '[-_ ]?[0-9]*$', '')"
 
 
 # --- accessibility ------------------------------------------------------------------------------------------------
@@ -79,23 +93,25 @@ def _input_type(n: str) -> str:
 def form_labels() -> str:
     labelable = lambda x: (f"(({x}.tag = 'input' AND {_input_type(x)} <> 'hidden') OR "
                            f"{in_list(x + '.tag', ('select', 'textarea', 'button', 'meter', 'output', 'progress'))})")
-    named_labels = keep(tagged("label"), lambda l: f"{accessible_name(l)} <> '' OR {named_by_script(l)}")
+    named_labels = keep(tagged("label"), lambda l: f"{is_named(l)} OR {named_by_script(l)}")
     aim = lambda l: (f"named_struct('id', {attr(l, 'for')}, 'pre', CASE WHEN NOT {has_attr(l, 'for')} THEN "
                      f"{first(keep(subtree(l), labelable))}.pre END)")
     controls = keep("nodes", lambda c: (
         f"(({c}.tag = 'input' AND NOT {in_list(_input_type(c), UNLABELLED_INPUTS)}) OR {c}.tag IN ('select', 'textarea')) "
         f"AND coalesce({attr(c, 'aria-hidden')}, '') <> 'true'"))
-    def judge(labels: str) -> str:
+    def judge(named: str) -> str:
         def one(c: str) -> str:
-            labelled = (f"array_contains(transform({labels}, l -> coalesce(l.pre, -1)), {c}.pre) OR "
-                        f"({has_attr(c, 'id')} AND exists({labels}, l -> l.id <> '' AND l.id = {attr(c, 'id')}))")
-            own = f"{accessible_name(c, content=False)} <> '' OR {named_by_script(c, content=False)}"
-            broken = f"{has_attr(c, 'aria-labelledby')} AND {labelled_text(c)} IS NULL"
+            labelled = f"{is_key(named + '.pres', c + '.pre')} OR ({has_attr(c, 'id')} AND {is_key(named + '.ids', attr(c, 'id'))})"
+            own = f"{is_named(c, content=False)} OR {named_by_script(c, content=False)}"
+            broken = f"{has_attr(c, 'aria-labelledby')} AND NOT {has_label_text(c)}"
             message = f"CASE WHEN {broken} THEN 'Form field is unnamed, its aria-labelledby names nothing' ELSE 'Form field has no label' END"
-            return when(f"NOT coalesce({labelled}, false) AND NOT ({own})",
+            return when(f"NOT ({labelled}) AND NOT ({own})",
                         issue("form-input-no-label", message, snippet(c), pre=f"{c}.pre", whole=True))
         return per(controls, one)
-    return let(each(named_labels, aim), judge)
+    # what the labels of the page name: ids, and controls inside a label
+    aims = lambda ls: (f"named_struct('ids', {sorted_keys('filter(transform(' + ls + ', l -> l.id), i -> i <> ' + lit('') + ')')}, "
+                       f"'pres', {sorted_keys('filter(transform(' + ls + ', l -> l.pre), p -> p IS NOT NULL)')})")
+    return let(let(each(named_labels, aim), aims), judge)
 
 
 def duplicate_ids() -> str:
@@ -103,13 +119,13 @@ def duplicate_ids() -> str:
     referenced = f"array_distinct(flatten(transform(filter(nodes, n -> n.tag <> '#text' AND size(n.attrs) > 0), n -> {references})))"
     doubled = keep("nodes", lambda n: f"{n}.id_nth = 1 AND {n}.id_total > 1 AND {attr(n, 'id')} <> ''")
     def one(n: str, used: str) -> str:
-        hit = f"array_contains({used}, {attr(n, 'id')})"
+        hit = is_key(used, attr(n, "id"))
         message = (f"concat('id \"', {attr(n, 'id')}, '\" occurs ', {n}.id_total, ' times', CASE WHEN {hit} "
                    f"THEN ' and a label or ARIA attribute refers to it' ELSE '' END)")
         return "array(" + issue("duplicate-id", message, snippet(n), pre=f"{n}.pre", whole=True,
                                 severity=f"CASE WHEN {hit} THEN 'error' ELSE 'warning' END",
                                 category=f"CASE WHEN {hit} THEN 'accessibility' ELSE 'best-practice' END") + ")"
-    return let(doubled, lambda ds: f"CASE WHEN size({ds}) = 0 THEN {NO_ISSUES} ELSE {let(referenced, lambda used: per(ds, lambda n: one(n, used)))} END")
+    return let(doubled, lambda ds: f"CASE WHEN size({ds}) = 0 THEN {NO_ISSUES} ELSE {let(sorted_keys(referenced), lambda used: per(ds, lambda n: one(n, used)))} END")
 
 
 def main_landmark() -> str:
@@ -125,16 +141,16 @@ def links() -> str:
             def named_(name: str) -> str:
                 def found(by_script: str) -> str:
                     make = lambda kind, message: issue(kind, message, snippet(n), pre=f"{n}.pre", whole=True)
-                    none = when(f"{name} = '' AND NOT {by_script} AND size({visible_images(n)}) = 0",
+                    none = when(f"{name}.shown = '' AND NOT {by_script} AND size({visible_images(n)}) = 0",
                                 make("link-no-name", lit("Link has no text, aria-label or title")))
-                    generic = when(f"{in_list(norm_link_text(name), GENERIC_LINKS)} AND NOT {by_script}",
-                                   make("link-generic-text", f"concat('Link text \"', {name}, '\" is generic')"))
+                    generic = when(f"{in_list(name + '.plain', GENERIC_LINKS)} AND NOT {by_script}",
+                                   make("link-generic-text", f"concat('Link text \"', {name}.shown, '\" is generic')"))
                     return f"concat({none}, {generic})"
                 return let(named_by_script(n, images=False), found)
             placeholder = when(f"{a}.raw = '#' OR {a}.raw RLIKE '(?i)^javascript:'", issue(
                 "link-empty-href", f"concat('Link has no target (href=\"', left({a}.raw, 20), '\")')", snippet(n), pre=f"{n}.pre", whole=True))
             return (f"CASE WHEN coalesce({attr(n, 'aria-hidden')}, '') = 'true' THEN {NO_ISSUES} ELSE "
-                    f"concat({let(accessible_name(n, images=False), named_)}, {placeholder}) END")
+                    f"concat({let(link_name(n), named_)}, {placeholder}) END")
         return let(_node(a), on)
     return per("anchors", judge)
 
@@ -217,19 +233,24 @@ def escaped_text() -> str:
 
 
 def _escaped_context(n: str, entity: str) -> str:
-    """The tag as written; when the entity lies past the room, the middle of the text is left out instead."""
-    def place(h: str) -> str:
-        text_at = f"CASE WHEN {n}.tag = 'meta' THEN locate(' content=', {h}) + 9 ELSE locate('>', {h}) END"
-        written = f"concat('&amp;', substr({entity}, 2))"
-        def cut(p: str) -> str:
-            end = f"least(char_length({h}), {p}.at - 1 + char_length({written}) + 20)"
-            head = f"CASE WHEN {p}.start <= 60 THEN {p}.start ELSE 0 END"
-            more = f"CASE WHEN {end} < char_length({h}) THEN '...' ELSE '' END"
-            tail = f"(120 - {head} - 3 - char_length({more}))"
-            return (f"CASE WHEN {p}.at = 0 OR {end} <= 120 THEN {h} ELSE "
-                    f"concat(left({h}, {head}), '...', substr({h}, {end} - {tail} + 1, {tail}), {more}) END")
-        return let(f"named_struct('start', {text_at}, 'at', locate({written}, {h}, greatest({text_at}, 1)))", cut)
-    return let(source_of(n, 100000), place)
+    """The tag as written.  Where the entity lies past the room, a window of the text that ends shortly after it, behind the tag's opening if that is short."""
+    written = f"concat('&amp;', substr({entity}, 2))"
+    def shown(h: str) -> str:
+        opening = f"regexp_extract({h}, CASE WHEN {n}.tag = 'meta' THEN '^.*? content=.' ELSE '^[^>]*>' END, 0)"
+        def window(o: str) -> str:
+            text = f"substr({h}, char_length({o}) + 1)"
+            def around(w: str) -> str:
+                seen = f"concat({w}.before, {w}.entity, left({w}.after, {AROUND}))"
+                lead = f"IF(char_length({o}) <= {CONTEXT_ROOM} div 2, {o}, '')"
+                more = f"IF(char_length({w}.after) > {AROUND}, '...', '')"
+                room = f"{CONTEXT_ROOM} - char_length({lead}) - char_length({more}) - 3"
+                fits = f"char_length({o}) + char_length({seen}) <= {CONTEXT_ROOM}"
+                return f"IF({fits} OR NOT contains({text}, {w}.entity), {h}, concat({lead}, '...', right({seen}, {room}), {more}))"
+            before = lambda e: f"substring_index({text}, {e}, 1)"
+            parts = lambda e: f"named_struct('entity', {e}, 'before', {before(e)}, 'after', substr({text}, char_length({before(e)}) + char_length({e}) + 1))"
+            return let(let(written, parts), around)
+        return let(opening, window)
+    return let(source_of(n), shown)
 
 
 # --- headings -------------------------------------------------------------------------------------------------------
@@ -243,21 +264,24 @@ def headings() -> str:
         f"CASE WHEN size({hs}) = 0 THEN array({issue('missing-h1', lit('Page has no h1'), lit('<body>'))}) "
         f"WHEN size({hs}) > 1 THEN array({several(hs)}) "
         f"ELSE {NO_ISSUES} END"))
-    holds = lambda n: any_of(subtree(n), lambda x: (
+    # Which nodes say something is worked out once; whether a heading holds one is a difference of two counts.
+    saying = keep("nodes", lambda x: (
         f"({x}.tag = '#text' AND {x}.near.raw < 0 AND {trim_ws(x + '.data')} <> '') OR "
         f"({x}.tag = 'img' AND {trim_ws('coalesce(' + attr(x, 'alt') + ', ' + lit('') + ')')} <> '')"))
+    holds = lambda n, index: f"({let(n + '.last', lambda v: count_keys(index, v))} > {let(n + '.pre', lambda v: count_keys(index, v))})"
     h, i = fresh("h"), fresh("i")
     previous = f"CASE WHEN {i} = 0 THEN 1 ELSE headings[{i} - 1].level END"
     skipped = when(f"{h}.level > {previous} + 1", issue(
         "skipped-heading-level", f"concat('Heading level jumps to h', {h}.level, ' after ', CASE WHEN {i} = 0 THEN 'no heading' ELSE concat('h', {previous}) END)",
         tag(h), pre=f"{h}.pre"))
-    def empty(n: str) -> str:
-        unnamed = (f"NOT ({holds(n)} OR coalesce({attr(n, 'aria-label')}, '') <> '' OR coalesce({attr(n, 'aria-labelledby')}, '') <> '' "
+    def empty(n: str, index: str) -> str:
+        unnamed = (f"NOT ({holds(n, index)} OR coalesce({attr(n, 'aria-label')}, '') <> '' OR coalesce({attr(n, 'aria-labelledby')}, '') <> '' "
                    f"OR {named_by_script(n)})")
         return when(unnamed, issue("empty-heading", f"concat('Heading h', {h}.level, ' is empty')", snippet(n), pre=f"{n}.pre", whole=True))
     # A heading with visible text is never empty, so only the others are searched.
-    order = f"transform(headings, ({h}, {i}) -> concat({skipped}, CASE WHEN {h}.text <> '' THEN {NO_ISSUES} ELSE {let(f'nodes[{h}.pre]', empty)} END))"
-    return f"concat({counts}, coalesce(flatten({order}), {NO_ISSUES}))"
+    order = lambda index: f"transform(headings, ({h}, {i}) -> concat({skipped}, CASE WHEN {h}.text <> '' THEN {NO_ISSUES} ELSE {let(f'nodes[{h}.pre]', lambda n: empty(n, index))} END))"
+    index = f"CASE WHEN exists(headings, h -> h.text = '') THEN {sorted_keys(each(saying, lambda x: x + '.pre'))} END"
+    return f"concat({counts}, coalesce(flatten({let(index, order)}), {NO_ISSUES}))"
 
 
 # --- indexing and snippets ------------------------------------------------------------------------------------------
@@ -437,6 +461,7 @@ def client_side() -> str:
     root = first(keep("nodes", lambda n: f"{n}.tag <> '#text' AND {in_list(attr(n, 'id'), APP_ROOTS)}"))
     content = any_of("nodes", lambda n: f"{n}.tag IN ('main', 'article', 'form') AND {n}.near.body >= 0 AND {n}.near.shell < 0 AND {n}.near.raw < 0")
     noscript = collapse_ws(f"array_join(transform(filter(nodes, x -> x.tag = '#text' AND x.near.raw >= 0 AND nodes[x.near.raw].tag = 'noscript'), x -> x.data), '')")
+    asks = lambda text: "(" + " OR ".join(f"contains({text}, {lit(phrase)})" for phrase in NEEDS_SCRIPT) + ")"
     def judge(r: str) -> str:
         def on(s: str) -> str:
             empty_root = f"({s}.empty AND NOT {s}.content)"
@@ -445,7 +470,7 @@ def client_side() -> str:
             return when(f"{empty_root} OR {needs}", issue(
                 "client-side-rendered", lit("Page has almost no text in its HTML and seems built in the browser"),
                 f"CASE WHEN {empty_root} THEN {tag} ELSE '<noscript>' END"))
-        state = (f"named_struct('empty', coalesce({collapse_ws(visible_text(r))} = '', false), 'content', {content}, 'needs', {noscript} RLIKE r'{NEEDS_SCRIPT}')")
+        state = (f"named_struct('empty', coalesce({collapse_ws(visible_text(r))} = '', false), 'content', {content}, 'needs', {let(f'lower({noscript})', asks)})")
         return let(state, on)
     return f"CASE WHEN word_count >= {SHELL_MAX_WORDS} THEN {NO_ISSUES} ELSE {let(root, judge)} END"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.sql import any_of, each, each_indexed, first, flat, in_list, keep, let, lit
+from ..functions.sql import any_of, each, each_indexed, first, flat, in_list, keep, let, lit, looked_up, sorted_index
 from ..functions.text import MAX_URL, trim_ws
 from ..functions.variant import as_array, as_list, as_map, as_string, key, text, text_value
 from .issues import NO_ISSUES, issue, per, when
@@ -41,12 +41,13 @@ def block_stages() -> list[dict[str, str]]:
     numbered = each_indexed("flatten(ld_nested)", lambda o, i: (
         f"named_struct('ord', {i}, 'block', {o}.block, 'm', {o}.m, 'id', {o}.id, 'types', {o}.types)"))
     starts = "transform(sequence(0, greatest(size(ld_nested), 1) - 1), i -> aggregate(slice(ld_nested, 1, i), 0, (n, os) -> n + size(os)))"
-    return [{"ld_blocks": blocks}, {"ld_nested": nested}, {"ld_objects": numbered, "ld_starts": starts}]
+    ids = sorted_index("transform(filter(ld_objects, o -> o.id IS NOT NULL), o -> struct(o.id AS k, o.ord AS v))")
+    return [{"ld_blocks": blocks}, {"ld_nested": nested}, {"ld_objects": numbered, "ld_starts": starts}, {"ld_ids": ids}]
 
 
 def by_id(ref: str) -> str:
     """The object an @id refers to; the last one with that id."""
-    return let(ref, lambda r: f"CASE WHEN {r} IS NOT NULL THEN try_element_at(filter(ld_objects, o -> o.id = {r}), -1) END")
+    return let(looked_up("ld_ids", ref), lambda o: f"CASE WHEN {o} IS NOT NULL THEN ld_objects[{o}] END")
 
 
 def name_of(item: str) -> str:

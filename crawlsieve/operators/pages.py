@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.sql import col
 from ..sources.crawl import html_pages
-from . import checks, facts, families, issues, jsonld, platform, products
+from . import checks, facts, families, issues, jsonld, markup, platform, products
 from .codes import hreflang_codes
 from .nodes import extract_nodes
 
@@ -36,14 +36,19 @@ RESPONSE = ("seq", "url", "final_url", "status", "redirects", "content_type", "t
 
 def _stages(df: DataFrame, wanted_checks, own_checks=()) -> list[dict[str, str]]:
     stages = [
-        *families.stages(), *facts.stages(), *jsonld.block_stages(), *jsonld.authorship_stages(), *products.stages(), *platform.stages(),
-        *jsonld.check_stages(), *checks.hreflang_stages(),
+        *families.stages(), *markup.label_stages(), *facts.stages(), *jsonld.block_stages(), *jsonld.authorship_stages(), *products.stages(), *platform.stages(),
+        *jsonld.check_stages(), *checks.hreflang_stages(), *checks.image_stages(),
     ]
     if wanted_checks or own_checks:
         stages += issue_stages(df, wanted_checks, own_checks)
     return stages
 
 
+def _once_read(sql: str) -> str:
+    """An expression that takes ``html`` from the row once: each use of a binary column copies all its bytes."""
+    return f"transform(array(html), html -> {sql})[0]"
+
+
 def issue_stages(df: DataFrame, names, own_checks=()) -> list[dict[str, str]]:
     """Raw issues of each check, then those of the user's own, then merged, then with evidence and ids."""
     raw = {}
@@ -51,11 +56,11 @@ def issue_stages(df: DataFrame, names, own_checks=()) -> list[dict[str, str]]:
         if name in names:
             sql = CHECKS[name](hreflang_codes(df.sparkSession)) if name == "hreflang" else CHECKS[name]()
             # The response is checked on every record, markup only where there is some.
-            raw[f"raw_{name}"] = sql if name == "response" else f"CASE WHEN nodes IS NULL THEN array() ELSE {sql} END"
+            raw[f"raw_{name}"] = sql if name == "response" else _once_read(f"CASE WHEN nodes IS NULL THEN array() ELSE {sql} END")
     for i, check in enumerate(own_checks):
-        raw[f"raw_own_{i}"] = f"CASE WHEN nodes IS NULL THEN array() ELSE {check()} END"
+        raw[f"raw_own_{i}"] = _once_read(f"CASE WHEN nodes IS NULL THEN array() ELSE {check()} END")
     merged = f"concat({', '.join(raw)})" if len(raw) > 1 else next(iter(raw))
-    return [raw, {"issues_raw": issues.merge_robots(merged)}, {"issues_found": issues.with_evidence("issues_raw")},
+    return [raw, {"issues_raw": issues.merge_robots(merged)}, {"issues_found": _once_read(issues.with_evidence("issues_raw"))},
             {"issues": issues.with_ids("issues_found", "url")}]
 
 

@@ -235,7 +235,7 @@ def _names(spark, sf):
     body = ("concat('<div id=lab>La<b>bel</b> ', seq, '<i hidden>no</i></div><a id=t href=1 aria-labelledby=\"lab zz\">x</a><a id=t href=2 aria-label=\" Own  label \">x</a>"
             "<a id=t href=3><img alt=\"Pic ', seq, '\"><span aria-label=\"in\">out</span><noscript>n</noscript><i aria-hidden=true>h</i></a><a id=t href=4 title=\"Tip\"><svg><g><title>deep</title></g></svg></a>"
             "<a id=t href=5 v-text=\"name\"></a>')")
-    df = page_columns(decorated(spark, sf, body=body), "anchors", "nodes", "bound", "svg_title", "id_pre")
+    df = page_columns(decorated(spark, sf, body=body), "anchors", "nodes", "bound", "svg_title", "id_pre", "label_targets", "label_names", "label_facts")
     rows = f"filter(transform(anchors, a -> nodes[a.pre]), n -> n.attrs['id'] = 't')"
     named = f"transform({rows}, n -> named_struct('link', n.attrs['href'], 'name', {accessible_name('n')}, 'bound', {named_by_script('n')}))"
     return df.select(col("seq").alias("page_id"), col(f"inline({named})"))
