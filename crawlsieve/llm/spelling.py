@@ -1,6 +1,7 @@
 """Spelling variants: words one code point apart, found with a bit-sliced position index over the vocabulary.
 
-Counting.  Words are counted in Spark over all texts, summed task by task first.
+Counting.  A task cuts its texts into words as byte ranges, works out the crc32 that may take a letter from each for all words of a slice at once, and adds equal
+words up before they are shuffled.
 
 Buckets.  Two words of lengths t and t or t + 1 that differ by one inserted, deleted or replaced code point share their first t // 2 code points, or
 the last t - t // 2.  So a word enters four buckets: by either half, for t its length and its length less one.  A bucket takes one
@@ -21,6 +22,7 @@ rows.  Words of any length are compared whole.  Other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_groups, written
+from .words import slices, text_buffer
 
-RUN = r"[A-Za-zÀ-ÿ]+"
+#: A word is a run of ``[A-Za-z\u00C0-\u00FF]``.
 LEAST_LENGTH, LEAST_COUNT = 5, 3
 #: One run of a document in so many loses a letter, chosen by crc32.
 DAMAGED = 97
@@ -38,18 +41,115 @@ DAMAGED = 97
 BLOCK, SLICE = 2048, 512
 #: Letters of a block or slice, so that long words make it smaller.
 CELLS = 1 << 20
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Different words that a task holds before it hands them on, about.
+HELD = 600_000
+#: Bytes of a word whose crc32 is worked out together with others.
+LONG = 48
+
+
+def _crc_table() -> np.ndarray:
+    """What a byte does to a crc32, by the byte."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table.astype(np.uint32)
+
+
+_CRC = _crc_table()
+_LETTER = np.zeros(256, bool)
+_LETTER[[c for c in range(128) if chr(c).isalpha()]] = True
+#: U+00C0 to U+00FF are this byte and one more in UTF-8, and nothing else begins with it.
+_LEAD = 0xC3
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[65:91] += 32
+
+
+def _crcs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """crc32 of a head (given as its crc32) followed by some bytes, for many at a time, letter by letter; long ones singly."""
+    out = np.empty(len(starts), np.uint32)
+    long = sizes > LONG
+    for i in np.flatnonzero(long).tolist():
+        out[i] = zlib.crc32(data[starts[i]:starts[i] + sizes[i]], int(heads[i]))
+    some = np.flatnonzero(~long)
+    order = some[np.argsort(-sizes[some], kind="stable")]
+    state, at = heads[order] ^ np.uint32(0xFFFFFFFF), starts[order]
+    left = np.searchsorted(-sizes[order], -np.arange(LONG), side="left")  # how many are longer than k
+    for k, n in enumerate(left.tolist()):
+        state[:n] = _CRC[(state[:n] ^ data[at[:n] + k]) & np.uint32(255)] ^ (state[:n] >> np.uint32(8))
+    out[order] = state ^ np.uint32(0xFFFFFFFF)
+    return out
+
+
+def _runs(column: pa.Array, ids: list[int | None], damaged: int | None) -> pa.Array:
+    """The words of some texts, one after another, letters lowered and left out as the rule says."""
+    data, offsets = text_buffer(column)
+    inside = _LETTER[data] | (data == _LEAD)
+    inside[1:] |= data[:-1] == _LEAD
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    heads = offsets[:-1][offsets[1:] > offsets[:-1]]
+    begins[heads] = inside[heads]
+    gaps = ~inside
+    gaps[heads] = True
+    starts = np.flatnonzero(begins)
+    places = np.append(np.flatnonzero(gaps), len(data))
+    sizes = places[np.searchsorted(places, starts, side="right")] - starts
+    wide = np.append(0, np.cumsum(data == _LEAD))
+    points = sizes - (wide[starts + sizes] - wide[starts])
+    some = points >= LEAST_LENGTH
+    starts, sizes, points = starts[some], sizes[some], points[some]
+    low = _LOWERED[data]
+    edges = np.append(0, np.cumsum(sizes))
+    flat = low[np.repeat(starts - edges[:-1], sizes) + np.arange(int(edges[-1]))]
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(flat))
+    if not damaged or not len(starts):
+        return words
+    doc = np.searchsorted(offsets, starts, side="right") - 1
+    known = np.array([i is not None for i in ids], bool)
+    head = np.array([zlib.crc32(f"{i}:".encode()) for i in ids], np.uint32)
+    crc = _crcs(low, starts, sizes, head[doc])
+    hit = np.flatnonzero((crc % np.uint32(damaged) == 0) & known[doc])
+    shorter = []
+    for word, h in zip(words.take(pa.array(hit)).to_pylist(), crc[hit].tolist(), strict=True):
+        at = h % len(word)
+        shorter.append(word[:at] + word[at + 1:])
+    shorter = [w for w in shorter if len(w) >= LEAST_LENGTH]
+    rest = np.ones(len(starts), bool)
+    rest[hit] = False
+    return pa.concat_arrays([words.filter(pa.array(rest)), pa.array(shorter, pa.large_string())])
+
+
+def _counted(damaged: int | None):
+    """word, n: the words of a task's texts, counted some megabytes at a time and then put together."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def together() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"]).combine_chunks()
+
+        for batch in batches:
+            for part in slices(batch):
+                counts = _runs(part.column("text"), part.column("doc_id").to_pylist(), damaged).value_counts()
+                held.append(pa.table({"word": counts.field("values"), "n": counts.field("counts")}))
+                if sum(t.num_rows for t in held) > HELD:
+                    held[:] = [together()]
+                    if held[0].num_rows > HELD // 2:
+                        yield from _as_rows(held.pop())
+        if held:
+            yield from _as_rows(together())
+    return task
+
+
+def _as_rows(counts: pa.Table) -> Iterator[pa.RecordBatch]:
+    yield from counts.cast(pa.schema([("word", pa.string()), ("n", pa.int64())])).to_batches(max_chunksize=20_000)
 
 
 def vocabulary(docs: DataFrame, damaged: int | None = DAMAGED) -> DataFrame:
     """word, n: runs of letters of at least ``LEAST_LENGTH`` code points that occur at least ``LEAST_COUNT`` times."""
-    runs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(RUN), F.lit(0))).alias("run"))
-    runs = runs.filter(F.length("run") >= LEAST_LENGTH).withColumn("run", F.translate("run", _UPPER, _LOWER))
-    if damaged:
-        runs = runs.withColumn("h", F.crc32(F.concat("doc_id", F.lit(":"), "run"))).withColumn("at", (F.col("h") % F.length("run")).cast("int"))
-        shorter = F.concat(F.substring("run", F.lit(1), F.col("at")), F.substring("run", F.col("at") + 2, F.length("run")))
-        runs = runs.withColumn("run", F.when(F.col("h") % damaged == 0, shorter).otherwise(F.col("run")))
-    return runs.filter(F.length("run") >= LEAST_LENGTH).groupBy(F.col("run").alias("word")).agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_COUNT)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    counts = texts.mapInArrow(_counted(damaged), "word string, n long")
+    return counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
 
 
 def _bits(flags: np.ndarray) -> np.ndarray:
