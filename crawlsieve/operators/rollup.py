@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sql import col
 from ..functions.text import limit_text
 from .rules import severity_rank
-from .skew import top_k
+from .skew import materialise, top_k
 
 MAX_VARIANTS, MAX_MESSAGES, MAX_URLS = 5, 3, 3  # Fixed values: how long the lists of a digest are.
 HIT_COLUMNS = ("hit", "type", "severity", "category", "message", "context", "selector", "html", "actual", "expected", "seq", "url")
 
 
+SEVERITIES = (("error", "errors"), ("warning", "warnings"), ("info", "infos"))
+
+
 def count_severities(*, prefix: str = "") -> list:
     """Aggregates errors, warnings, infos (A1)."""
-    return [F.count_if(F.col("severity") == s).alias(f"{prefix}{name}") for s, name in (("error", "errors"), ("warning", "warnings"), ("info", "infos"))]
+    return [F.count_if(F.col("severity") == s).alias(f"{prefix}{name}") for s, name in SEVERITIES]
 
 
 def hits(page_issues: DataFrame | None, site_members: DataFrame | None = None) -> DataFrame:
@@ -62,12 +66,26 @@ def pages_with_site_issues(pages: DataFrame, page_issues: DataFrame, site_member
 
 
 def page_counts(pages: DataFrame, issues: DataFrame) -> DataFrame:
-    """Severity counts of every page, clean ones included."""
+    """Severity counts of every page, clean ones included, from rows of issues."""
     counts = issues.groupBy("url").agg(*count_severities())
     joined = pages.select("seq", "url", "final_url", "status").join(counts, "url", "left")
     return joined.fillna(0, ["errors", "warnings", "infos"])
 
 
+def page_counts_in_row(pages: DataFrame, more: DataFrame) -> DataFrame:
+    """Severity counts of every page: its own issues are counted where they lie, and only ``more`` (url, severity), the issues that list it, is joined.
+
+    Inputs with the same address share what either has, as ``page_counts`` has it.
+    """
+    names = [name for _, name in SEVERITIES]
+    own = [col(f"coalesce(CAST(size(filter(issues, i -> i.severity = '{severity}')) AS BIGINT), 0L)").alias(f"own_{name}") for severity, name in SEVERITIES]
+    listed = more.groupBy("url").agg(*count_severities())
+    joined = pages.select("seq", "url", "final_url", "status", *own).join(listed, "url", "left")
+    # the join has the pages by address, so inputs with one address are together without another shuffle
+    alike = W.partitionBy("url")
+    return joined.select("seq", "url", "final_url", "status", *[(F.sum(f"own_{name}").over(alike) + F.coalesce(name, F.lit(0))).alias(name) for name in names])
+
+
 def worst_first(counts: DataFrame) -> DataFrame:
     """Most errors, then warnings, then infos, then input order."""
     return counts.orderBy(F.desc("errors"), F.desc("warnings"), F.desc("infos"), "seq")
@@ -79,41 +97,93 @@ def page_health(counts: DataFrame) -> DataFrame:
                       F.count_if(col("errors = 0 AND warnings = 0")).alias("clean"))
 
 
+#: Kinds of group that a digest counts pages (or hits) of: a message, a variant, the pages of a type, the hits of a type.
+MESSAGE, VARIANT, PAGES, HITS = "message", "variant", "pages", "hits"
+_GROUP = ["type", "kind", "k1", "k2"]
+
+
+def _counted_groups(all_hits: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """One row per group of a type: how many pages it has, and its first page and hit.  Evidence stays behind.
+
+    Every hit row enters one group of each kind, so one aggregate makes (group, page) distinct and one counts, whatever the kinds.
+    """
+    entry = {
+        MESSAGE: f"named_struct('kind', '{MESSAGE}', 'k1', message, 'k2', '', 'who', url)",
+        VARIANT: f"named_struct('kind', '{VARIANT}', 'k1', coalesce(selector, ''), 'k2', context, 'who', url)",
+        PAGES: f"named_struct('kind', '{PAGES}', 'k1', '', 'k2', '', 'who', url)",
+        HITS: f"named_struct('kind', '{HITS}', 'k1', '', 'k2', '', 'who', hit)",
+    }
+    rows = all_hits.select("type", "seq", "hit", "category", col(severity_rank("severity")).alias("rank"), col(f"explode(array({', '.join(entry[k] for k in kinds)}))").alias("g"))
+    rows = rows.select("type", "seq", "hit", "category", "rank", "g.*")
+    once = rows.groupBy(*_GROUP, "who").agg(F.min(F.struct("seq", "hit")).alias("first"), F.min("rank").alias("rank"), F.min("category").alias("category"))
+    return once.groupBy(*_GROUP).agg(F.count("*").alias("n"), F.min(F.struct("first.seq", "who", "first.hit")).alias("first"), F.min("rank").alias("rank"), F.min("category").alias("category"))
+
+
+def _most_pages(counted: DataFrame) -> DataFrame:
+    """The messages and variants of each type that are on most pages, as many as a digest shows."""
+    most = max(MAX_MESSAGES, MAX_VARIANTS)
+    top = top_k(counted.filter(F.col("kind").isin(MESSAGE, VARIANT)), ["type", "kind"], [F.desc("n"), F.col("first.seq"), F.col("k1"), F.col("k2")], most, number="place")
+    return top.filter((F.col("kind") == VARIANT) & (F.col("place") <= MAX_VARIANTS) | (F.col("kind") == MESSAGE) & (F.col("place") <= MAX_MESSAGES))
+
+
+def _shown_variants(all_hits: DataFrame, top: DataFrame) -> DataFrame:
+    """(type, place, v): evidence of the first hit of each variant, and its first pages.
+
+    At most five variants of each of the types: a broadcast finds their rows, and only their first hits' rows carry evidence on.
+    """
+    chosen = top.filter(F.col("kind") == VARIANT).select("type", F.col("k1").alias("selector_key"), F.col("k2").alias("context"), "place", F.col("n").alias("pages"),
+                                                         F.col("first.seq").alias("first_seq"), F.col("first.hit").alias("first_hit"))
+    rows = all_hits.withColumn("selector_key", F.coalesce("selector", F.lit(""))).join(F.broadcast(chosen), ["type", "selector_key", "context"])
+    evidence = F.when(col("seq = first_seq AND hit = first_hit"), F.struct("message", "context", "selector", "html", "actual", "expected", "pages"))
+    per_page = rows.groupBy("type", "place", "url").agg(F.min("seq").alias("seq"), F.first(evidence, ignorenulls=True).alias("f"))
+    first = top_k(per_page, ["type", "place"], [F.col("seq"), F.col("url")], MAX_URLS)
+    shown = first.groupBy("type", "place").agg(F.first("f", ignorenulls=True).alias("f"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "url"))), lambda u: u["url"]).alias("urls"))
+    cut = (f"named_struct('place', place, 'message', {limit_text('f.message', 2000)}, 'context', {limit_text('f.context', 2000)}, 'selector', {limit_text('f.selector', 2000)}, "
+           f"'html', f.html, 'actual', {limit_text('f.actual', 2000)}, 'expected', f.expected, 'pages', f.pages, 'urls', urls)")
+    return shown.select("type", col(cut).alias("v"))
+
+
+def _digest(all_hits: DataFrame, kinds: tuple[str, ...], folder: str | None = None) -> DataFrame:
+    """A row per type with whatever the kinds give: pages, hits, severity, category; messages; variants; and how many more there are.
+
+    The counted groups are written when it is made.
+    """
+    counted = materialise(_counted_groups(all_hits, kinds), "digest-groups", folder)  # read three times below, a row per group
+    top = _most_pages(counted)
+    n_of = lambda kind, name: F.max(F.when(F.col("kind") == kind, F.col("n"))).alias(name)
+    parts = counted.select("type", "kind", "n", "rank", "category")
+    found = [n_of(PAGES, "pages"), n_of(HITS, "hits"), F.min("rank").alias("rank"), F.min("category").alias("category")]
+    if MESSAGE in kinds:
+        message = f"named_struct('place', place, 'message', {limit_text('k1', 2000)}, 'pages', n)"
+        parts = parts.unionByName(top.filter(F.col("kind") == MESSAGE).select("type", col(message).alias("m")), allowMissingColumns=True)
+        found += [F.count_if(F.col("kind") == MESSAGE).alias("n_messages"), F.array_sort(F.collect_list("m")).alias("m")]
+    if VARIANT in kinds:
+        parts = parts.unionByName(_shown_variants(all_hits, top), allowMissingColumns=True)
+        found += [F.count_if(F.col("kind") == VARIANT).alias("n_variants"), F.array_sort(F.collect_list("v")).alias("v")]
+    return parts.groupBy("type").agg(*found)
+
+
+_MESSAGES = ("transform(m, x -> named_struct('message', x.message, 'pages', x.pages)) AS messages", f"greatest(n_messages - {MAX_MESSAGES}, 0) AS more_messages")
+_VARIANTS = ("transform(v, x -> named_struct('message', x.message, 'context', x.context, 'selector', x.selector, 'html', x.html, 'actual', x.actual, 'expected', x.expected, "
+             "'pages', x.pages, 'urls', x.urls)) AS variants", f"greatest(n_variants - {MAX_VARIANTS}, 0) AS more_variants")
+
+
 def digest_messages(all_hits: DataFrame) -> DataFrame:
     """The three messages on most pages of each type, and how many more there are."""
-    per_page = all_hits.groupBy("type", "message", "url").agg(F.min("seq").alias("seq"))
-    counted = per_page.groupBy("type", "message").agg(F.count("*").alias("pages"), F.min("seq").alias("first_seq"))
-    top = top_k(counted, ["type"], [F.desc("pages"), F.col("first_seq"), F.col("message")], MAX_MESSAGES)
-    listed = top.groupBy("type").agg(F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("neg"), "first_seq", "message", "pages"))).alias("m"))
-    total = counted.groupBy("type").agg(F.count("*").alias("n"))
-    shown = f"transform(m, x -> named_struct('message', {limit_text('x.message', 2000)}, 'pages', x.pages))"
-    return listed.join(total, "type").select("type", col(shown).alias("messages"), col(f"greatest(n - {MAX_MESSAGES}, 0)").alias("more_messages"))
+    return _digest(all_hits, (MESSAGE,)).selectExpr("type", *_MESSAGES)
 
 
 def digest_variants(all_hits: DataFrame) -> DataFrame:
     """The five elements or values on most pages of each type, three pages of each."""
-    key = ["type", "selector_key", "context"]
-    rows = all_hits.withColumn("selector_key", F.coalesce("selector", F.lit("")))
-    first = F.min_by(F.struct("message", "selector", "html", "actual", "expected"), F.struct("seq", "hit")).alias("f")
-    per_page = rows.groupBy(*key, "url").agg(F.min("seq").alias("seq"), first)
-    counted = per_page.groupBy(*key).agg(F.count("*").alias("pages"), F.min("seq").alias("first_seq"), F.min_by("f", "seq").alias("f"))
-    top = top_k(counted, ["type"], [F.desc("pages"), F.col("first_seq"), F.col("selector_key"), F.col("context")], MAX_VARIANTS)
-    # At most five variants of each of the types are left: small enough to find the pages of with a broadcast.
-    urls = top_k(per_page.join(F.broadcast(top.select(*key)), key, "left_semi"), key, [F.col("seq"), F.col("url")], MAX_URLS)
-    urls = urls.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "url"))), lambda u: u["url"]).alias("urls"))
-    shown = (f"named_struct('neg', -pages, 'first_seq', first_seq, 'message', {limit_text('f.message', 2000)}, 'context', {limit_text('context', 2000)}, "
-             f"'selector', {limit_text('f.selector', 2000)}, 'html', f.html, 'actual', {limit_text('f.actual', 2000)}, 'expected', f.expected, 'pages', pages, 'urls', urls)")
-    listed = top.join(urls, key).groupBy("type").agg(F.array_sort(F.collect_list(col(shown))).alias("v"))
-    total = counted.groupBy("type").agg(F.count("*").alias("n"))
-    tidy = "transform(v, x -> named_struct('message', x.message, 'context', x.context, 'selector', x.selector, 'html', x.html, 'actual', x.actual, 'expected', x.expected, 'pages', x.pages, 'urls', x.urls))"
-    return listed.join(total, "type").select("type", col(tidy).alias("variants"), col(f"greatest(n - {MAX_VARIANTS}, 0)").alias("more_variants"))
-
-
-def digest_findings(all_hits: DataFrame, rules: DataFrame) -> DataFrame:
+    return _digest(all_hits, (VARIANT,)).selectExpr("type", *_VARIANTS)
+
+
+def digest_findings(all_hits: DataFrame, rules: DataFrame, folder: str | None = None) -> DataFrame:
     """A digest line per issue type."""
-    groups = group_issues(all_hits)
+    groups = _digest(all_hits, (MESSAGE, VARIANT, PAGES, HITS), folder).selectExpr(
+        "type", "element_at(array('error', 'warning', 'info'), CAST(rank AS INT)) AS severity", "category", "pages", "hits", *_MESSAGES, *_VARIANTS)
     return (groups.join(F.broadcast(rules.select("type", "title", "why", "fix")), "type", "left")
-            .join(digest_messages(all_hits), "type").join(digest_variants(all_hits), "type"))
+            .select("type", "severity", "category", "pages", "hits", "title", "why", "fix", "messages", "more_messages", "variants", "more_variants"))
 
 
 def page_lines(counts: DataFrame, attached: DataFrame | None = None, content: DataFrame | None = None) -> DataFrame:

@@ -24,13 +24,14 @@ def salted_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "in
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
-def top_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
-    """The first ``k`` rows of each group.
+def top_k(df: DataFrame, keys: list[str], order: list, k: int, number: str | None = None) -> DataFrame:
+    """The first ``k`` rows of each group; ``number`` names a column for their places from 1.
 
     A filter on ``row_number`` makes Spark cut each group to ``k`` rows a task before the shuffle, so a group that
     holds most of the table still reaches its window as a few rows per task.
     """
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
+    ranked = df.withColumn(number or "_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(number or "_r") <= k)
+    return ranked if number else ranked.drop("_r")
 
 
 def shared_folder(spark) -> str:

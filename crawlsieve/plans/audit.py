@@ -20,7 +20,7 @@ from ..functions.urls import page_key
 
 @dataclass
 class Audit:
-    """The tables of an audit.  Pages, their keys and the member rows are written when it is made; the others are lazy."""
+    """The tables of an audit.  Pages, their keys, the member rows and the groups of the digest are written when it is made; the others are lazy."""
 
     pages: DataFrame
     page_issues: DataFrame
@@ -96,14 +96,18 @@ def audit(crawl: DataFrame, *, robots_files: DataFrame | None = None, sitemap_bo
     if lab_runs is not None:
         runs = parse_lab_runs(lab_runs)
         attached = lab.attach_lab(keys, lab.lab_summary(runs), lab.failed_runs(runs), picked)
-        issues = issues.unionByName(lab.lab_issues(attached), allowMissingColumns=True)
+        lab_found = lab.lab_issues(attached)
+        issues = issues.unionByName(lab_found, allowMissingColumns=True)
     heads = site.issue_heads(members)
     all_hits = rollup.hits(issues, members)
-    counts = rollup.page_counts(pages, rollup.pages_with_site_issues(pages, issues, members))
+    listed_by = members.select("url", "severity")
+    if attached is not None:
+        listed_by = listed_by.unionByName(lab_found.select("url", "severity"))
+    counts = rollup.page_counts_in_row(pages, listed_by)
     content = report.content_table(pages)
     return Audit(
         pages=pages, page_issues=issues, site_members=members, site_issues=heads, hits=all_hits, summary=rollup.summary(pages, issues, heads),
-        health=rollup.page_health(counts), findings=rollup.order_findings(rollup.digest_findings(all_hits, rules(spark))),
+        health=rollup.page_health(counts), findings=rollup.order_findings(rollup.digest_findings(all_hits, rules(spark), folder)),
         page_lines=rollup.page_lines(counts, attached, content), origins=origins, lab=attached, content=content,
         rules=rules(spark), work_list=links.targets_to_fetch(edges, outcomes)[0], links_checked=links.targets_checked(edges, outcomes),
         average_scores=lab.average_scores(attached) if attached is not None else None, lab_audits=lab.lab_audits(attached) if attached is not None else None)

@@ -292,7 +292,7 @@ _COUNTS = f"{_HITS}, c AS (SELECT p.page_id, p.url, count(*) FILTER (severity =
 @query("page_lines", f"{_COUNTS} SELECT page_id, url, errors, warnings, infos FROM c")
 def page_lines(spark, sf):
     pages = _audited(spark, sf)
-    counts = rollup.page_counts(pages, rollup.pages_with_site_issues(pages, issue_rows(pages), _members(pages)))
+    counts = rollup.page_counts_in_row(pages, _members(pages).select("url", "severity"))
     return rollup.page_lines(rollup.worst_first(counts)).selectExpr("seq AS page_id", "url", "errors", "warnings", "infos")
 
 
@@ -329,9 +329,32 @@ def digest_variants(spark, sf):
         "type", "CAST(pos + 1 AS BIGINT) AS n", "v.context AS context", "v.pages AS pages", "array_join(v.urls, ' ') AS urls", "more_variants")
 
 
-@query("digest_findings", f"""{_HITS} SELECT type, count(DISTINCT url) AS pages, count(DISTINCT hit) AS hits, true AS has_advice FROM hits GROUP BY type""")
+_HIT_MESSAGES = """CASE type WHEN 'missing-canonical' THEN 'Page has no canonical link' WHEN 'missing-description' THEN 'Page has no meta description' WHEN 'missing-open-graph' THEN 'Page has no Open Graph tags'
+WHEN 'missing-twitter-card' THEN 'Page has no twitter:card' WHEN 'missing-main-landmark' THEN 'Page has no main landmark' WHEN 'missing-viewport' THEN 'Page has no viewport tag' END"""
+
+
+@query("digest_findings", f"""{_HITS}, dg_rows AS (SELECT page_id, url, type, category, context, severity, hit, {_HIT_MESSAGES} AS message FROM hits WHERE type NOT LIKE 'duplicate%'
+  UNION ALL SELECT page_id, url, type, category, context, 'warning', type || v, 'Same ' || CASE type WHEN 'duplicate-title' THEN 'title' ELSE 'h1' END || ' on ' || pages || ' pages' FROM m),
+dg_types AS (SELECT type, min(CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END) AS rank, min(category) AS category, count(DISTINCT url) AS pages, count(DISTINCT hit) AS hits,
+  count(DISTINCT message) AS n_messages, count(DISTINCT context) AS n_variants FROM dg_rows GROUP BY type),
+dg_messages AS (SELECT type, message, count(DISTINCT url) AS n, min(page_id) AS s FROM dg_rows GROUP BY ALL),
+dg_message_places AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY n DESC, s, message) AS place FROM dg_messages),
+dg_variants AS (SELECT type, context, count(DISTINCT url) AS n, min(page_id) AS s FROM dg_rows GROUP BY ALL),
+dg_variant_places AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY n DESC, s, context) AS place FROM dg_variants),
+dg_urls AS (SELECT type, context, url, page_id, row_number() OVER (PARTITION BY type, context ORDER BY page_id, url) AS k FROM (SELECT type, context, url, min(page_id) AS page_id FROM dg_rows GROUP BY ALL)),
+dg_shown AS (SELECT type, context, string_agg(url, ' ' ORDER BY k) AS urls FROM dg_urls WHERE k <= 3 GROUP BY ALL),
+dg_first AS (SELECT type, context, min(message) AS message FROM dg_rows SEMI JOIN dg_urls ON dg_urls.type = dg_rows.type AND dg_urls.context = dg_rows.context AND dg_urls.url = dg_rows.url AND dg_urls.page_id = dg_rows.page_id AND dg_urls.k = 1 GROUP BY ALL)
+SELECT type, CASE rank WHEN 1 THEN 'error' WHEN 2 THEN 'warning' ELSE 'info' END AS severity, category, pages, hits, true AS has_advice,
+  (SELECT string_agg(message || ' (' || n || ')', '; ' ORDER BY place) FROM dg_message_places WHERE dg_message_places.type = dg_types.type AND place <= 3) AS messages, CAST(greatest(n_messages - 3, 0) AS BIGINT) AS more_messages,
+  (SELECT string_agg(dg_first.message || ' | ' || dg_variant_places.context || ' | ' || n || ' | ' || urls, '; ' ORDER BY place) FROM dg_variant_places JOIN dg_shown USING (type, context) JOIN dg_first USING (type, context) WHERE dg_variant_places.type = dg_types.type AND place <= 5) AS variants,
+  CAST(greatest(n_variants - 5, 0) AS BIGINT) AS more_variants FROM dg_types""")
 def digest_findings(spark, sf):
-    return rollup.digest_findings(_hits(spark, sf)[1], rules(spark)).select("type", "pages", "hits", col("title IS NOT NULL AND fix IS NOT NULL").alias("has_advice"))
+    """Every column of a digest line; lists as text, in their order."""
+    found = rollup.digest_findings(_hits(spark, sf)[1], rules(spark))
+    return found.select(
+        "type", "severity", "category", "pages", "hits", col("title IS NOT NULL AND fix IS NOT NULL").alias("has_advice"), col("array_join(transform(messages, m -> concat(m.message, ' (', m.pages, ')')), '; ')").alias("messages"),
+        "more_messages", col("array_join(transform(variants, v -> concat(v.message, ' | ', v.context, ' | ', v.pages, ' | ', array_join(v.urls, ' '))), '; ')").alias("variants"), "more_variants")
+
 
 
 @query("report_rules", f"{_HITS} SELECT DISTINCT type FROM hits")

@@ -18,7 +18,7 @@ from ..functions.sql import col
 from ..functions.urls import page_key
 from ..operators.issues import issue_rows
 from ..operators.pages import page_columns
-from ..operators.rollup import count_severities
+from ..operators.rollup import SEVERITIES, count_severities
 from ..sources.crawl import CRAWL_SCHEMA
 
 STREAM_SCHEMA = CRAWL_SCHEMA + ", fetched_at TIMESTAMP"
@@ -46,7 +46,6 @@ def latest_counts(state: DataFrame) -> DataFrame:
     return rows.groupBy("url").agg(*count_severities())
 
 
-SEVERITIES = (("error", "errors"), ("warning", "warnings"), ("info", "infos"))
 _STATE = "fetched BIGINT, seq BIGINT, errors BIGINT, warnings BIGINT, infos BIGINT"
 #: A page whose counts changed: since which record, the counts, and its worst state before (NULL for a new page) and now.
 CHANGE_SCHEMA = f"url STRING, {_STATE}, was STRING, now STRING"

@@ -7,9 +7,9 @@ import os
 from pyspark.sql import functions as F
 
 from crawlsieve import audit
-from crawlsieve.operators import links, report, site, sitemaps
-from crawlsieve.operators.rules import RULES
-from crawlsieve.operators.skew import salted_join
+from crawlsieve.operators import links, report, rollup, site, sitemaps
+from crawlsieve.operators.rules import RULES, rules
+from crawlsieve.operators.skew import salted_join, shared_folder
 from crawlsieve.queries.site import page_table
 from crawlsieve.sources.crawl import as_crawl, entries_from_args, read_url_list
 from crawlsieve.sources.lab import read_lab_runs
@@ -125,6 +125,43 @@ def test_stream_summary_costs_what_a_batch_holds(spark, folder):
     assert summary_counts(spark, f"{folder}/out").filter("errors = 1").count() == 59
 
 
+def test_digest_is_one_aggregate_of_the_hits(spark):
+    """Eight shuffles at most, two of them over all hits; evidence is read for the chosen variants only, lists and counts are whole."""
+    rows = [(i, f"https://a.example/{i:03}", f"t{k}", f"h{i}-{k}-{j}", "warning" if k else "info", "seo", f"m{j}", f"c{(i * j) % 7}", None if j else f"s{i % 2}", f"html{i}", f"a{i}", "e")
+            for i in range(90) for k in range(2) for j in range(5) if (i + j) % (k + 1) == 0]
+    names = ["seq", "url", "type", "hit", "severity", "category", "message", "context", "selector", "html", "actual", "expected"]
+    schema = ", ".join(f"{n} {'BIGINT' if n == 'seq' else 'STRING'}" for n in names)
+    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(path := f"{shared_folder(spark)}/digest-hits")
+    found = rollup.digest_findings(spark.read.parquet(path), rules(spark))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 6 and plan.count("FileScan parquet [" ) <= 5
+    got = {r.type: r for r in found.collect()}
+    for kind in ("t0", "t1"):
+        own = [dict(zip(names, r)) for r in rows if r[2] == kind]
+        r = got[kind]
+        assert (r.pages, r.hits, r.severity) == (len({h["url"] for h in own}), len(own), "warning" if kind == "t1" else "info")
+        pages_of = lambda key: sorted(((-len({h["url"] for h in own if key(h) == k}), min(h["seq"] for h in own if key(h) == k), k) for k in {key(h) for h in own}))
+        best = pages_of(lambda h: h["message"])
+        assert [(m.message, m.pages) for m in r.messages] == [(k, -n) for n, _, k in best[:3]] and r.more_messages == len(best) - 3
+        best = pages_of(lambda h: (h["selector"] or "", h["context"]))
+        assert r.more_variants == max(0, len(best) - 5)
+        for v, (n, seq, k) in zip(r.variants, best[:5], strict=True):
+            mine = [h for h in own if (h["selector"] or "", h["context"]) == k]
+            first = min(mine, key=lambda h: (h["seq"], h["hit"]))
+            assert (v.pages, v.context, v.selector, v.message, v.html, v.actual) == (-n, k[1], first["selector"], first["message"], first["html"], first["actual"])
+            assert v.urls == [u for _, u in sorted({(h["seq"], h["url"]) for h in mine})][:3]
+
+
+def test_page_counts_are_taken_in_the_row(spark):
+    """Own issues need no shuffle of their own; inputs with one address share what either has."""
+    issue = lambda *severities: [(s,) for s in severities]
+    pages = spark.createDataFrame([(0, "a", "a", 200, issue("error", "info")), (1, "b", "b", 200, []), (2, "a", "a", 200, issue("warning")), (3, "c", "c", 404, None)],
+                                  "seq BIGINT, url STRING, final_url STRING, status INT, issues ARRAY<STRUCT<severity: STRING>>")
+    listed = spark.createDataFrame([("a", "warning"), ("b", "info"), ("b", "info"), ("elsewhere", "error")], "url STRING, severity STRING")
+    rows = rollup.page_counts_in_row(pages, listed).orderBy("seq").collect()
+    assert [(r.errors, r.warnings, r.infos) for r in rows] == [(1, 2, 1), (0, 0, 2), (1, 2, 1), (0, 0, 0)]
+
+
 def test_size_limits_of_sitemaps(spark, monkeypatch):
     from crawlsieve.operators import sitemaps
     from crawlsieve.sources import sitemaps as source
