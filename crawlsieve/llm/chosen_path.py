@@ -11,8 +11,9 @@ several buckets counts in the bucket with the least key both have, so links are
 Recall.  Two sets at the threshold share at least ``threshold * size`` of the larger set's shingles, so with c choices a level
 keeps the pair with at least 1 - exp(-c), and any number of deeper levels with s = 1 - exp(-DEEPER * s).  The first level makes more choices
 than the deeper ones, where more would let a passage that a third of all texts share stay together from level to level.
-Runs are repeated until the chance to miss such a pair is below 1 - ``target_recall``; nearer pairs are missed more rarely still.  The
-sketch test is 5.5 standard deviations wide (1e-7).
+Runs are repeated until the chance to miss such a pair is below 1 - ``target_recall``; nearer pairs are missed more rarely still.  A set
+whose paths outside large buckets reach that by themselves does not follow the large ones (``_needs_deeper``): most texts that have a line which a third of all
+texts have.  The sketch test is 5.5 standard deviations wide (1e-7).
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; a text of one to four words has one shingle, all its words.  Sets are known by
 64-bit hashes, and classes by a 64-bit hash of the set and its size.
@@ -143,16 +144,33 @@ def _sets_of(part: pa.RecordBatch, classes: SharedMap | None):
     return shingle_sets(part.column("text"))
 
 
-def _deeper(threshold: float, runs: int, firsts: SharedMap, large: list[SharedMap]):
+def _needs_deeper(row: np.ndarray, large: np.ndarray, n: int, threshold: float, target_recall: float) -> np.ndarray:
+    """Which of ``n`` sets must follow their large buckets: those whose other paths, of all runs, may miss a partner more often than the target allows.
+
+    A share f of a set's paths leads to large buckets (taken two standard deviations higher than seen), so of its other shingles a partner shares at
+    least (threshold - f) / (1 - f), and misses all m other paths with one less that to the power of m.  It is enough if one of two partners stays.
+    """
+    total = np.bincount(row, minlength=n)
+    k = np.bincount(row[large], minlength=n)
+    f = k / np.maximum(total, 1)
+    f = np.minimum(f + 2 * np.sqrt(f * (1 - f) / np.maximum(total, 1)), 1.0)
+    shared = np.clip((threshold - f) / np.maximum(1 - f, 1e-9), 0.0, 1.0)
+    return (k > 0) & ((1 - shared) ** (total - k) > 1 - target_recall)
+
+
+def _deeper(threshold: float, target_recall: float, firsts: SharedMap, large: list[SharedMap]):
     """Paths one level below the large buckets of the last level."""
+    runs = n_runs(target_recall)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, most=1 << 20):
                 grams, sizes = _sets_of(part, firsts)
                 paths, row = _first_paths(grams, sizes, threshold, runs)
-                for level in large:
+                for depth, level in enumerate(large):
                     hit = level.has(paths)
+                    if not depth:
+                        hit &= _needs_deeper(row, hit, len(sizes), threshold, target_recall)[row]
                     paths, row = _chosen(paths[hit], row[hit], grams, sizes, threshold, DEEPER)
                 yield pa.record_batch([_signed(paths), _signed(class_ids(grams, sizes)[row])], ["key", "class"])
     return task
@@ -348,7 +366,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float
     leaves, large, firsts = [], [], None
     for level in range(LEVELS):
         if level:
-            members = texts.mapInArrow(_deeper(threshold, runs, firsts, large), "key long, class long").distinct()
+            members = texts.mapInArrow(_deeper(threshold, target_recall, firsts, large), "key long, class long").distinct()
         members = written(members.join(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), "members")
         leaves.append(members.filter(F.col("n") <= SMALL))
         wide = members.filter(F.col("n") > SMALL)
