@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from crawlsieve.llm import bpe, chosen_path, decontaminate, pii, toxicity
 from crawlsieve.llm.common import table, written
+from crawlsieve.llm.sharedmap import without
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -32,15 +33,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of linked texts the document of the least doc_id (a row without one only if no other has one)."""
     rows, row = _numbered(docs)
     groups = chosen_path.similar(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), F.col("class_id").alias("_group"))
-    first = groups.join(rows.select(row, "doc_id"), row).groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", row)).alias("first"))
-    return rows.join(first.select(F.col(f"first.{row}").alias(row)), row, "left_semi").select(*docs.columns)
+    members = written(groups.join(rows.select(row, "doc_id"), row), "members")  # numbers only
+    first = members.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", row)).alias("first")).select(F.col(f"first.{row}").alias(row))
+    return without(rows, row, members.select(row).join(first, row, "left_anti"), "copies").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
     rows, row = _numbered(docs)
     bad = decontaminate.contaminated(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return rows.join(bad.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").select(*docs.columns)
+    return without(rows, row, bad.select("doc_id"), "contaminated").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -74,7 +75,9 @@ def open_file(uri: str) -> pa.NativeFile:
     return system.open_input_file(path)
 
 
-_mapped: dict[tuple[str, str], np.ndarray] = {}
+_mapped: OrderedDict[tuple[str, str], np.ndarray] = OrderedDict()
+#: Files that a worker keeps mapped (each holds a descriptor); the one used longest ago goes first.
+MAPPED = 256
 
 
 def mapped(uri: str, kind: str) -> np.ndarray:
@@ -90,6 +93,9 @@ def mapped(uri: str, kind: str) -> np.ndarray:
         else:
             with system.open_input_file(path) as source:
                 _mapped[uri, kind] = np.frombuffer(source.read(), kind)
+        while len(_mapped) > MAPPED:
+            _mapped.popitem(last=False)
+    _mapped.move_to_end((uri, kind))
     return _mapped[uri, kind]
 
 

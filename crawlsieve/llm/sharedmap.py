@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import found, mapped, new_folder, put_file
+from .common import found, mapped, new_folder, put_file, written
+from .words import mix
 
 #: Rows of one file, about.
 FILE_ROWS = 500_000
@@ -93,3 +94,24 @@ def share(rows: DataFrame, name: str, size: int) -> SharedMap:
     bucket = F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
     rows.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(task, "n long").agg(F.sum("n")).collect()
     return out
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([pa.array(mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))], ["key"])
+
+
+def without(rows: DataFrame, column: str, dropped: DataFrame, name: str) -> DataFrame:
+    """The rows whose number (``column``, long, never null) is not in ``dropped`` (one long column).
+
+    The rows stay where they are: the dropped numbers are looked up in files that tasks share, so no text is shuffled however many numbers there are.
+    """
+    keys = written(dropped.distinct().mapInArrow(_hashed, "key long"), name)
+    known = share(keys, name, keys.count())
+    place = rows.columns.index(column)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = known.has(mix(batch.column(place).to_numpy().view(np.uint64)))
+            yield batch.filter(pa.array(~hit)) if hit.any() else batch
+    return rows.mapInArrow(task, rows.schema)
