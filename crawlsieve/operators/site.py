@@ -15,7 +15,7 @@ from ..functions import urls
 from ..functions.sql import any_of, col, each, in_list, keep, let, lit
 from ..functions.text import context as cut_context
 from .rules import RULES, rules
-from .skew import salted_join
+from .skew import hot_keys, salted_join
 
 MEMBER_COLUMNS = ("issue_key", "type", "severity", "category", "source", "message", "context", "seq", "url")
 
@@ -100,32 +100,51 @@ def audited_index(pages: DataFrame) -> DataFrame:
     return html.select("page_key", col("explode(array_distinct(array(page_key, url_key)))").alias("known_as")).distinct()
 
 
-def alternate_pairs(pages: DataFrame) -> DataFrame:
-    """Edges from a page to another audited page it names as an alternate, each once."""
+def _alternate_edges(pages: DataFrame) -> DataFrame:
+    """(page_key, known_as): the alternates that each final page names; its first input speaks for it."""
     html = pages.filter("has_facts")
-    # One page per final address: the first input speaks for it.
     first = html.filter("size(hreflang) > 0").groupBy("page_key").agg(F.min_by("hreflang", "seq").alias("hreflang"))
-    edges = first.select("page_key", col(f"explode(transform(hreflang, h -> {urls.page_key('h.href')}))").alias("known_as"))
-    found = edges.distinct().join(audited_index(pages).withColumnRenamed("page_key", "target"), "known_as")
+    return first.select("page_key", col(f"explode(array_distinct(transform(hreflang, h -> {urls.page_key('h.href')})))").alias("known_as"))
+
+
+def hot_alternates(pages: DataFrame) -> list:
+    """Addresses that a large share of all pages names as an alternate, such as one x-default of a site."""
+    named = pages.filter("has_facts AND size(hreflang) > 0").select(col(f"explode(transform(hreflang, h -> {urls.page_key('h.href')}))").alias("known_as"))
+    return hot_keys(named, "known_as")
+
+
+def alternate_pairs(pages: DataFrame, hot: list | None = None) -> DataFrame:
+    """Edges from a page to another audited page it names as an alternate, each once.
+
+    An address that most pages name (``hot``, found by a sketch unless given) is joined in many tasks.
+    """
+    hot = hot_alternates(pages) if hot is None else hot
+    known = audited_index(pages).withColumnRenamed("page_key", "target")
+    found = salted_join(_alternate_edges(pages), known, ["known_as"], spread="page_key", hot=("known_as", hot))
     return found.filter("page_key <> target").select(F.col("page_key").alias("source"), "target").distinct()
 
 
 def hreflang_targets(pages: DataFrame) -> DataFrame:
     """Alternates that do not link back, are noindex, or have a canonical elsewhere."""
-    pairs = alternate_pairs(pages)
+    hot = hot_alternates(pages)
+    # The pages behind hot addresses: as many as these are, some hundreds at most.
+    hot_targets = sorted({r.page_key for r in audited_index(pages).filter(F.col("known_as").isin(hot)).select("page_key").distinct().collect()}) if hot else []
+    pairs = alternate_pairs(pages, hot)
     reverse = pairs.select(F.col("target").alias("source"), F.col("source").alias("target"))
     html = pages.filter("has_facts").select("seq", "url", "final_url", "page_key", "canonical_key", "canonical", "noindex")
     facts = html.groupBy("page_key").agg(F.min_by(F.struct("final_url", "noindex", "canonical", "canonical_key"), "seq").alias("p")).select("page_key", "p.*")
     one_sided = pairs.join(reverse, ["source", "target"], "left_anti")
-    named = (one_sided.join(facts.select(F.col("page_key").alias("source"), F.col("final_url").alias("source_url")), "source")
-             .join(facts.select(F.col("page_key").alias("target"), F.col("final_url").alias("target_url")), "target"))
+    named = one_sided.join(facts.select(F.col("page_key").alias("source"), F.col("final_url").alias("source_url")), "source")
+    named = salted_join(named, facts.select(F.col("page_key").alias("target"), F.col("final_url").alias("target_url")), ["target"], spread="source", hot=("target", hot_targets))
     sides = named.select("source", "target", "source_url", "target_url", col("explode(array(source, target))").alias("page_key"))
+    # the other side has a row an input of the page
     inputs = html.select("page_key", "seq", "url")
-    missing = members(sides.join(inputs, "page_key"), "hreflang-missing-return", lit("Hreflang alternate does not link back"),
+    own = salted_join(sides, inputs, ["page_key"], spread="source", hot=("page_key", hot_targets))
+    missing = members(own, "hreflang-missing-return", lit("Hreflang alternate does not link back"),
                       cut_context("concat(target_url, ' has no hreflang link to ', source_url)"), ["source", "target"])
     bad = facts.filter("noindex OR (canonical IS NOT NULL AND canonical_key <> page_key)").select(
         F.col("page_key").alias("target"), "final_url", "noindex", col("canonical IS NOT NULL AND canonical_key <> page_key").alias("elsewhere"))
-    hit = pairs.join(bad, "target")
+    hit = salted_join(pairs, bad, ["target"], spread="source", hot=("target", hot_targets))
     # The target's own inputs and every source that names it.
     listed = hit.select("target", "final_url", "noindex", "elsewhere", col("explode(array(target, source))").alias("page_key")).distinct()
     rows = listed.join(inputs, "page_key")

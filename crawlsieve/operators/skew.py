@@ -12,15 +12,31 @@ from pyspark.sql import functions as F
 SALTS = 16
 
 
-def salted_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", spread: str = "url", salts: int = SALTS) -> DataFrame:
+#: A key is hot that may hold more than this share of the rows; there are at most its inverse of them.
+HOT_SHARE = 1 / 256
+
+
+def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> list:
+    """Keys that hold more than ``share`` of the rows, by a sketch of frequent items: one pass, no shuffle of rows, at most 1 / ``share`` keys.
+
+    The sketch misses no such key; others that it names are salted in vain, which costs little.
+    """
+    found = rows.select(F.col(key).alias("key")).filter("key IS NOT NULL").stat.freqItems(["key"], share).first()
+    return sorted(found[0] or [])
+
+
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", spread: str = "url", salts: int = SALTS, hot: tuple[str, list] | None = None) -> DataFrame:
     """Equi-join of a possibly skewed side with a side that has one row a key.
 
-    Rows of a hot key are spread over ``salts`` tasks by a hash of ``spread``; the other side is repeated once per
-    salt, which costs little because it holds one row a key; callers with a long other side ask for fewer salts and
-    leave the rest to adaptive skew splitting.  Inner, left, semi and anti joins keep their meaning.
+    Rows of a hot key are spread over ``salts`` tasks by a hash of ``spread``; the other side's row of that key is repeated once per
+    salt.  ``hot`` names a column of the join and its hot values (``hot_keys``): only these are spread and repeated.  Without it every key is, with fewer
+    salts where the other side is long.  Inner, left, semi and anti joins keep their meaning.
     """
-    salted = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    repeated = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if hot is not None and not hot[1]:
+        return many.join(one, keys, how)
+    is_hot = F.lit(True) if hot is None else F.coalesce(F.col(hot[0]).isin(hot[1]), F.lit(False))
+    salted = many.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
+    repeated = one.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from crawlsieve import audit
 from crawlsieve.operators import links, report, rollup, site, sitemaps
 from crawlsieve.operators.rules import RULES, rules
-from crawlsieve.operators.skew import salted_join, shared_folder
+from crawlsieve.operators.skew import hot_keys, salted_join, shared_folder
 from crawlsieve.queries.site import page_table
 from crawlsieve.sources.crawl import as_crawl, entries_from_args, read_url_list
 from crawlsieve.sources.lab import read_lab_runs
@@ -36,6 +36,60 @@ def test_salted_join_equals_a_join(spark):
         assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, salted.select(plain.columns).collect()))
 
 
+def test_only_hot_keys_are_repeated(spark):
+    many = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("k"), F.col("id").cast("string").alias("url"))
+    one = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("k"), F.lit("v").alias("v")).unionByName(spark.createDataFrame([("hot", "h")], "k STRING, v STRING"))
+    assert "hot" in (hot := hot_keys(many, "k", 0.1)) and len(hot) <= 10
+    assert hot_keys(many.limit(0), "k") == []
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        plain, salted = many.join(one, "k", how), salted_join(many, one, ["k"], how, hot=("k", ["hot"]))
+        assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, salted.select(plain.columns).collect()))
+
+
+def test_one_x_default_of_all_pages(spark):
+    """An address that every page names as an alternate is found, joined in many tasks, and gives what a plain join gives."""
+    lang = "ARRAY<STRUCT<lang: STRING, href: STRING>>"
+    rows = spark.range(4000).selectExpr(
+        "id AS seq", "concat('https://a.example/', id) AS url", f"CAST(array(named_struct('lang', 'x-default', 'href', 'https://a.example/0'), named_struct('lang', 'fi', 'href', concat('https://a.example/', id + 1 - 2 * (id % 2)))) AS {lang}) AS hreflang")
+    pages = site.site_pages(page_table(rows))
+    pages.write.mode("overwrite").parquet(path := f"{shared_folder(spark)}/x-default")
+    pages = spark.read.parquet(path)
+    assert "https://a.example/0" in site.hot_alternates(pages)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for key, value in zip(before, ("false", "16", "-1"), strict=True):
+            spark.conf.set(key, value)
+        hot = site.hot_alternates(pages)
+        edges = site._alternate_edges(pages).filter("known_as = 'https://a.example/0'")
+        joined = salted_join(edges, site.audited_index(pages).withColumnRenamed("page_key", "target"), ["known_as"], spread="page_key", hot=("known_as", hot))
+        tasks = joined.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+        assert len(tasks) >= 8 and max(r.n for r in tasks) < 4000 / 3
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    pairs = {tuple(r) for r in site.alternate_pairs(pages).collect()}
+    url = lambda i: f"https://a.example/{i}"
+    assert pairs == {(url(i), url(j)) for i in range(4000) for j in (0, i + 1 - 2 * (i % 2)) if i != j}
+    assert pairs == {tuple(r) for r in site.alternate_pairs(pages, []).collect()}
+    missing = site.hreflang_targets(pages).filter("type = 'hreflang-missing-return'")
+    assert missing.select("issue_key").distinct().count() == 3998 and missing.count() == 2 * 3998
+
+
+def test_median_run_sorts_no_documents(spark):
+    """The window holds addresses, scores and run numbers; the document joins later."""
+    from crawlsieve.operators.lab import median_runs
+    from crawlsieve.sources.lab import parse_lab_runs
+    docs = [("u", n, json.dumps({"categories": {"performance": {"score": s}}, "pad": "x" * 50})) for n, s in ((1, 0.9), (2, 0.1), (3, 0.5), (4, 0.5))]
+    frame = spark.createDataFrame([(u, n, d, None) for u, n, d in docs], "url STRING, run INT, body STRING, error STRING")
+    runs = frame.selectExpr("url", "run", "parse_json(body) AS lhr", "error")
+    made = median_runs(runs)
+    assert [(r.run, r.runs) for r in made.select("run", "runs").collect()] == [(3, 4)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and not any("lhr" in line for line in windows)
+    assert parse_lab_runs
+
+
 def test_one_title_on_a_third_of_all_pages(spark):
     pages = page_table(spark.range(3000).selectExpr("id AS seq", "concat('https://a.example/', id) AS url", "CASE WHEN id % 3 = 0 THEN 'Hot' ELSE concat('t', id) END AS title"))
     rows = site.duplicates(site.site_pages(pages))
