@@ -20,7 +20,7 @@ from ..operators.skew import shared_folder
 from ..plans.audit import audit
 from ..sources.crawl import as_crawl, parse_url_list
 from ..sources.robots import content_signal, robots_rules, robots_sets, robots_status
-from ..sources.sitemaps import expand_sitemap_index, first_lastmod, sitemap_entries, sitemap_files
+from ..sources.sitemaps import expand_sitemap_index, first_lastmod, read_sitemap_chunks, sitemap_entries, sitemap_files, stored_sitemap_entries, stored_sitemap_files
 from ..streaming.stream import read_crawl_stream, stream_page_audit, stream_summary, summary_counts, summary_health
 from .common import crawl, d_key, d_limit, table
 from .tables import _EDGES
@@ -272,6 +272,42 @@ def valid_lastmod(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", col(f"transform(array({_DATES}), d -> {sitemaps.valid_lastmod('d')})[0]").alias("valid"))
 
 
+_STORED = """WITH n AS (SELECT greatest(1, (count(*) // 500))::BIGINT AS n FROM orders),
+s AS (SELECT o_orderkey AS k, 'f' || o_orderkey % n AS file, row_number() OVER (PARTITION BY o_orderkey % n ORDER BY o_orderkey) - 1 AS pos,
+CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE 'https://s.example/?a=1&o=' || o_orderkey END AS loc, CASE o_orderkey % 5 WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN 'x y' END AS lastmod FROM orders, n)"""
+
+
+def stored_sitemaps(spark, sf) -> str:
+    """A folder of sitemap files: some 500 orders a file are its entries, with entries in comments, in CDATA, empty and closed at once among them."""
+    path = f"{_folder(spark)}/maps"
+    orders = table(spark, sf, "orders")
+    n = max(1, orders.count() // 500)
+    entry = """CASE WHEN o_orderkey % 9 = 0 THEN CASE o_orderkey % 2 WHEN 0 THEN '<url><loc/>' ELSE '<url>' END ELSE concat('<url>\n <loc> ', CASE o_orderkey % 4 WHEN 0 THEN concat('<![CDATA[https://s.example/?a=1&o=', o_orderkey, ']]>') ELSE concat('https://s.example/?a=1&amp;o=', o_orderkey) END, ' </loc>') END"""
+    dated = "concat(CASE o_orderkey % 5 WHEN 1 THEN concat('<lastmod>', date_format(o_orderdate, 'yyyy-MM-dd'), '</lastmod>') WHEN 2 THEN '<lastmod> x y</lastmod>' ELSE '' END, '</url>')"
+    noise = "CASE o_orderkey % 7 WHEN 0 THEN '<!-- <url><loc>https://old.example/</loc></url> <url>' WHEN 1 THEN '<!-- -->' ELSE '' END"
+    closed = "CASE o_orderkey % 7 WHEN 0 THEN ' </url> -->' ELSE '' END"
+    rows = orders.select(col(f"concat('f', o_orderkey % {n})").alias("file"), F.col("o_orderkey").alias("at"), col(f"concat({noise}, {closed}, {entry}, {dated})").alias("line"))
+    heads = rows.groupBy("file").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    head = heads.selectExpr("file", "lo - 1 AS at", "'<?xml version=\"1.0\"?><!-- <urlset> --><urlset>' AS line")
+    tail = heads.selectExpr("file", "hi + 1 AS at", "'</urlset>' AS line")
+    rows.unionByName(head).unionByName(tail).repartition("file").sortWithinPartitions("file", "at").select("file", "line").write.partitionBy("file").text(path)
+    return path
+
+
+@register("stored_sitemap_entries", f"{_STORED} SELECT file, pos, loc, lastmod FROM s")
+def query_stored_sitemap_entries(spark, sf):
+    """Entries of files on disk, read in splits."""
+    chunks = read_sitemap_chunks(spark, stored_sitemaps(spark, sf))
+    found = stored_sitemap_entries(chunks, stored_sitemap_files(chunks))
+    return found.select(F.regexp_extract("file_url", "file=(f[0-9]+)/", 1).alias("file"), F.col("pos").cast("bigint").alias("pos"), "loc", "lastmod")
+
+
+@register("stored_sitemap_files", f"{_STORED} SELECT DISTINCT file, 'urlset' AS kind, CAST(NULL AS VARCHAR) AS error, false AS too_large FROM s")
+def query_stored_sitemap_files(spark, sf):
+    files = stored_sitemap_files(read_sitemap_chunks(spark, stored_sitemaps(spark, sf)))
+    return files.select(F.regexp_extract("url", "file=(f[0-9]+)/", 1).alias("file"), "kind", "error", "too_large")
+
+
 def indexes(spark, sf):
     """An index per hundred customers: their sitemaps, one of them twice, itself, another index and a missing file."""
     row = F.array_sort(F.collect_list("c_custkey"))

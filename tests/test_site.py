@@ -229,6 +229,39 @@ def test_size_limits_of_sitemaps(spark, monkeypatch):
         ("sitemap-too-large", "error", "https://a.example/2.xml"), ("sitemap-too-many-urls", "error", "https://a.example/1.xml has 3")]
 
 
+def test_stored_sitemaps_are_read_in_splits(spark, folder, monkeypatch):
+    """A large file in many tasks, gzip, an index, a file that is no sitemap, comments over entries, and a cut-off end: as the whole texts read."""
+    from crawlsieve.sources import sitemaps as source
+    entries = "".join(f"<url>\n<loc>https://a.example/?x=1&amp;i={i}</loc>{'<lastmod>2026-01-01</lastmod>' if i % 3 else ''}</url>" + ("<!-- <url><loc>no</loc></url> -->" if i % 50 == 0 else "") for i in range(6000))
+    bodies = {
+        "large.xml": f'<?xml version="1.0"?>\n<urlset xmlns="x">{entries}</urlset>', "index.xml": "<sitemapindex><sitemap><loc>https://a.example/1.xml</loc></sitemap><sitemap/></sitemapindex>",
+        "other.xml": "<html><url><loc>no</loc></url></html>", "none.xml": "no markup", "single.xml": "<urlset><url/><url ><loc><![CDATA[ https://b?a&b ]]></loc></url ></urlset>",
+        "cut.xml": "<urlset><url><loc>https://a.example/1</loc></url><url><loc>https://a.example/2</loc>", "comments.xml": "<urlset><!-- <url></url> --><!-- a --><url><loc>1</loc></url><!-- <url></url><url><loc>3</loc></url>--></urlset>"}
+    for name, body in bodies.items():
+        with open(f"{folder}/{name}", "w") as out:
+            out.write(body)
+    with gzip.open(f"{folder}/packed.xml.gz", "wt") as out:
+        out.write(bodies["large.xml"])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        chunks = source.read_sitemap_chunks(spark, folder)
+        tasks = chunks.filter("url LIKE '%large.xml'").select(F.spark_partition_id()).distinct().count()
+        files = source.stored_sitemap_files(chunks)
+        got = sorted(tuple(r) for r in source.stored_sitemap_entries(chunks, files).selectExpr("file_url", "pos", "loc", "lastmod").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = source.sitemap_files(read_sitemaps(spark, folder))
+    want = sorted(tuple(r) for r in source.sitemap_entries(whole).selectExpr("file_url", "pos", "loc", "lastmod").collect())
+    assert tasks >= 10 and len(want) == 2 * 6000 + 6 and got == want
+    key = lambda r: (r.url, r.kind, r.error, r.too_large)
+    assert sorted(map(key, files.collect()), key=str) == sorted(map(key, whole.collect()), key=str)
+    monkeypatch.setattr(source, "MAX_BYTES", 200)
+    large = source.stored_sitemap_files(chunks)
+    assert {r.url.split("/")[-1] for r in large.filter("too_large").collect()} == {"large.xml", "packed.xml.gz"}
+    assert source.stored_sitemap_entries(chunks, large).filter("file_url LIKE '%large%'").count() == 0
+
+
 def test_audit_with_everything_stored(spark):
     """Sitemap, robots.txt, link outcomes and lab runs beside the crawl: an orphan is found because all links are known."""
     html = "<title>{}</title><a href=/a>a</a>"
