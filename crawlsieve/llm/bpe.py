@@ -18,7 +18,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .units import ASCII_SPACE, Known, gathered, per_group
-from .words import slices, text_buffer
+from .words import give_back, slices, text_buffer
 
 LONG = 256
 NONE = np.int32(2 ** 31 - 1)
@@ -82,7 +82,7 @@ class Encoder:
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         triples = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         self.pairs = Pairs(*(np.array(x, np.int32) for x in zip(*triples, strict=True))) if triples else Pairs(*[np.zeros(0, np.int32)] * 3)
-        self.lookup = {(a, b): r for a, b, r in triples} if triples else {}
+        self._triples = np.array(triples, np.int32).reshape(-1, 3)
         n = max(ranks.values()) + 1
         pieces = [b""] * n
         for t, r in ranks.items():
@@ -91,6 +91,11 @@ class Encoder:
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.known = Known(self._units)
 
+    @cached_property
+    def lookup(self) -> dict[tuple[int, int], int]:
+        """Pairs to formed ids, for the heap; made when a long pretoken comes."""
+        return {(a, b): r for a, b, r in self._triples.tolist()}
+
     def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units.  Those between white space and white space are cut by one call over all of them joined."""
         inner = np.array([u[0] in ASCII_SPACE and u[-1] not in ASCII_SPACE for u in units], bool)
@@ -263,6 +268,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], bpe: Encoder) -> Iterator[tuple[
     for batch in batches:
         for part in slices(batch, most=4 << 20):
             yield part.column("doc_id"), *bpe.encode(part.column("text"))
+    bpe.known.forget()  # a worker is kept for tasks of other stages
+    give_back()
 
 
 def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:

@@ -76,9 +76,9 @@ class Known:
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000, fine: bool = False, whole: tuple[bytes, ...] = ()):
         self.encode, self.most, self.fine, self.whole = encode, most, fine, whole
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
         self.places: dict[str, int] = {}
         self.arena, self.ends, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 0
 
@@ -100,7 +100,7 @@ class Known:
         distinct = units.dictionary.to_pylist()
         new = [u for u in distinct if u not in self.places]
         if len(self.places) + len(new) > self.most:
-            self._clear()
+            self.forget()
             new = distinct
         for lo in range(0, len(new), 50_000):
             self._add(new[lo:lo + 50_000])
