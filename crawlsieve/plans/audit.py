@@ -37,14 +37,16 @@ class Audit:
     rules: DataFrame
     work_list: DataFrame
     links_checked: DataFrame
+    links_complete: DataFrame | None = None
     average_scores: DataFrame | None = None
     lab_audits: DataFrame | None = None
 
 
 def audit(crawl: DataFrame, *, robots_files: DataFrame | None = None, sitemap_bodies: DataFrame | None = None, entries: DataFrame | None = None,
-          link_outcomes: DataFrame | None = None, lab_runs: DataFrame | None = None, picked: DataFrame | None = None, checks=(), page_checks=(), folder: str | None = None) -> Audit:
+          link_outcomes: DataFrame | None = None, lab_runs: DataFrame | None = None, picked: DataFrame | None = None, checks=(), page_checks=(), whole: DataFrame | None = None, folder: str | None = None) -> Audit:
     """Audit crawl records, with whatever else was stored beside them.
 
+    ``whole`` is one row with a boolean: whether ``entries`` are all pages of their sitemaps and all were audited; where it is false no orphan page is told.
     ``page_checks`` are functions that give the SQL of an array of raw issues over a page's columns, ``checks`` functions from the page table to member rows (``operators.site.MEMBER_COLUMNS``) of the user's own.
     The page table is written once to shared storage (``spark.checkpoint.dir`` or ``folder``), because every later
     table reads some of its columns and the markup must not be parsed again for each.
@@ -58,7 +60,7 @@ def audit(crawl: DataFrame, *, robots_files: DataFrame | None = None, sitemap_bo
     pages = materialise(audited, "pages", folder)
     keys = materialise(site.site_pages(pages), "site-pages", folder)
     member_rows = [site.site_checks(keys)]
-    origins = attached = None
+    origins = attached = all_known = None
     if robots_files is not None:
         sets = robots_sets(robots_status(robots_files))
         checked = materialise(robots.robots_pages(keys, sets), "robots-pages", folder)
@@ -80,12 +82,12 @@ def audit(crawl: DataFrame, *, robots_files: DataFrame | None = None, sitemap_bo
     if link_outcomes is not None:
         outcomes = outcomes.unionByName(link_outcomes.join(outcomes.select("url"), "url", "left_anti"))
         member_rows.append(links.link_checks(edges, outcomes))
+        all_known = links.links_complete(outcomes, links.targets_checked(edges, outcomes), pages)
         if listed is not None:
             # Only when every link of every page leads somewhere known can a page be told to have none.
-            counted = links.targets_checked(edges, outcomes)
-            complete = links.links_complete(outcomes, counted, pages).select("complete")
+            complete = all_known.select("complete")
             orphans = links.orphan_pages(keys, listed, links.inbound_links(edges, outcomes))
-            member_rows.append(orphans.filter(complete.scalar()))
+            member_rows.append(orphans.filter(complete.scalar() if whole is None else complete.scalar() & whole.scalar()))
     for check in checks:
         member_rows.append(check(pages))
     rows = member_rows[0]
@@ -109,5 +111,5 @@ def audit(crawl: DataFrame, *, robots_files: DataFrame | None = None, sitemap_bo
         pages=pages, page_issues=issues, site_members=members, site_issues=heads, hits=all_hits, summary=rollup.summary(pages, issues, heads),
         health=rollup.page_health(counts), findings=rollup.order_findings(rollup.digest_findings(all_hits, rules(spark), folder)),
         page_lines=rollup.page_lines(counts, attached, content), origins=origins, lab=attached, content=content,
-        rules=rules(spark), work_list=links.targets_to_fetch(edges, outcomes)[0], links_checked=links.targets_checked(edges, outcomes),
+        rules=rules(spark), work_list=links.targets_to_fetch(edges, outcomes)[0], links_checked=links.targets_checked(edges, outcomes), links_complete=all_known,
         average_scores=lab.average_scores(attached) if attached is not None else None, lab_audits=lab.lab_audits(attached) if attached is not None else None)

@@ -21,6 +21,7 @@ from ..plans.audit import audit
 from ..sources.crawl import as_crawl, parse_url_list
 from ..sources.robots import content_signal, robots_rules, robots_sets, robots_status
 from ..sources.sitemaps import expand_sitemap_index, first_lastmod, read_sitemap_chunks, sitemap_entries, sitemap_files, stored_sitemap_entries, stored_sitemap_files
+from ..plans.run import records_of, resolve_inputs, run_audit
 from ..streaming.stream import read_crawl_stream, stream_page_audit, stream_summary, summary_counts, summary_health
 from .common import crawl, d_key, d_limit, table
 from .tables import _EDGES
@@ -471,6 +472,41 @@ def _folder(spark) -> str:
     return f"{shared_folder(spark)}/crawlsieve/{uuid.uuid4().hex}"
 
 
+def run_inputs(spark, sf):
+    """The pages table as inputs of a run: some addresses in lists, the others in sitemaps of a hundred, a sitemap that names none, and bad lines."""
+    pages = table(spark, sf, "pages")
+    lists = parse_url_list(pages.filter("page_id % 3 = 0").select(col("concat('list', lpad(page_id, 12, '0'))").alias("name"), col("concat(url, '\nnot an address', page_id, '\n')").alias("content")))
+    entry = "concat('<url><loc>', replace(url, '&', '&amp;'), '</loc></url>')"
+    bodies = pages.filter("page_id % 3 > 0").groupBy(col("page_id div 100").alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", col(entry).alias("xml")))), lambda e: e["xml"]), "").alias("inner"))
+    bodies = bodies.selectExpr("CAST(n AS INT) AS file_seq", "concat('https://maps.example/', n, '.xml') AS url", "concat('https://maps.example/', n, '.xml') AS final_url", "concat('<urlset>', inner, '</urlset>') AS body", "200 AS http_status")
+    return {"lists": lists, "sitemap_bodies": bodies}
+
+
+_RUN = f"""WITH p AS (SELECT page_id, url, {d_key('url')} AS k FROM pages), k AS (SELECT DISTINCT k FROM p)"""
+
+
+@register("run_coverage", f"""{_RUN} SELECT count(*) AS found, least(count(*), 40) AS audited, 40 AS lim, true AS sitemaps_complete,
+  'lighthouse: not asked for; orphan-page: only ' || least(count(*), 40) || ' of ' || count(*) || ' URLs were audited' AS not_run FROM k""")
+def run_coverage(spark, sf):
+    """Inputs to coverage in one call: what was found, what the limit left, and why orphan pages were not told."""
+    cover = run_audit(crawl(spark, sf), **run_inputs(spark, sf), limit=40, link_outcomes=spark.createDataFrame([], links.OUTCOME_SCHEMA)).coverage
+    return cover.select("found", "audited", F.col("limit").alias("lim"), "sitemaps_complete", col("array_join(transform(not_run, n -> concat(n.check, ': ', n.reason)), '; ')").alias("not_run"))
+
+
+@register("run_pages", f"""{_RUN}, o AS (SELECT k, min(CASE WHEN page_id % 3 = 0 THEN 'a' || lpad(page_id::VARCHAR, 12, '0') ELSE 'b' || lpad(page_id::VARCHAR, 12, '0') END) AS spot FROM p GROUP BY k),
+l AS (SELECT k, spot, arg_min(regexp_replace(p.url, '#.*$', ''), CASE WHEN page_id % 3 = 0 THEN 'a' ELSE 'b' END || lpad(page_id::VARCHAR, 12, '0')) AS url FROM o JOIN p USING (k) GROUP BY ALL)
+SELECT url FROM (SELECT url, row_number() OVER (ORDER BY spot) AS n FROM l) WHERE n <= 40""")
+def run_pages(spark, sf):
+    """The pages that were audited: lists before sitemaps, each page once under its first spelling, as far as the limit goes."""
+    return records_of(crawl(spark, sf), resolve_inputs(**run_inputs(spark, sf), limit=40).urls).filter("error IS NULL").select("url")
+
+
+@register("run_skipped", "SELECT 'not an address' || page_id AS input FROM pages WHERE page_id % 3 = 0")
+def run_skipped(spark, sf):
+    """Inputs that name no page."""
+    return resolve_inputs(**run_inputs(spark, sf)).skipped.select("input")
+
+
 @register("report_sink", f"""SELECT page_id, url, CAST(6 AS BIGINT) AS n_issues, CAST(200 AS BIGINT) AS status FROM pages""")
 def report_sink(spark, sf):
     """Written as JSON lines and read back."""

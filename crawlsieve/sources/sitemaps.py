@@ -37,7 +37,7 @@ def sitemap_files(files: DataFrame) -> DataFrame:
     large = f"octet_length(body) > {MAX_BYTES}"
     kind, error = _kind_and_error(_root("body"), large, "http_status")
     return files.select("file_seq", "url", "final_url", col(f"coalesce({large}, false)").alias("too_large"), col(kind).alias("kind"),
-                        col(error).alias("error"), col(f"CASE WHEN NOT coalesce({large}, false) THEN body END").alias("body"))
+                        col(error).alias("error"), col(f"CASE WHEN NOT coalesce({large}, false) THEN body END").alias("body"), *[c for c in ("given",) if c in files.columns])
 
 
 def _entry_blocks(text: str) -> str:

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from crawlsieve import audit
+from crawlsieve import audit, run_audit, write_run
 from crawlsieve.operators import links, report, rollup, site, sitemaps
 from crawlsieve.operators.rules import RULES, rules
 from crawlsieve.operators.skew import hot_keys, salted_join, shared_folder
@@ -283,6 +283,48 @@ def test_audit_with_everything_stored(spark):
     assert result.findings.filter("type = 'orphan-page'").collect()[0].pages == 1 and result.page_lines.count() == 3
 
 
+def _run_inputs(spark):
+    """Three pages in a sitemap, one more in an argument; every link leads to a page of the crawl."""
+    html = "<title>{}</title><a href=/a>a</a>"
+    pages = as_crawl(spark.createDataFrame([(0, "https://s.example/", html.format("h")), (1, "https://s.example/a#x", html.format("a")), (2, "https://s.example/b", html.format("b")), (3, "https://s.example/a", "later"), (9, "https://s.example/unasked", "x")], "seq BIGINT, url STRING, html STRING"))
+    locs = "".join(f"<url><loc>https://s.example/{p}</loc></url>" for p in ("", "a", "b"))
+    schema = "file_seq INT, url STRING, final_url STRING, body STRING, http_status INT, given BOOLEAN"
+    bodies = [(0, "https://s.example/m.xml", "https://s.example/m.xml", f"<urlset>{locs}</urlset>", 200, True)]
+    return pages, bodies, schema, spark.createDataFrame([], links.OUTCOME_SCHEMA)
+
+
+def test_run_from_inputs_to_coverage(spark, folder):
+    pages, bodies, schema, outcomes = _run_inputs(spark)
+    run = run_audit(pages, sitemap_bodies=spark.createDataFrame(bodies, schema), link_outcomes=outcomes)
+    assert {(r.seq, r.url) for r in run.audit.pages.collect()} == {(0, "https://s.example/"), (1, "https://s.example/a"), (2, "https://s.example/b")}
+    assert {r.url for r in run.audit.site_members.filter("type = 'orphan-page'").collect()} == {"https://s.example/b"}
+    row = run.coverage.first()
+    assert (row.found, row.audited, row.limit, row.sitemaps_complete, row.complete) == (3, 3, None, True, True)
+    assert [(n.check, n.reason) for n in row.not_run] == [("lighthouse", "not asked for")] and run.skipped.count() == 0
+    write_run(folder, run)
+    assert spark.read.json(f"{folder}/report/coverage").first().audited == 3 and spark.read.json(f"{folder}/digest/findings").count() > 0
+
+
+def test_a_cut_or_unread_run_tells_no_orphans(spark):
+    pages, bodies, schema, outcomes = _run_inputs(spark)
+    args = entries_from_args(spark, ["https://s.example/b", "ftp://s.example/x", "https://s.example/gone"])
+    cut = run_audit(pages, args=args, sitemap_bodies=spark.createDataFrame(bodies, schema), link_outcomes=outcomes, limit=2)
+    row = cut.coverage.first()
+    assert (row.found, row.audited, row.limit) == (4, 2, 2) and [n.reason for n in row.not_run] == ["not asked for", "only 2 of 4 URLs were audited"]
+    assert {(r.url, r.error) for r in cut.audit.pages.collect()} == {("https://s.example/b", None), ("https://s.example/gone", "no stored record")}
+    assert cut.audit.page_issues.filter("type = 'fetch-failed'").count() == 1
+    assert [(r.input, r.source) for r in cut.skipped.collect()] == [("ftp://s.example/x", "argument")]
+    assert cut.audit.site_members.filter("type = 'orphan-page'").count() == 0
+    index = (1, "https://s.example/i.xml", "https://s.example/i.xml", "<sitemapindex><sitemap><loc>https://s.example/m2.xml</loc></sitemap><sitemap><loc>https://s.example/lost.xml</loc></sitemap></sitemapindex>", 200, True)
+    child = (None, "https://s.example/m2.xml", "https://s.example/m2.xml", bodies[0][3], 200, False)
+    unread = run_audit(pages, sitemap_bodies=spark.createDataFrame([index, child], schema), link_outcomes=outcomes, marked=spark.createDataFrame([("https://s.example/a",)], "value STRING"))
+    row = unread.coverage.first()
+    assert (row.found, row.audited, row.sitemaps_complete) == (3, 3, False)
+    assert [(n.check, n.reason) for n in row.not_run] == [("lighthouse", "no runs are stored"), ("orphan-page", "a sitemap file could not be read")]
+    assert unread.audit.site_members.filter("type = 'orphan-page'").count() == 0 and [r.url for r in unread.urls.filter("marked").collect()] == ["https://s.example/a"]
+    assert [r.input for r in unread.skipped.collect()] == ["https://s.example/lost.xml"]
+
+
 def test_targets_without_an_outcome_are_open_ends(spark):
     edges = spark.createDataFrame([(1, "https://a.example/", "https://a.example/", "https://a.example/x"), (1, "https://a.example/", "https://a.example/", "https://a.example/y")], "seq int, url string, final_url string, target string")
     outcomes = spark.createDataFrame([("https://a.example/x", 200, "https://a.example/x", [], None, None)], links.OUTCOME_SCHEMA)
