@@ -33,6 +33,14 @@ def issues_of(df: DataFrame, *checks: str, columns: str = "type, severity, conte
     return rows.selectExpr("seq AS page_id", *[c.strip() for c in columns.split(", ")])
 
 
+def rows_of(df: DataFrame, array: str, *columns: str) -> DataFrame:
+    """A row per element of an array, as ``pos`` and ``row``.
+
+    An outer generator and a filter on its output: with an inner one Catalyst adds a filter on the size of the array below it, which works out the array twice.
+    """
+    return df.selectExpr(*columns, f"posexplode_outer({array}) AS (pos, row)").filter("pos IS NOT NULL")
+
+
 # DuckDB fragments over pages.
 WS = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 

@@ -327,3 +327,10 @@ ORACLES["origin_platform"] = f"""WITH p AS (SELECT page_id, {d_origin('url')} AS
 n AS (SELECT origin, name, count(*) AS c, min(page_id) AS s FROM p WHERE name IS NOT NULL GROUP BY ALL), b AS (SELECT origin, name FROM n QUALIFY row_number() OVER (PARTITION BY origin ORDER BY c DESC, s) = 1),
 t AS (SELECT origin, name, theme, count(*) AS c, min(page_id) AS s FROM p WHERE theme IS NOT NULL GROUP BY ALL), bt AS (SELECT origin, name, theme FROM t QUALIFY row_number() OVER (PARTITION BY origin, name ORDER BY c DESC, s) = 1)
 SELECT b.origin, b.name, bt.theme FROM b LEFT JOIN bt ON b.origin = bt.origin AND b.name = bt.name"""
+
+# --- rules that the queries above do not produce -----------------------------------------------------------------------
+
+QUERIES["missing_lang"] = lambda spark, sf: issues_of(crawl(spark, sf).withColumn("html", col("CASE seq % 3 WHEN 0 THEN regexp_replace(html, '<html[^>]*>', '<html>') WHEN 1 THEN regexp_replace(html, '<html[^>]*>', '<html lang=>') ELSE html END")), "viewport_and_lang").filter("type = 'missing-lang'")
+ORACLES["missing_lang"] = "SELECT page_id, 'missing-lang' AS type, 'warning' AS severity, '<html>' AS context FROM pages WHERE page_id % 3 < 2"
+QUERIES["url_uppercase"] = lambda spark, sf: issues_of(crawl(spark, sf).withColumn("final_url", col("concat('https://Host', seq % 2, '.example/', CASE seq % 3 WHEN 0 THEN 'Up' WHEN 1 THEN 'low?Q=A' ELSE 'low%2F' END, '/', seq)")), "address").filter("type = 'url-uppercase'")
+ORACLES["url_uppercase"] = "SELECT page_id, 'url-uppercase' AS type, 'info' AS severity, '/Up/' || page_id AS context FROM pages WHERE page_id % 3 = 0"

@@ -336,14 +336,17 @@ def sitemap_index_skipped(spark, sf):
     return indexes(spark, sf)[1]
 
 
-@register("sitemap_off_host", f"""{_S}, h AS (SELECT f, file_url, regexp_extract(loc, '^https://[^/]+') AS origin, min(pos) AS pos FROM o WHERE loc LIKE 'https://_%' GROUP BY ALL),
-u AS (SELECT * FROM h WHERE origin <> 'https://s.example' AND NOT (origin = 'https://d.example' AND f % 2 = 0)), x AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY pos) AS n, count(*) OVER (PARTITION BY f) AS total FROM u)
-SELECT DISTINCT file_url AS url FROM x""")
+@register("sitemap_off_host", f"""{_S}, d AS (SELECT f, file_url, pos, CASE WHEN loc = 'https://d.example/dup' THEN 'https://d' || f // 8 || '.example/dup' ELSE loc END AS loc FROM o),
+h AS (SELECT f, file_url, regexp_extract(loc, '^https://[^/]+') AS origin, min(pos) AS pos FROM d WHERE loc LIKE 'https://_%' GROUP BY ALL),
+u AS (SELECT * FROM h WHERE origin <> 'https://s.example' AND NOT (origin LIKE 'https://d%' AND f % 2 = 0)), x AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY pos) AS n, count(*) OVER (PARTITION BY f) AS total FROM u)
+SELECT file_url AS url, file_url || ' lists ' || string_agg(origin, ', ' ORDER BY pos) FILTER (n <= 3) || CASE WHEN min(total) > 3 THEN ' and ' || (min(total) - 3) || ' more' ELSE '' END AS context FROM x GROUP BY file_url""")
 def sitemap_off_host(spark, sf):
+    """Each eight sitemaps list a host of their own, whose robots.txt names those of even numbers; the other hosts have no file."""
     files = sitemap_files(sitemap_bodies(spark, sf))
-    # The robots.txt of d.example names the sitemaps of half of the customers, the other hosts have no file.
-    named = files.filter("file_seq % 2 = 0").groupBy(F.lit("https://d.example").alias("origin")).agg(F.collect_set("url").alias("sitemaps")).withColumn("status", F.lit("ok"))
-    return sitemaps.off_host(files, sitemap_entries(files), named).select("url")
+    host = "concat('https://d', file_seq div 8, '.example')"
+    entries = sitemap_entries(files).withColumn("loc", col(f"CASE WHEN loc = 'https://d.example/dup' THEN concat({host}, '/dup') ELSE loc END"))
+    named = files.filter("file_seq % 2 = 0").groupBy(col(host).alias("origin")).agg(F.collect_set("url").alias("sitemaps")).withColumn("status", F.lit("ok"))
+    return sitemaps.off_host(files, entries, named).select("url", "context")
 
 
 def listed_site(spark, sf):

@@ -13,7 +13,7 @@ from ..operators.pages import page_columns
 from ..operators.rules import RULES, report_rules, rules
 from ..operators.skew import materialise
 from ..sources.crawl import html_pages
-from .common import (D_BODY, D_ENCODED, D_LINKS, D_TITLE, crawl, d_collapse, d_host, d_issue_id, d_key, d_limit, d_origin, d_unescape, issues_of, table)
+from .common import (D_BODY, D_ENCODED, D_LINKS, D_TITLE, crawl, decorated, d_collapse, d_host, d_issue_id, d_key, d_limit, d_origin, d_unescape, issues_of, rows_of, table)
 
 QUERIES, ORACLES = {}, {}
 
@@ -126,7 +126,7 @@ _H1 = d_collapse(d_unescape("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))
 
 @query("h1s", f"SELECT page_id, {_H1} AS h1 FROM pages WHERE {_H1} <> ''")
 def h1s(spark, sf):
-    return page_columns(crawl(spark, sf), "h1s").selectExpr("seq AS page_id", "explode(h1s) AS h1")
+    return rows_of(page_columns(crawl(spark, sf), "h1s"), "h1s", "seq AS page_id").selectExpr("page_id", "row AS h1")
 
 
 _TEXT = d_collapse(d_unescape(f"regexp_replace({D_BODY}, '<[^>]*>', '', 'g')"))
@@ -151,7 +151,7 @@ _AFTER_H1 = _SPACED(f"regexp_extract({D_BODY}, '(?s)</h1>(.*)$', 1)")
 
 @query("headings", f"SELECT page_id, CAST(1 AS BIGINT) AS level, {d_limit(_H1, 120)} AS text, {d_limit(_AFTER_H1, 200)} AS excerpt FROM pages")
 def headings(spark, sf):
-    return page_columns(crawl(spark, sf), "heading_outline").selectExpr("seq AS page_id", "inline(heading_outline)").selectExpr(
+    return rows_of(page_columns(crawl(spark, sf), "heading_outline"), "heading_outline", "seq AS page_id").select("page_id", "row.*").selectExpr(
         "page_id", "CAST(level AS BIGINT) AS level", "text", "excerpt")
 
 
@@ -160,7 +160,7 @@ WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*
 h AS (SELECT page_id, url, regexp_extract(tag, 'href="([^"]*)"', 1) AS href, regexp_extract(tag, '>([^<]*)<', 1) AS text FROM l)
 SELECT page_id, {d_origin('url')} || {D_ENCODED} AS href, {d_unescape('text')} AS text, true AS internal, false AS nofollow FROM h""")
 def page_links(spark, sf):
-    return page_columns(crawl(spark, sf), "page_links").selectExpr("seq AS page_id", "inline(page_links)")
+    return rows_of(page_columns(crawl(spark, sf), "page_links"), "page_links", "seq AS page_id").select("page_id", "row.*")
 
 
 @query("link_counts", f"SELECT page_id, CAST(len(regexp_extract_all(html, '<a href=\"')) AS BIGINT) AS internal, CAST(0 AS BIGINT) AS external, CAST(0 AS BIGINT) AS nofollow FROM pages")
@@ -314,8 +314,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY pages DESC, s, mes
 SELECT type, CAST(n AS BIGINT) AS n, message, pages, CAST(greatest(total - 3, 0) AS BIGINT) AS more_messages FROM r WHERE n <= 3""")
 def digest_messages(spark, sf):
     out = rollup.digest_messages(rollup.hits(None, materialise(_members(_audited(spark, sf, "main_landmark")), "query-members")))
-    return out.selectExpr("type", "posexplode(messages) AS (pos, m)", "CAST(more_messages AS BIGINT) AS more_messages").selectExpr(
-        "type", "CAST(pos + 1 AS BIGINT) AS n", "m.message AS message", "m.pages AS pages", "more_messages")
+    return rows_of(out, "messages", "type", "CAST(more_messages AS BIGINT) AS more_messages").selectExpr(
+        "type", "CAST(pos + 1 AS BIGINT) AS n", "row.message AS message", "row.pages AS pages", "more_messages")
 
 
 @query("digest_variants", f"""WITH {_DUP}, c AS (SELECT type, context, count(DISTINCT url) AS pages, min(page_id) AS s FROM m GROUP BY ALL),
@@ -325,8 +325,8 @@ SELECT type, CAST(n AS BIGINT) AS n, context, pages, (SELECT string_agg(url, ' '
 CAST(greatest(total - 5, 0) AS BIGINT) AS more_variants FROM r WHERE n <= 5""")
 def digest_variants(spark, sf):
     out = rollup.digest_variants(rollup.hits(None, materialise(_members(_audited(spark, sf, "main_landmark")), "query-members")))
-    return out.selectExpr("type", "posexplode(variants) AS (pos, v)", "CAST(more_variants AS BIGINT) AS more_variants").selectExpr(
-        "type", "CAST(pos + 1 AS BIGINT) AS n", "v.context AS context", "v.pages AS pages", "array_join(v.urls, ' ') AS urls", "more_variants")
+    return rows_of(out, "variants", "type", "CAST(more_variants AS BIGINT) AS more_variants").selectExpr(
+        "type", "CAST(pos + 1 AS BIGINT) AS n", "row.context AS context", "row.pages AS pages", "array_join(row.urls, ' ') AS urls", "more_variants")
 
 
 _HIT_MESSAGES = """CASE type WHEN 'missing-canonical' THEN 'Page has no canonical link' WHEN 'missing-description' THEN 'Page has no meta description' WHEN 'missing-open-graph' THEN 'Page has no Open Graph tags'
@@ -396,3 +396,15 @@ SELECT page_id, n, 'demo-' || left(sha1(url || chr(10) || 'demo' || chr(10) || '
 def unique_ids(spark, sf):
     one = tx.issue_id("url", "'demo'", "'same'")
     return crawl(spark, sf).select(F.col("seq").alias("page_id"), col(f"posexplode({tx.unique_ids(f'array({one}, {one}, {one})')})").alias("pos", "id")).selectExpr("page_id", "pos + 1 AS n", "id")
+
+
+@query("duplicate_descriptions", f"""WITH p AS (SELECT page_id, url, {d_key('url')} AS k, 'About ' || (page_id // 3) AS v FROM pages), g AS (SELECT v, count(DISTINCT k) AS pages FROM p GROUP BY v HAVING count(DISTINCT k) > 1),
+f AS (SELECT lower(v) AS v, arg_min(CASE WHEN page_id % 2 = 0 THEN v ELSE upper(v) END, page_id) AS shown FROM p GROUP BY lower(v))
+SELECT page_id, 'Same meta description on ' || pages || ' pages' AS message, '<meta name="description" content="' || shown || '">' AS context FROM p JOIN g USING (v) JOIN f ON f.v = lower(p.v)""")
+def duplicate_descriptions(spark, sf):
+    """Descriptions that three pages share, in two spellings."""
+    text = "concat('About ', seq div 3)"
+    pages = decorated(spark, sf, head=f"concat('<meta name=\"description\" content=\"', CASE WHEN seq % 2 = 0 THEN {text} ELSE upper({text}) END, '\">')")
+    facts = page_columns(pages, "title", "description", "h1s", "canonical", "hreflang", "issues", only_checks=("main_landmark",), keep=("seq", "url", "final_url", "status", "redirects", "headers", "body_bytes", "error"))
+    rows = site.duplicates(site.site_pages(materialise(facts, "query-pages"))).filter("type = 'duplicate-description'")
+    return rows.select(F.col("seq").alias("page_id"), "message", "context")
