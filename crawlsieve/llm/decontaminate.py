@@ -5,11 +5,12 @@ one other word after the first or the second.  A text that has a triple of an it
 either side as an alignment of the threshold can have inserted; hits of one item that lie on diagonals further apart give passages of their own.
 A passage is aligned with the item word by word (match 2, other word -1, gap -1); its similarity is the score over that of the whole item.
 
-No cap: every triple of an item is a seed, however frequent or rare it is.  Where an alignment has no seed, each three matches in a row have two
-edits between them, so M matches score at most M + 2: an edited copy with a similarity over 1/2 + 1/words is always aligned, one between 1/2 and that only
-if it has a seed.  More generally M matches and S seeds score at most M + S + 2; passages for which that is below the threshold, M being the words of the item that
-they have, are left out before the alignment, which loses none.  Seeds lie in mapped files and may grow.  Passages and items meet in a join
-that Spark may broadcast by the measured size of the item table, and else splits where an item is hot.
+Rare seeds.  A first pass counts how often each triple of an item occurs in all texts.  M matches and S shared triples score at most M + S + 2 (where three
+matches in a row are no triple, two edits lie between them), so an alignment of similarity ``EXACT_FROM`` or more with an item of n words shares at least
+k = (2 * EXACT_FROM - 1) * n - 2 of its triples, and one of all but the k - 1 most frequent ones.  These are the item's seeds: a phrase that thousands of items and
+most texts have is none.  So every copy from ``EXACT_FROM`` on is aligned; one between the threshold and that is, if it has one of the seeds.  A triple that no text has is
+not counted.  Passages for which M + S + 2 is below the threshold, M being the words of the item that they have, are left out before the alignment, which loses none.
+Seeds lie in mapped files and may grow.  Passages and items meet in a join that Spark may broadcast by the measured size of the item table, and else splits where an item is hot.
 
 Cases: a null or empty text or item has no words and matches nothing.  An item of fewer words than ``MIN_ITEM_WORDS`` cannot be told
 from ordinary use and matches nothing.  An item of over ``PART`` words is compared in overlapping parts and keeps the best.  Repeated items are found each.  Rows without doc_id are
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -31,6 +32,8 @@ from .words import ALNUM, mix, slices, words_of
 
 MIN_ITEM_WORDS = 5
 MIN_SIMILARITY = 0.5
+#: From this similarity on no copy is missed.
+EXACT_FROM = 0.6
 PART = 2_000
 MATCH, OTHER, GAP = 2, -1, -1
 
@@ -85,6 +88,37 @@ def _overlap(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     return np.bincount(np.repeat(np.arange(len(items)), list(map(len, items))), has, len(items)).astype(np.int64)
 
 
+def _left_out(length):
+    """How many of the most frequent triples of an item of so many words are no seeds."""
+    return np.maximum(np.ceil((2 * EXACT_FROM - 1) * length - 2 - 1e-9) - 1, 0).astype(np.int64)
+
+
+def _frequencies(grams: SharedMap):
+    """(key, n): how often the triples of items occur, summed over some megabytes."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Filter(grams)
+        for batch in batches:
+            for part in slices(batch):
+                words = words_of(part.column("text"), ALNUM)
+                own, _ = _triples(words.hashes, words.docs)
+                gram, n = np.unique(own[known.hits(own)], return_counts=True)
+                yield pa.record_batch([pa.array(gram.view(np.int64)), pa.array(n)], ["key", "n"])
+    return task
+
+
+def rare_seeds(texts: DataFrame, triples: DataFrame) -> DataFrame:
+    """(key, value) of the triples (item, length, key, place) that are seeds: those that occur in ``texts``, without the most frequent ones of each item."""
+    keys = written(triples.select("key").distinct(), "triples")
+    counts = texts.mapInArrow(_frequencies(share(keys, "triples", keys.count())), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    # an item (or part of one) has some thousand triples at most
+    of_item = Window.partitionBy("item")
+    kept = F.col("total") - F.greatest(F.ceil((2 * EXACT_FROM - 1) * F.col("length") - 2 - 1e-9) - 1, F.lit(0))
+    ranked = triples.join(counts, "key").withColumn("rank", F.row_number().over(of_item.orderBy("n", "key", "place"))).withColumn("total", F.count("*").over(of_item))
+    # numbers fit: an item's place and length take 16 bits each; longer items come in parts
+    return ranked.filter(F.col("rank") <= kept).selectExpr("key", "shiftleft(CAST(item AS LONG), 32) + shiftleft(CAST(place AS LONG), 16) + length AS value")
+
+
 def _passages(seeds: SharedMap, item_words: SharedMap, min_similarity: float):
     """(doc_id, item, words): passages of texts around the seeds of items that may reach the similarity."""
 
@@ -124,7 +158,7 @@ def _passages(seeds: SharedMap, item_words: SharedMap, min_similarity: float):
                 for lo in range(0, len(head), 2000):
                     k = slice(lo, lo + 2000)
                     passages = [words.hashes[a:b] for a, b in zip(low[k].tolist(), high[k].tolist(), strict=True)]
-                    most = _overlap(passages, [texts[i] for i in item[head][k].tolist()]) + n_seeds[k] + 2
+                    most = _overlap(passages, [texts[i] for i in item[head][k].tolist()]) + n_seeds[k] + _left_out(length[head][k]) + 2
                     some = np.flatnonzero(most >= MATCH * min_similarity * length[head][k] - 1e-6)
                     if len(some):
                         yield pa.record_batch([ids[k].take(pa.array(some)), pa.array(item[head][k][some]), pa.array([passages[i].tobytes() for i in some.tolist()], pa.binary())], ["doc_id", "item", "passage"])
@@ -193,10 +227,8 @@ def contaminated(docs: DataFrame, items: DataFrame, min_similarity: float = MIN_
     base = F.create_map(*[F.lit(int(x)) for kv in before.items() for x in kv])
     parts = parts.withColumn("item", base[F.shiftrightunsigned("item", 33)] + F.col("item").bitwiseAND((1 << 33) - 1))
 
-    # numbers fit: an item's place and length take 16 bits each; longer items come in parts
-    seeds = parts.selectExpr("item", "length", "explode(arrays_zip(grams, places)) AS g").selectExpr(
-        "g.grams AS key", "shiftleft(CAST(item AS LONG), 32) + shiftleft(CAST(g.places AS LONG), 16) + length AS value").distinct()
-    seeds = written(seeds, "seeds")
+    triples = parts.selectExpr("item", "length", "explode(arrays_zip(grams, places)) AS g").selectExpr("item", "length", "g.grams AS key", "g.places AS place").distinct()
+    seeds = written(rare_seeds(texts, written(triples, "item-triples")), "seeds")
     item_words = parts.select(F.col("item").cast("long").alias("item"), "words").mapInArrow(_word_rows, "key long, value long")
     seed_map, word_map = share(seeds, "seeds", seeds.count()), share(item_words, "words", parts.agg(F.sum("length")).first()[0])
     passages = texts.mapInArrow(_passages(seed_map, word_map, min_similarity), "doc_id long, item long, passage binary")
