@@ -27,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .units import ASCII_SPACE, Known, gathered, per_group
 from .words import give_back, slices, text_buffer
 
@@ -261,6 +262,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
 

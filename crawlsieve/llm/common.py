@@ -18,7 +18,23 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of rows that Spark hands to a Python worker at once.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has Spark hand texts on some megabytes at a time, unless the session was started with a setting of its own.
+
+    With the default of 64 MB, twice that while a batch grows, and a batch in each direction in each running task, these buffers take more of an
+    executor's memory than everything else outside its heap.
+    """
+    if not spark.sparkContext.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +59,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: computed once, lineage cut, safe when executors are lost."""
+    small_batches(df.sparkSession)
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

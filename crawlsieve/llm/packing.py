@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .tokenfile import tokenizer_units
-from .units import gathered
 from .words import slices
 
 WINDOW = 4096
@@ -235,4 +235,5 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int | No
                 known = column.is_valid().to_numpy(zero_copy_only=False)
                 yield from sequences.add(column.fill_null(0).to_numpy(), known, sizes, ids)
         yield from sequences.flush()
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, SCHEMA)
