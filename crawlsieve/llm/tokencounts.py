@@ -11,6 +11,7 @@ by one writer.
 Cases: several rows of one (doc_id, version) in a batch count as one, the greatest count (then source, lang).  An insert of a pair that the ledger
 has revises it; a revision of one that it has not inserts it; a delete of one that it has not does nothing.  Rows without doc_id
 cannot be addressed later: inserts count each, others do nothing.  A null n_tokens counts as 0, null source and lang are groups of their own.
+A batch with another op, or a null one, is refused whole.
 Groups whose documents are all deleted leave the totals.  Empty batches are batches.  Other columns are not read.
 """
 
@@ -78,6 +79,8 @@ class Rollup:
             raise ValueError(f"not a name for a batch: {batch!r}")
         if self._done(batch):
             return False
+        if changes.filter("op IS NULL OR op NOT IN ('insert', 'delete', 'revise')").limit(1).count():
+            raise ValueError("a change is an insert, a delete or a revise")
         turn = len(self._batches())
         rows = changes.select("op", F.col("doc_id").cast("long").alias("doc_id"), F.col("version").cast("string").alias("version"), F.col("source").cast("string").alias("source"),
                               F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"))

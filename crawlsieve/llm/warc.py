@@ -259,10 +259,13 @@ def _captures_in(folder: str):
 def look_up(archive: Archive, urls: DataFrame) -> DataFrame:
     """key, file, offset, length of every capture of the URLs (column ``url``), each once."""
     keys = urls.select("url").distinct().sortWithinPartitions("url")
-    places = keys.mapInArrow(_blocks_of(archive), "index string, at long, size long, key string").distinct()  # URLs may share a key
-    return places.repartition("index", "at").sortWithinPartitions("index", "at", "key").mapInArrow(_captures_in(archive.folder), _CAPTURE)
+    places = written(keys.mapInArrow(_blocks_of(archive), "index string, at long, size long, key string").distinct(), "places")  # URLs may share a key
+    tasks = max(1, -(-places.count() // TASK_KEYS))
+    return places.repartition(tasks, "index", "at").sortWithinPartitions("index", "at", "key").mapInArrow(_captures_in(archive.folder), _CAPTURE)
 
 
+#: Archive bytes, and keys of URLs, that a task looks up, about.
+TASK_BYTES, TASK_KEYS = 16 << 20, 20_000
 _RECORD = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
 
@@ -303,8 +306,13 @@ def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_records(archive: Archive, captures: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records of captures, by range reads in the order of the files; a payload is checked against its digest."""
-    dealt = captures.repartition("file", F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("file", "offset")
+    """The records of captures, by range reads in the order of the files; a payload is checked against its digest.
+
+    A capture is a row of some bytes and a record may be megabytes, so tasks are numbered by the bytes they read.
+    """
+    captures = written(captures, "captures")
+    tasks = max(1, -(-(captures.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    dealt = captures.repartition(tasks, "file", F.floor(F.col("offset") / (4 << 20))).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(_records(archive.folder, with_payload), _RECORD)
 
 

@@ -493,3 +493,24 @@ def test_rollup_takes_counts_of_any_tokenizer(spark):
     rollup = tokencounts.Rollup(spark)
     rollup.commit("one", counts)
     assert [tuple(r) for r in rollup.totals().collect()] == [("s", "en", "byte_bpe_50k", 3, sum(r.n_tokens for r in counts.collect()))]
+
+
+def test_rollup_refuses_unknown_changes(spark):
+    rollup = tokencounts.Rollup(spark)
+    schema = "op string, doc_id long, version string, source string, lang string, n_tokens long"
+    for op in ("upsert", None, ""):
+        with pytest.raises(ValueError):
+            rollup.commit("a", spark.createDataFrame([("insert", 1, "v", "s", "l", 5), (op, 2, "v", "s", "l", 5)], schema))
+    assert rollup.totals().count() == 0 and rollup.commit("a", spark.createDataFrame([("insert", 1, "v", "s", "l", 5)], schema))
+
+
+def test_archive_is_read_back_in_tasks_by_its_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 4_000)
+    monkeypatch.setattr(warc, "TASK_KEYS", 20)
+    rng = np.random.default_rng(3)
+    pages = spark.createDataFrame([(i, f"https://h{i % 9}.example/{i}", rng.bytes(300).hex()) for i in range(120)], "page_id long, url string, html string")
+    archive = warc.write_archive(pages)
+    rows = warc.read_records(archive, warc.look_up(archive, pages), with_payload=True).withColumn("task", F.spark_partition_id())
+    got = rows.select("page_id", "payload", "task").collect()
+    assert {r.page_id: bytes(r.payload).decode() for r in got} == {r.page_id: r.html for r in pages.collect()} and len({r.task for r in got}) > 1
+    assert warc.read_records(archive, warc.look_up(archive, pages.limit(0))).count() == 0
