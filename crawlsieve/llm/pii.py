@@ -18,6 +18,7 @@ treated alike.  ``sanitised`` keeps all columns, writes ``text``, and ``n_chars`
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -89,10 +90,24 @@ def _entity(kind: int, text: str) -> str:
     return f"{kind}:{text.lower() if kind < 2 else _DIGITS.sub('', text)}"
 
 
+def _covered(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the places that some spans cover together, in order and apart."""
+    starts, ends = [], []
+    for _, start, end in sorted(spans, key=lambda s: s[1:]):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def _blanked(text: str, spans: list[Span]) -> str:
-    for _, start, end in spans:
-        text = text[:start] + " " * (end - start) + text[end:]
-    return text
+    out, at = [], 0
+    for start, end in zip(*_covered(spans), strict=True):
+        out += [text[at:start], " " * (end - start)]
+        at = end
+    return "".join([*out, text[at:]])
 
 
 def _hash(texts: list[str]) -> np.ndarray:
@@ -210,8 +225,10 @@ def _term_spans(column: pa.Array, terms: SharedMap) -> tuple[np.ndarray, ...]:
 def _all_spans(column: pa.Array, terms: SharedMap) -> dict[int, list[Span]]:
     """Spans of the texts that have any; a term inside a match is part of it."""
     out = {i: base_spans(column[i].as_py()) for i in _suspects(column).tolist()}
+    covered = {i: _covered(own) for i, own in out.items()}
     for i, kind, start, end in zip(*(x.tolist() for x in _term_spans(column, terms)), strict=True):
-        if all(end <= s or start >= e for _, s, e in out.get(i, ())):
+        starts, ends = covered.get(i, ([], []))
+        if bisect.bisect_left(starts, end) == bisect.bisect_right(ends, start):  # as many begin before its end as end before its start
             out.setdefault(i, []).append((kind, start, end))
     return {i: sorted(s) for i, s in out.items() if s}
 

@@ -336,6 +336,33 @@ def test_terms_that_disclose_an_entity_are_found(spark, odd):
     assert pii.spans(odd, none).count() == 10 and pii.sanitised(odd, none).columns == odd.columns and pii.spans(odd.limit(0), none).count() == 0
 
 
+def test_spans_of_a_long_text_with_many_matches():
+    """Blanks and terms beside matches cost what the text costs; what overlaps a match is left to it."""
+    import random
+    import time
+    rng = random.Random(4)
+    for _ in range(200):
+        spans = [(k, a, a + rng.randint(1, 9)) for k, a in ((rng.randint(0, 3), rng.randint(0, 50)) for _ in range(rng.randint(0, 6)))]
+        text = "".join(rng.choice("abc") for _ in range(60))
+        want = list(text)
+        for _, a, b in spans:
+            want[a:b] = " " * (b - a)
+        assert pii._blanked(text, spans) == "".join(want)
+        starts, ends = pii._covered(spans)
+        for a in range(0, 58):
+            free = all(a + 2 <= s or a >= e for _, s, e in spans)
+            assert (pii.bisect.bisect_left(starts, a + 2) == pii.bisect.bisect_right(ends, a)) == free
+
+    def seconds(n):
+        text = pa.array(["".join(f"a{i}@x.example and more " for i in range(n))])
+        start = time.perf_counter()
+        spans = pii.base_spans(text[0].as_py())
+        pii._blanked(text[0].as_py(), spans)
+        return time.perf_counter() - start
+    seconds(100)
+    assert min(seconds(40_000) for _ in range(3)) <= 8 * min(seconds(10_000) for _ in range(3))
+
+
 def test_entities_named_several_times_count_once_a_text(spark):
     """A third of the texts name an address twice, 'contact' near it and in half of all texts: 0.63 of the bits, so it is kept."""
     pad = lambda i: " ".join(f"p{i}x{k}" for k in range(10))
