@@ -3,13 +3,14 @@
 Patterns (leftmost, not overlapping within a kind): e-mail addresses, IPv4 addresses, payment cards (16 to 19 digits, Luhn), phone numbers
 with a country code (8 to 15 digits).  Matches that fail their test are dropped.
 
-Terms.  An entity is a match without its spelling (case, spaces, dashes).  The terms of a mention are up to ``NEAR`` words on either side, other
-matches left out.  With P(e) the share of texts that mention entity e and P(e|t) the share of the texts with term t that have it near e,
+Terms.  An entity is a match without its spelling (case, spaces, dashes); the terms of a text are its words, matches left out.
+With P(e) the share of texts that mention entity e and P(e|t) the share of the texts with term t that do,
 t discloses log2(P(e|t) / P(e)) bits of the -log2 P(e) bits that e holds.  Where that is ``GENERALISE`` of them or more, t is replaced by
-its class (number, name, term) in every text; from ``REMOVE`` on it is taken out.  A pair counts only if it was seen in ``LEAST_CONTEXTS``
-different surroundings: copies of one passage tell nothing about how a term occurs.
+its class (number, name, term) in every text; from ``REMOVE`` on it is taken out.  How a term occurs cannot be told from copies of one text: texts are put in
+``CLASSES`` classes by a hash of their set of words, and an entity, and a pair, counts only if texts of ``LEAST_CLASSES`` classes have it.
 
-Only pairs near a match are counted, summed task by task before they are shuffled; texts are searched for the terms that remain
+First the entities of so many classes are counted, and only these are paired with the terms of their texts, wherever in the text they stand; pairs are
+summed slice by slice and task by task before they are shuffled.  Then the candidate terms are counted in all texts, and texts are searched for those that remain
 through a mapped file.  Nothing is collected.
 
 Cases: a null or empty text has no match and stays as it is.  A null doc_id is handed on.  Repeated rows count each towards P and are
@@ -32,8 +33,9 @@ from .common import written
 from .sharedmap import SharedMap, share
 from .words import ALNUM, mix, slices, text_buffer, words_of
 
-NEAR, NEAR_CHARS = 8, 200
-LEAST_CONTEXTS = 3
+CLASSES, LEAST_CLASSES = 64, 3
+#: (entity, term) pairs of a text that are worked on at once, about.
+PAIRS = 1 << 20
 GENERALISE, REMOVE = 0.9, 0.98
 KINDS = ("email", "ip", "card", "phone")
 #: What the method adds, and what takes a term's place.
@@ -114,55 +116,69 @@ def _hash(texts: list[str]) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for t in texts], np.uint64)
 
 
-def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entity, context, terms, new, first): hashes of the mentions of each text; an entity is given once a text and context.
-
-    ``first`` is 1 for one mention of the entity in a text, ``new`` for each term 1 at one of the text's mentions of the entity that have it, so that
-    their sums count texts.
-    """
+def _read(column: pa.Array) -> Iterator[tuple[np.ndarray, int, str]]:
+    """Of each text with matches: the distinct entities, its class, and the text without matches."""
+    rows = []
+    for i in _suspects(column).tolist():
+        text = column[i].as_py()
+        spans = base_spans(text)
+        if spans:
+            rows.append((np.unique(_hash([_entity(k, text[a:b]) for k, a, b in spans])), _blanked(text, spans)))
+    words = words_of(pa.array([blank for _, blank in rows], pa.string()), ALNUM)
+    order = np.lexsort((words.hashes, words.docs))
+    docs, hashes = words.docs[order], words.hashes[order]
+    new = np.append(True, (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1]))[:len(docs)]
+    docs, hashes = docs[new], hashes[new]
+    edges = np.searchsorted(docs, np.arange(len(rows) + 1))
+    for (entities, _), lo, hi in zip(rows, edges[:-1], edges[1:], strict=True):
+        terms = hashes[lo:hi]
+        yield entities, int(mix(np.bitwise_xor.reduce(mix(terms ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True))[0] % np.uint64(CLASSES)) if len(terms) else 0, terms
+
+
+def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entity, class, n): how many texts of a class mention an entity."""
     for batch in batches:
         for part in slices(batch):
-            texts, row, entities, sides = part.column("text"), [], [], []
-            for i in _suspects(texts).tolist():
-                text = texts[i].as_py()
-                spans = base_spans(text)
-                blank = _blanked(text, spans) if spans else text
-                for kind, start, end in spans:
-                    row.append(i)
-                    entities.append(_entity(kind, text[start:end]))
-                    low, high = max(0, start - NEAR_CHARS), min(len(text), end + NEAR_CHARS)
-                    left, right = blank[low:start], blank[end:high]
-                    sides += [left.split(" ", 1)[-1] if low else left, right.rsplit(" ", 1)[0] if high < len(text) else right]
-            if not row:
-                continue
-            words = words_of(pa.array(sides), ALNUM)
-            n = np.bincount(words.docs, minlength=len(sides))
-            first = (np.cumsum(n) - n)[words.docs]
-            place = np.arange(len(words.docs)) - first
-            near = np.where(words.docs % 2 == 0, n[words.docs] - place <= NEAR, place < NEAR)
-            mention, term = words.docs[near] // 2, words.hashes[near]
-            order = np.lexsort((term, mention))
-            mention, term = mention[order], term[order]
-            new = np.append(True, (mention[1:] != mention[:-1]) | (term[1:] != term[:-1]))[:len(term)]
-            mention, term = mention[new], term[new]
-            context = np.zeros(len(row), np.uint64)
-            np.bitwise_xor.at(context, mention, mix(term))
-            text, entity = np.array(row, np.int64), _hash(entities)
-            order = np.lexsort((context, entity, text))
-            first = np.zeros((2, len(row)), bool)  # of its entity and text; of its entity, text and context
-            first[:, order[0]] = True
-            first[0, order[1:]] = (text[order[1:]] != text[order[:-1]]) | (entity[order[1:]] != entity[order[:-1]])
-            first[1, order[1:]] = first[0, order[1:]] | (context[order[1:]] != context[order[:-1]])
-            group = np.zeros(len(row), np.int64)
-            group[order] = np.cumsum(first[0, order])
-            some = first[1, mention]
-            mention, term = mention[some], term[some]
-            new = np.zeros(len(term), np.int64)
-            order = np.lexsort((term, group[mention]))
-            new[order] = np.append(True, (group[mention[order[1:]]] != group[mention[order[:-1]]]) | (term[order[1:]] != term[order[:-1]]))[:len(term)]
-            offsets = pa.array(np.append(0, np.cumsum(np.bincount(mention, minlength=len(row))[first[1]])).astype(np.int32))
-            yield pa.record_batch([pa.array(entity[first[1]].view(np.int64)), pa.array(context[first[1]].view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(term.view(np.int64))),
-                                   pa.ListArray.from_arrays(offsets, pa.array(new)), pa.array(first[0, first[1]].astype(np.int64))], ["entity", "context", "terms", "new", "first"])
+            found = [(entities, np.full(len(entities), c)) for entities, c, _ in _read(part.column("text"))]
+            if found:
+                entity, c = (np.concatenate(x) for x in zip(*found, strict=True))
+                (entity, c), n = _summed(entity, c.astype(np.uint64))
+                yield pa.record_batch([pa.array(entity.view(np.int64)), pa.array(c.astype(np.int32)), pa.array(n)], ["entity", "class", "n"])
+
+
+def _summed(*columns: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Distinct rows of some columns, and how often each occurs."""
+    order = np.lexsort(columns)
+    ordered = [x[order] for x in columns]
+    new = np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in ordered]))[:len(order)]
+    first = np.flatnonzero(new)
+    return tuple(x[first] for x in ordered), np.diff(np.append(first, len(order)))
+
+
+def _pairs(known: SharedMap):
+    """(entity, term, class, n): how many texts of a class have a term and mention an entity, for known entities."""
+
+    def rows(held: list) -> pa.RecordBatch:
+        (entity, term, c), n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held.clear()
+        return pa.record_batch([pa.array(entity.view(np.int64)), pa.array(term.view(np.int64)), pa.array(c.astype(np.int32)), pa.array(n)], ["entity", "term", "class", "n"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                held, size = [], 0
+                for entities, c, terms in _read(part.column("text")):
+                    entities = entities[known.has(entities)]
+                    for lo in range(0, len(entities) if len(terms) else 0, max(1, PAIRS // len(terms))) if len(terms) else ():
+                        some = entities[lo:lo + max(1, PAIRS // len(terms))]
+                        held.append((np.repeat(some, len(terms)), np.tile(terms, len(some)), np.full(len(some) * len(terms), c, np.uint64)))
+                        size += len(some) * len(terms)
+                        if size >= PAIRS:
+                            yield rows(held)
+                            size = 0
+                if held:
+                    yield rows(held)
+    return task
 
 
 def _frequencies(terms: SharedMap):
@@ -183,13 +199,14 @@ def _frequencies(terms: SharedMap):
     return task
 
 
-def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, least_contexts: int = LEAST_CONTEXTS) -> SharedMap:
+def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, least_classes: int = LEAST_CLASSES) -> SharedMap:
     """Hashes of the terms that disclose an entity, with 0 (to generalise) or 1 (to remove)."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    mentions = written(texts.mapInArrow(_mentions, "entity long, context long, terms array<long>, new array<long>, first long"), "mentions")
-    pairs = mentions.select("entity", "context", F.explode(F.arrays_zip("terms", "new")).alias("t")).select("entity", "context", F.col("t.terms").alias("term"), F.col("t.new").alias("n"))
-    pairs = pairs.groupBy("entity", "term", "context").agg(F.sum("n").alias("n"))
-    pairs = written(pairs.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("both")).filter(F.col("contexts") >= least_contexts), "pairs")
+    by_class = texts.mapInArrow(_entities, "entity long, class int, n long").groupBy("entity", "class").agg(F.sum("n").alias("n"))
+    entities = written(by_class.groupBy("entity").agg(F.count("*").alias("classes"), F.sum("n").alias("mentions")).filter(F.col("classes") >= least_classes), "entities")
+    known = share(entities.select(F.col("entity").alias("key")), "entities", entities.count())
+    pairs = texts.mapInArrow(_pairs(known), "entity long, term long, class int, n long").groupBy("entity", "term", "class").agg(F.sum("n").alias("n"))
+    pairs = written(pairs.groupBy("entity", "term").agg(F.count("*").alias("classes"), F.sum("n").alias("both")).filter(F.col("classes") >= least_classes), "pairs")
     candidates = pairs.select(F.col("term").alias("key")).distinct()
     n = candidates.count()
     if not n:
@@ -197,7 +214,6 @@ def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, remove: fl
     found = share(candidates, "candidates", n)
     total = texts.count()
     frequency = texts.mapInArrow(_frequencies(found), "term long, texts long").groupBy("term").agg(F.sum("texts").alias("texts"))
-    entities = mentions.groupBy("entity").agg(F.sum("first").alias("mentions"))
     bits = pairs.join(frequency, "term").join(entities, "entity").select(
         "term", (F.log2(F.least(F.lit(1.0), F.col("both") / F.col("texts"))) - F.log2(F.col("mentions") / total)).alias("disclosed"),
         (-F.log2(F.col("mentions") / total)).alias("held"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crawlsieve.llm import bpe, chosen_path, decontaminate, lm, pii, quality, tokencounts, tokenfile, toxicity, warc
+from crawlsieve.llm import words as words_module
 from crawlsieve.llm.components import components
 
 SCHEMA = "doc_id long, text string, score double, row long, held_out string, n_tokens string"
@@ -374,13 +376,78 @@ def test_entities_named_several_times_count_once_a_text(spark):
     assert not any("removed" in r.spans or "generalised" in r.spans for r in pii.spans(docs, terms).collect())
 
 
-def test_mentions_count_texts():
-    texts = ["a b x@y.z c", "a x@y.z b a x@y.z b", None, "n1 n2 n3 n4 n5 n6 n7 n8 x@y.z " + " ".join(f"m{i}" for i in range(16)) + " X@y.z n1"]
-    (got,) = pii._mentions([pa.record_batch([pa.array(texts)], ["text"])])
-    rows = got.to_pylist()
-    assert len(rows) == 4 and sum(r["first"] for r in rows) == 3 and len({r["entity"] for r in rows}) == 1
-    assert sorted(len(r["terms"]) for r in rows) == [2, 3, 9, 16]
-    assert sum(sum(r["new"]) for r in rows) == 3 + 2 + 24  # n1 is near both mentions of the last text
+def plain_terms(texts, least=pii.LEAST_CLASSES):
+    """Terms that disclose an entity, by plain sets and loops."""
+    def words(t):
+        low = t.translate(LOW)
+        return {w for w in re.findall("[^\\x00-&(-/:-@\\[-`{-\x7f]+", low)}
+    seen, by_term = defaultdict(set), defaultdict(set)
+    group = {}
+    for i, t in enumerate(texts):
+        t = t or ""
+        spans = pii.base_spans(t)
+        own = words(pii._blanked(t, spans))
+        for w in words(t):
+            by_term[w].add(i)
+        if spans:
+            hashes = words_module.words_of(pa.array([" ".join(sorted(own))]), words_module.ALNUM).hashes
+            scrambled = words_module.mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
+            group[i] = (int(words_module.mix(np.bitwise_xor.reduce(scrambled, keepdims=True))[0] % np.uint64(pii.CLASSES)) if own else 0, own)
+            for k, a, b in spans:
+                seen[pii._entity(k, t[a:b])].add(i)
+    out = {}
+    for entity, mentions in seen.items():
+        if len({group[i][0] for i in mentions}) < least:
+            continue
+        held = -math.log2(len(mentions) / len(texts))
+        for term in set().union(*(group[i][1] for i in mentions)):
+            both = {i for i in mentions if term in group[i][1]}
+            if len({group[i][0] for i in both}) < least or held <= 0:
+                continue
+            disclosed = math.log2(min(1.0, len(both) / len(by_term[term]))) + held
+            if disclosed >= pii.GENERALISE * held - 1e-9:
+                out[term] = max(out.get(term, 0), int(disclosed >= pii.REMOVE * held - 1e-9))
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/check_s"), reason="no table with entities of several texts")
+def test_disclosing_terms_of_a_given_table(spark):
+    """Texts of a given table in which near copies name the same entities (those of sf* name each in one text): the terms are those of plain loops, and there are some."""
+    docs = spark.read.parquet("/root/testdata/check_s/documents.parquet").select("doc_id", "text")
+    docs = docs.filter("text RLIKE '@[a-z0-9]+[.]|[0-9] ?[0-9] ?[0-9] ?[0-9]|[0-9][.][0-9]' OR doc_id % 25 = 0")  # a fixture: all that may name an entity, and some others
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    want = plain_terms(texts)
+    terms = pii.disclosing_terms(docs)
+    names = sorted(want)
+    hashes = words_module.words_of(pa.array(names), words_module.ALNUM).hashes
+    got = {}
+    for at, _, values in terms.rows(hashes):
+        got |= zip(np.array(names)[at].tolist(), values.tolist(), strict=True)
+    assert len(want) > 0 and got == want and sum(len(x) for x in terms.files()) == len(want)
+    assert pii.spans(docs, terms).filter("spans LIKE '%removed%' OR spans LIKE '%generalised%'").count() > 0
+
+
+def test_disclosing_terms_of_random_texts(spark):
+    import random
+    rng = random.Random(6)
+    words = [f"t{i}" for i in range(40)] + ["É", "Ab's"]
+    texts = []
+    for _ in range(400):
+        own = rng.choices(words, [1 / (i + 1) for i in range(len(words))], k=rng.randint(0, 12))
+        for k in range(rng.randint(0, 2)):
+            e = rng.randint(0, 6)
+            own += [f"a{e}@x.com"] + [f"m{e}"] * (rng.random() < 0.8) + [f"n{e % 3}"] * (rng.random() < 0.5)
+        rng.shuffle(own)
+        texts.append(" ".join(own))
+    texts += [texts[3]] * 40 + [None, "", "a1@x.com", "a1@x.com", "+49 30 123456 A1@X.com m1"]
+    want = plain_terms(texts)
+    terms = pii.disclosing_terms(table_of(spark, texts))
+    names = sorted(want)
+    hashes = words_module.words_of(pa.array(names), words_module.ALNUM).hashes
+    got = {}
+    for at, _, values in terms.rows(hashes):
+        got |= zip(np.array(names)[at].tolist(), values.tolist(), strict=True)
+    assert len(want) >= 3 and got == want and sum(len(x) for x in terms.files()) == len(want)
 
 
 # --- byte-level BPE --------------------------------------------------------------------------------------------------------------
