@@ -17,6 +17,7 @@ from ..operators.platform import origin_platform
 from ..operators.rules import rules
 from ..operators.robots import crawler_access, robots_checks, robots_pages
 from ..operators.skew import shared_folder
+from ..operators.skew import materialise
 from ..plans.audit import audit
 from ..sources.crawl import as_crawl, parse_url_list
 from ..sources.robots import content_signal, robots_rules, robots_sets, robots_status
@@ -519,24 +520,34 @@ def report_sink(spark, sf):
     return spark.read.json(f"{path}/pages").selectExpr("seq AS page_id", "url", "CAST(size(issues) AS BIGINT) AS n_issues", "status")
 
 
-@register("issue_sink", "SELECT severity, count(*) AS n FROM (SELECT unnest(['info', 'info', 'info']) AS severity FROM pages) GROUP BY severity")
+_BARE = "unnest(['missing-main-landmark', 'missing-open-graph', 'missing-twitter-card'])"
+
+
+@register("issue_sink", f"SELECT url, page_id, {_BARE} AS type, 'info' AS severity FROM pages")
 def issue_sink(spark, sf):
+    """Issues written by severity and read back."""
     path = _folder(spark)
     report.write_issues(path, rollup.hits(issue_rows(page_columns(crawl(spark, sf), "issues", only_checks=("main_landmark", "social")))))
-    return spark.read.parquet(path).groupBy("severity").agg(F.count("*").alias("n"))
+    return spark.read.parquet(path).select("url", F.col("seq").alias("page_id"), "type", "severity")
 
 
-@register("digest_sink", "SELECT type, count(*) AS pages FROM (SELECT unnest(['missing-main-landmark', 'missing-open-graph', 'missing-twitter-card']) AS type FROM pages) GROUP BY type")
+@register("digest_sink", f"""WITH i AS (SELECT url, {_BARE} AS type FROM pages)
+SELECT 'finding' AS part, type AS name, 'info | ' || count(DISTINCT url) || ' | ' || count(*) || ' | ' || CASE type WHEN 'missing-main-landmark' THEN 'Page has no main landmark' WHEN 'missing-open-graph' THEN 'Page has no Open Graph tags' ELSE 'Page has no twitter:card' END AS value FROM i GROUP BY type
+UNION ALL SELECT 'page', url, page_id || ' | 0 | 0 | 3' FROM pages UNION ALL SELECT 'summary', 'all', count(*) || ' | 0 | 0 | ' || 3 * count(*) FROM pages""")
 def digest_sink(spark, sf):
-    pages = page_columns(crawl(spark, sf), "issues", only_checks=("main_landmark", "social"))
+    """Findings, page lines and totals of a written digest, read back as text."""
+    pages = materialise(page_columns(crawl(spark, sf), "issues", only_checks=("main_landmark", "social")), "query-pages")
     issues = issue_rows(pages)
-    hits, counts = rollup.hits(issues), rollup.page_counts(pages, issues)
     path = _folder(spark)
-    report.write_digest(path, rollup.digest_findings(hits, rules(spark)), rollup.page_lines(counts), rollup.summary(pages, issues, issues.limit(0)))
-    return spark.read.json(f"{path}/findings").select("type", "pages")
+    counts = rollup.page_counts_in_row(pages, issues.limit(0).select("url", "severity"))
+    report.write_digest(path, rollup.digest_findings(rollup.hits(issues), rules(spark)), rollup.page_lines(counts), rollup.summary(pages, issues, issues.limit(0)))
+    found = spark.read.json(f"{path}/findings").selectExpr("'finding' AS part", "type AS name", "concat_ws(' | ', severity, pages, hits, messages[0].message) AS value")
+    lines = spark.read.json(f"{path}/pages").selectExpr("'page' AS part", "url AS name", "concat_ws(' | ', seq, errors, warnings, infos) AS value")
+    total = spark.read.json(f"{path}/summary").selectExpr("'summary' AS part", "'all' AS name", "concat_ws(' | ', pages, errors, warnings, infos) AS value")
+    return found.unionByName(lines).unionByName(total)
 
 
-@register("stream_page_audit", f"WITH k AS (SELECT DISTINCT {d_key('url')} AS k FROM pages) SELECT type, count(*) AS n FROM (SELECT unnest(['missing-main-landmark', 'missing-open-graph', 'missing-twitter-card']) AS type FROM k) GROUP BY type")
+@register("stream_page_audit", f"SELECT DISTINCT {d_key('url')} AS page_key, {_BARE} AS type, 'info' AS severity FROM pages")
 def query_stream_page_audit(spark, sf):
     """The pages table as a stream: audited once per page key, appended to a table."""
     folder = _folder(spark)
@@ -545,7 +556,7 @@ def query_stream_page_audit(spark, sf):
     audited = stream_page_audit(crawled, only_checks=("main_landmark", "social"))
     run = audited.writeStream.format("parquet").option("path", f"{folder}/audited").option("checkpointLocation", f"{folder}/_checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return issue_rows(spark.read.parquet(f"{folder}/audited")).groupBy("type").agg(F.count("*").alias("n"))
+    return issue_rows(spark.read.parquet(f"{folder}/audited")).select(col(page_key("url")).alias("page_key"), "type", "severity")
 
 
 def _crawled_twice(spark, sf) -> str:
