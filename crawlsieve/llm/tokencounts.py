@@ -4,6 +4,8 @@ A batch holds changes of documents' counts: inserts, deletes and revisions.  Its
 the ledger holds for the same (doc_id, version).  Committing a batch writes these sums and its ledger rows under the batch's name;
 totals are the sum over all batches, so they never have to be counted again from texts.
 
+The ledger lies in folders by a hash of (doc_id, version), so a small batch reads the part of it that its own documents fall into.
+
 A commit is complete when Spark's marker of the last of its two tables is there.  A batch that is complete is not committed
 again, one that was interrupted is written anew: repeating a commit changes nothing.  Batches are committed one after another,
 by one writer.
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import _file_system, new_folder
 
 _GROUP = ["source", "lang", "version"]
-_LEDGER = "doc_id long, version string, source string, lang string, n_tokens long, live boolean, turn int"
+_LEDGER = "doc_id long, version string, source string, lang string, n_tokens long, live boolean, turn int, bucket int"
+#: Folders of a batch's ledger rows, by a hash of document and version: a commit reads those that its own rows fall into.
+BUCKETS = 16
 _DELTA = "source string, lang string, version string, docs long, tokens long, turn int"
 
 #: Counts by name: white-space words; runs of letters, runs of digits and single other characters.
@@ -61,11 +65,14 @@ class Rollup:
 
     def _read(self, kind: str, schema: str) -> DataFrame:
         paths = [f"{self.folder}/{kind}/batch={b}" for b in self._batches()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def ledger(self) -> DataFrame:
-        """doc_id, version, source, lang, n_tokens of every document that is counted; of several batches the last tells."""
-        last = self._read("ledger", _LEDGER).groupBy("doc_id", "version").agg(F.max_by(F.struct("source", "lang", "n_tokens", "live"), "turn").alias("x"))
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.folder}/{kind}").parquet(*paths).drop("batch")
+
+    def ledger(self, buckets: list[int] | None = None) -> DataFrame:
+        """doc_id, version, source, lang, n_tokens of every document that is counted (of some buckets); of several batches the last tells."""
+        rows = self._read("ledger", _LEDGER)
+        last = (rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))).groupBy("doc_id", "version").agg(F.max_by(F.struct("source", "lang", "n_tokens", "live"), "turn").alias("x"))
         return last.filter("x.live").select("doc_id", "version", "x.source", "x.lang", "x.n_tokens")
 
     def totals(self) -> DataFrame:
@@ -85,11 +92,12 @@ class Rollup:
         rows = changes.select("op", F.col("doc_id").cast("long").alias("doc_id"), F.col("version").cast("string").alias("version"), F.col("source").cast("string").alias("source"),
                               F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"))
         known = rows.filter("doc_id IS NOT NULL").groupBy("doc_id", "version").agg(F.max(F.struct((F.col("op") != "delete").alias("live"), "n_tokens", "source", "lang")).alias("x"))
-        known = known.select("doc_id", "version", "x.source", "x.lang", "x.n_tokens", "x.live", F.lit(turn).alias("turn"))
+        known = known.select("doc_id", "version", "x.source", "x.lang", "x.n_tokens", "x.live", F.lit(turn).alias("turn"),
+                             F.pmod(F.xxhash64("doc_id", "version"), F.lit(BUCKETS)).cast("int").alias("bucket"))
         path = f"{self.folder}/ledger/batch={batch}"
-        before = self.ledger()
-        known.write.mode("overwrite").parquet(path)
+        known.repartition(BUCKETS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
         known = self.spark.read.schema(_LEDGER).parquet(path)
+        before = self.ledger([r.bucket for r in known.select("bucket").distinct().collect()])  # at most BUCKETS
         added = known.filter("live").select(*_GROUP, F.lit(1).alias("docs"), F.col("n_tokens").alias("tokens"))
         nameless = rows.filter("doc_id IS NULL AND op = 'insert'").select(*_GROUP, F.lit(1).alias("docs"), F.col("n_tokens").alias("tokens"))
         taken = before.join(known.select("doc_id", "version"), ["doc_id", "version"], "left_semi").select(*_GROUP, F.lit(-1).alias("docs"), (-F.col("n_tokens")).alias("tokens"))

@@ -589,6 +589,17 @@ def test_rollup_takes_counts_of_any_tokenizer(spark):
     assert [tuple(r) for r in rollup.totals().collect()] == [("s", "en", "byte_bpe_50k", 3, sum(r.n_tokens for r in counts.collect()))]
 
 
+def test_a_small_batch_reads_its_part_of_the_ledger(spark):
+    rollup = tokencounts.Rollup(spark)
+    rollup.commit("all", spark.createDataFrame([("insert", i, "v", "s", "en", 1) for i in range(400)], CHANGES))
+    one = rollup.ledger([3])
+    assert 0 < one.count() < 100 and one.union(rollup.ledger([b for b in range(tokencounts.BUCKETS) if b != 3])).count() == rollup.ledger().count() == 400
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "bucket#" in plan
+    rollup.commit("few", spark.createDataFrame([("delete", 7, "v", None, None, None), ("revise", 8, "v", "s", "en", 5)], CHANGES))
+    assert [tuple(r) for r in rollup.totals().collect()] == [("s", "en", "v", 399, 403)]
+
+
 def test_rollup_refuses_unknown_changes(spark):
     rollup = tokencounts.Rollup(spark)
     schema = "op string, doc_id long, version string, source string, lang string, n_tokens long"
