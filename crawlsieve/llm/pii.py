@@ -182,23 +182,41 @@ def _pairs(known: SharedMap):
 
 
 def _frequencies(terms: SharedMap):
-    """How many texts have each of some terms, summed over a few megabytes."""
+    """How many texts have each of some terms, summed over a task, some hundred thousand terms at a time."""
+
+    def together(held: list) -> tuple[np.ndarray, np.ndarray]:
+        term, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        once, place = np.unique(term, return_inverse=True)
+        return once, np.bincount(place, n, len(once)).astype(np.int64)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.zeros(1 << 20, bool)
         for own in terms.files():
             slots[np.asarray(own) & np.uint64((1 << 20) - 1)] = True
+        held, size = [], 0
         for batch in batches:
             for part in slices(batch):
                 words = words_of(part.column("text"), ALNUM)
                 at = np.flatnonzero(slots[words.hashes & np.uint64((1 << 20) - 1)])
                 at = at[terms.has(words.hashes[at])]
                 pairs = np.unique(np.stack([words.docs[at].astype(np.uint64), words.hashes[at]], 1), axis=0)
-                term, n = np.unique(pairs[:, 1], return_counts=True)
-                yield pa.record_batch([pa.array(term.view(np.int64)), pa.array(n)], ["term", "texts"])
+                held.append(np.unique(pairs[:, 1], return_counts=True))
+                size += len(held[-1][0])
+                if size > PAIRS:
+                    held = [together(held)]
+                    size = len(held[0][0])
+                    if size > PAIRS // 2:
+                        yield _term_counts(*held.pop())
+                        size = 0
+        if held:
+            yield _term_counts(*together(held))
     return task
 
 
+def _term_counts(term: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(term.view(np.int64)), pa.array(n)], ["term", "texts"])
+
+
 def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, least_classes: int = LEAST_CLASSES) -> SharedMap:
     """Hashes of the terms that disclose an entity, with 0 (to generalise) or 1 (to remove)."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
