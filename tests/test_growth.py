@@ -19,11 +19,15 @@ def seconds(spark, html, wanted, check):
 
 
 def assert_linear(spark, n, page, wanted="issues", check=None):
-    """The faster of two runs each, taking turns, without what a page of no size takes."""
+    """The fastest of some runs each, taking turns, without what a page of no size takes; other work on the machine may call for more runs."""
     sizes = [page(1), page(n), page(4 * n)]
-    best = [min(times) for times in zip(*[[seconds(spark, html, wanted, check) for html in sizes] for _ in range(2)])]
-    small, large = max(best[1] - best[0], 0.05), best[2] - best[0]
-    assert large <= MOST * small, f"{best}"
+    best = [float("inf")] * 3
+    for run in range(8):
+        best = [min(b, seconds(spark, html, wanted, check)) for b, html in zip(best, sizes, strict=True)]
+        small, large = max(best[1] - best[0], 0.05), best[2] - best[0]
+        if run and large <= MOST * small:
+            return
+    raise AssertionError(f"{best}")
 
 
 def repeated(n, part):
