@@ -109,7 +109,7 @@ def resolve_inputs(*, args: DataFrame | None = None, lists: DataFrame | None = N
     listed = unread = None
     if sitemap_bodies is not None:
         bodies = sitemap_bodies if "given" in sitemap_bodies.columns else sitemap_bodies.withColumn("given", F.lit(True))
-        files = sitemap_files(bodies)
+        files = sitemap_files(bodies).join(bodies.groupBy("url").agg(F.max("given").alias("given")), "url")
         listed, unread = expand_sitemap_index(files, sitemap_entries(files))
         failed = files.filter("given AND error IS NOT NULL").selectExpr("url AS input", "'--sitemap' AS source", "concat('could not read sitemap: ', error) AS reason")
         unread = materialise(unread.unionByName(failed), "unread-sitemaps", folder)
