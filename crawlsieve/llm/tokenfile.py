@@ -120,7 +120,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, end_id: int | None = 1, kind:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tokenizer_units(tokenizer)
         for batch in batches:
-            for part in slices(batch, most=4 << 20):
+            for part in slices(batch, most=8 << 20):
                 ids, sizes = known.ids(part.column("text"))
                 if end_id is not None:
                     ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
