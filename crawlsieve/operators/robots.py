@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.sql import col, each, keep, let, lit
 from ..functions.text import context as cut_context
 from ..functions.urls import parts, serialise
-from .rules import SOURCES
-from .site import members
+from .rules import RULES, SOURCES
 from .skew import salted_join
 
 # Crawlers of search products with their names, and tokens that only govern training.
@@ -50,17 +49,28 @@ def _words(array: str) -> str:
 def robots_checks(checked: DataFrame) -> DataFrame:
     """Issues of each origin's robots.txt (J9-J11); ``checked`` is ``robots_pages``."""
     file = "concat(origin, '/robots.txt')"
-    failed = members(checked.filter("robots = 'failed'"), "robots-txt-failed", "concat('robots.txt could not be read (', error, ')')", file, ["origin"])
-    unreachable = members(checked.filter("robots = 'unreachable'"), "robots-txt-unreachable", "concat('robots.txt answered HTTP ', http_status)", file, ["origin"])
-    google = "array_contains(blocked, 'Googlebot')"
-    blocked = members(checked.filter(f"robots = 'ok' AND {google}"), "blocked-by-robots", lit("robots.txt keeps Googlebot out of the page"), file, ["origin"])
     search = "filter(array(" + ", ".join(f"CASE WHEN array_contains(blocked, {lit(a)}) THEN named_struct('agent', {lit(a)}, 'product', {lit(p)}, 'source', {lit(SOURCES[s])}) END"
                                          for a, p, s in AI_SEARCH) + "), c -> c IS NOT NULL)"
-    kept_out = checked.filter(f"robots = 'ok' AND NOT {google}").withColumn("kept_out", col(search)).filter("size(kept_out) > 0")
     agents, products = "transform(kept_out, c -> c.agent)", "transform(kept_out, c -> c.product)"
-    ai = members(kept_out, "ai-search-blocked", f"concat('robots.txt keeps out ', {_words(agents)}, ', so ', {_words(products)}, ' cannot use the page in answers')",
-                 cut_context(f"concat({file}, ' disallows ', {_words(agents)})"), ["origin", f"array_join({agents}, ', ')"], source="kept_out[0].source")
-    return failed.unionByName(unreachable).unionByName(blocked).unionByName(ai)
+    # A page has one of these issues at most.  The kind and who is kept out leave an outer generator: conditions on them are not moved below it,
+    # where the rules of all agents would be tried again for each kind.
+    kind = ("CASE robots WHEN 'failed' THEN 'robots-txt-failed' WHEN 'unreachable' THEN 'robots-txt-unreachable' WHEN 'ok' THEN "
+            "CASE WHEN array_contains(blocked, 'Googlebot') THEN 'blocked-by-robots' WHEN size(kept_out) > 0 THEN 'ai-search-blocked' END END")
+    found = f"inline_outer(transform(array({search}), kept_out -> named_struct('kind', {kind}, 'kept_out', kept_out)))"
+    rows = checked.select("seq", "url", "origin", "http_status", "error", col(found)).filter("kind IS NOT NULL")
+    texts = {
+        "robots-txt-failed": ("concat('robots.txt could not be read (', error, ')')", file, "", None),
+        "robots-txt-unreachable": ("concat('robots.txt answered HTTP ', http_status)", file, "", None),
+        "blocked-by-robots": (lit("robots.txt keeps Googlebot out of the page"), file, "", None),
+        "ai-search-blocked": (f"concat('robots.txt keeps out ', {_words(agents)}, ', so ', {_words(products)}, ' cannot use the page in answers')",
+                              cut_context(f"concat({file}, ' disallows ', {_words(agents)})"), f"array_join({agents}, ', ')", "kept_out[0].source"),
+    }
+    pick = lambda value: "CASE kind " + " ".join(f"WHEN {lit(k)} THEN {value(k)}" for k in texts) + " END"
+    keys = pick(lambda k: f"concat_ws('\\n', {lit(k)}, coalesce(origin, '')" + (f", coalesce({texts[k][2]}, '')" if texts[k][2] else "") + ")")
+    return rows.select(
+        col(f"sha1({keys})").alias("issue_key"), F.col("kind").alias("type"), col(pick(lambda k: lit(RULES[k]["severity"]))).alias("severity"),
+        col(pick(lambda k: lit(RULES[k]["category"]))).alias("category"), col(pick(lambda k: texts[k][3] or lit(RULES[k]["source"]))).alias("source"),
+        col(pick(lambda k: texts[k][0])).alias("message"), col(pick(lambda k: texts[k][1])).alias("context"), "seq", "url")
 
 
 def crawler_access(checked: DataFrame) -> DataFrame:

@@ -60,3 +60,29 @@ def test_stream_reads_a_table_of_one_file_or_several(spark, folder, files):
         part = next(f for f in os.listdir(f"{folder}/one") if f.endswith(".parquet"))
         os.link(f"{folder}/one/{part}", f"{folder}/pages.parquet")
     assert entry.queries()["stream_page_audit"](spark, folder).count() == 18
+
+
+def test_rules_of_agents_are_tried_once_a_page(spark, folder):
+    spark.sql("SELECT id AS c_custkey, id % 7 AS c_nationkey, 'AUTO' AS c_mktsegment FROM range(14)").write.parquet(f"{folder}/customer.parquet")
+    spark.sql("SELECT id AS n_nationkey FROM range(7)").write.parquet(f"{folder}/nation.parquet")
+    df = entry.queries()["robots_checks"](spark, folder)
+    assert len(re.findall("Join LeftOuter", optimized(df))) == 1
+    found = {}
+    for r in df.collect():
+        found.setdefault(r.type, set()).add(int(r.url.rsplit("/", 1)[1]))
+    assert found == {"robots-txt-failed": {4, 11}, "robots-txt-unreachable": {2, 9}, "blocked-by-robots": {1, 8, 6, 13}}
+
+
+@pytest.mark.parametrize("name", ("sitemap_file_findings", "sitemap_file_checks", "sitemap_off_host", "site_wide_issues"))
+def test_entries_are_cut_out_once(spark, folder, name):
+    spark.sql("SELECT id AS o_orderkey, id % 2 AS o_custkey, DATE '2024-01-01' AS o_orderdate FROM range(36)").write.parquet(f"{folder}/orders.parquet")
+    spark.sql("SELECT id AS c_custkey, id % 7 AS c_nationkey, 'AUTO' AS c_mktsegment FROM range(4)").write.parquet(f"{folder}/customer.parquet")
+    df = entry.queries()[name](spark, folder)
+    assert "regexp_extract_all" not in optimized(df) and df.count() > 0
+
+
+def test_language_pages_are_keyed_once(spark, folder):
+    spark.sql("SELECT id AS c_custkey, 1L AS c_nationkey FROM range(60)").write.parquet(f"{folder}/customer.parquet")
+    df = entry.queries()["hreflang_targets"](spark, folder)
+    assert "c_custkey" not in optimized(df)
+    assert df.groupBy("type").count().collect() and df.filter("type = 'hreflang-missing-return'").count() == 40
