@@ -66,7 +66,7 @@ def test_rules_of_agents_are_tried_once_a_page(spark, folder):
     spark.sql("SELECT id AS c_custkey, id % 7 AS c_nationkey, 'AUTO' AS c_mktsegment FROM range(14)").write.parquet(f"{folder}/customer.parquet")
     spark.sql("SELECT id AS n_nationkey FROM range(7)").write.parquet(f"{folder}/nation.parquet")
     df = entry.queries()["robots_checks"](spark, folder)
-    assert len(re.findall("Join LeftOuter", optimized(df))) == 1
+    assert len(re.findall("googlebot", optimized(df))) == 1
     found = {}
     for r in df.collect():
         found.setdefault(r.type, set()).add(int(r.url.rsplit("/", 1)[1]))
@@ -78,7 +78,7 @@ def test_entries_are_cut_out_once(spark, folder, name):
     spark.sql("SELECT id AS o_orderkey, id % 2 AS o_custkey, DATE '2024-01-01' AS o_orderdate FROM range(36)").write.parquet(f"{folder}/orders.parquet")
     spark.sql("SELECT id AS c_custkey, id % 7 AS c_nationkey, 'AUTO' AS c_mktsegment FROM range(4)").write.parquet(f"{folder}/customer.parquet")
     df = entry.queries()[name](spark, folder)
-    assert "regexp_extract_all" not in optimized(df) and df.count() > 0
+    assert "</url" not in optimized(df) and df.count() > 0
 
 
 def test_language_pages_are_keyed_once(spark, folder):
