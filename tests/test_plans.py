@@ -2,11 +2,15 @@
 
 import os
 import re
+import time
 
 import pytest
 
 import __spark_entry__ as entry
-from crawlsieve.operators.pages import _bind_stages, page_columns
+from crawlsieve.functions.sql import col, let
+from crawlsieve.functions.text import SPACES, collapse_ws
+from crawlsieve.operators.pages import _bind_stages, page_audit, page_columns
+from crawlsieve.sources.crawl import as_crawl
 from crawlsieve.queries.store import PRODUCT, product_pages
 
 
@@ -86,3 +90,37 @@ def test_language_pages_are_keyed_once(spark, folder):
     df = entry.queries()["hreflang_targets"](spark, folder)
     assert "c_custkey" not in optimized(df)
     assert df.groupBy("type").count().collect() and df.filter("type = 'hreflang-missing-return'").count() == 40
+
+
+def test_types_of_nested_values_are_worked_out_in_proportion(spark):
+    nested = lambda n, value: value if n == 0 else let(f"concat({value}, '-')", lambda v: nested(n - 1, v))
+    start = time.time()
+    assert spark.range(1).select(col(nested(24, "CAST(id AS STRING)")).alias("v")).first().v == "0" + "-" * 24
+    assert time.time() - start < 20
+
+
+def test_names_bound_together_are_worked_out_in_proportion(spark):
+    names = [f"c{'abcdefghijklmnopqrstuvwxyz'[i]}" for i in range(22)]
+    stages = _bind_stages([{name: f"transform(array({i}), x -> x)" for i, name in enumerate(names)}, {"total": f"transform(array(0), x -> x + {' + '.join(f'{n}[0]' for n in names)})"}])
+    start, df = time.time(), spark.range(1)
+    for stage in stages:
+        df = df.withColumns({name: col(sql) for name, sql in stage.items()})
+    assert df.first().total == [sum(range(22))]
+    assert time.time() - start < 30
+
+
+def test_whole_page_audit_is_planned_in_a_minute(spark):
+    html = "<html><head><title>a</title></head><body><h1>b</h1><p>one&nbsp; two\n<a href=/x>c  d</a></body></html>"
+    crawl = as_crawl(spark.createDataFrame([(1, "https://a.example/", html)], "seq BIGINT, url STRING, html STRING"))
+    start = time.time()
+    row = page_audit(crawl)
+    optimized(row)
+    assert time.time() - start < 60
+    found = row.select("word_count", "main_text", "link_samples").first()
+    assert (found.word_count, found.main_text, found.link_samples[0].text) == (4, "b one two c d", "c d")
+
+
+def test_white_space_is_collapsed_as_before(spark):
+    texts = ["", " ", "a b", " a  b ", "\t a\n\nb\t", "a\u00a0b", "a \u00a0 b", "\u0085a \u0085b", "a\u2003\ufeff\u3000b", "a\x0b\x1cb \u2028", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING").selectExpr(f"{collapse_ws('t')} AS now", f"trim(regexp_replace(t, {SPACES}, ' ')) AS before")
+    assert all(r.now == r.before for r in df.collect()) and df.count() == len(texts)
