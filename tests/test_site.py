@@ -4,10 +4,13 @@ import gzip
 import json
 import os
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from crawlsieve import audit, run_audit, write_run
 from crawlsieve.operators import links, report, rollup, site, sitemaps
+from crawlsieve.operators.pages import CHECK_GROUPS, CHECKS
 from crawlsieve.operators.rules import RULES, rules
 from crawlsieve.operators.skew import hot_keys, salted_join, shared_folder
 from crawlsieve.queries.site import page_table
@@ -97,6 +100,30 @@ def test_one_title_on_a_third_of_all_pages(spark):
     assert [(h.n_urls, h.message) for h in heads] == [(1000, "Same title on 1000 pages")] and rows.count() == 1000
 
 
+def test_groups_hold_every_check_once():
+    assert sorted(name for group in CHECK_GROUPS for name in group) == sorted(CHECKS)
+    assert any({"response", "robots_meta"} <= set(group) for group in CHECK_GROUPS)
+
+
+def test_summary_counts_what_every_check_finds(spark, folder):
+    """Images, titles, addresses, responses and canonicals count, not only markup that every page lacks; the SQL counts the same."""
+    page = lambda head, body: f'<!DOCTYPE html><html lang="en"><head>{head}</head><body>{body}</body></html>'
+    rows = [
+        (1, "https://a.example/one", page("<title>A</title>", '<h1>B</h1><p>x</p><img src="/i.png">')),
+        (2, "https://a.example/Two_x", "<!DOCTYPE html><html><head></head><body><p>x</p></body></html>"),
+        (3, "https://a.example/three", None),
+        (4, "https://a.example/four", page('<title>a</title><link rel="canonical" href="https://a.example/five">', "<h1>C</h1><p>x</p>")),
+    ]
+    spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING").coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    sql = db.execute(entry.oracle_sql()["summary"])
+    want = dict(zip([d[0] for d in sql.description], sql.fetchone(), strict=True))
+    # Errors: an image without alt, no title.  Warnings: size of the image, no lang, no h1, one shared title, and what each page lacks.
+    assert want == {"pages": 4, "errors": 2, "warnings": 4 + 3 + 3 + 2, "infos": 1 + 2 + 1 + 3 + 3 + 3}
+    assert [r.asDict() for r in entry.queries()["summary"](spark, folder).collect()] == [want]
+
+
 def test_arguments_and_list_files(spark, folder):
     assert [tuple(r)[:3] for r in entries_from_args(spark, ["a", "b"]).orderBy("seq").collect()] == [(0, "a", "argument"), (1, "b", "argument")]
     with open(f"{folder}/urls.txt", "w") as f:
